@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bitsliced, mixing, sharding
+from . import bitsliced, langid, mixing, quality, sharding
+from .common import fold
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), quality.score(net).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), langid.predict(langid.fit(docs)).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.accepted").alias("accepted"))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
