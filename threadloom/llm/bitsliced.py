@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors in a block of the index, and queries that meet a block in one task
-BLOCK_ROWS, QUERY_ROWS = 4_096, 2_048
+BLOCK_ROWS, QUERY_ROWS = 1_024, 2_048
 PLANES, WEIGHT_BITS, AT_ONCE = 8, 7, 256
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 

@@ -1,14 +1,15 @@
-"""Shared pieces: Arrow text buffers, word hashes in numpy, sorted-group maps, hash folds."""
+"""Shared pieces: Arrow text buffers, word hashes in numpy, maps over sorted groups, hash folds."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 U64 = np.uint64
 #: Bytes between words, as in the pattern [^\x20\x09-\x0D]+
@@ -92,47 +93,117 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE)
     return start, end, np.searchsorted(start, offsets)
 
 
-def map_runs(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, parts: int | None = None) -> DataFrame:
-    """Apply ``fn`` to each group of ``keys``, streamed from sorted partitions.
+def map_sorted(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[dict[str, np.ndarray]]], schema: str, parts: int | None = None) -> DataFrame:
+    """Group rows by ``keys`` and hand whole groups to ``fn``, many small ones at a time.
 
-    Only one group and one Arrow batch are in memory, so many small groups cost little.  Callers
-    bound the size of a group.  Groups that ``fn`` answers with None give no rows.
+    ``fn(columns, cuts)`` gets arrays of the rows of some groups and the n+1 borders between them,
+    and yields columns of output rows.  Rows are streamed from sorted partitions: about a batch and
+    one group are in memory, so callers bound the size of a group (they split or salt hot ones).
     """
     names = schema_names(schema)
+    target = to_arrow_schema(T._parse_datatype_string(schema))  # noqa: SLF001
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        out: list[pd.DataFrame] = []
-        size = 0
-        for pdf in batches:
-            if not len(pdf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def work(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            columns = {c: column_array(table.column(c)) for c in table.column_names}
+            for out in fn(columns, cuts):
+                if len(out[names[0]]):
+                    arrays = [pa.array(out[c], target.field(c).type) for c in names]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=target)
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            pdf = pdf.reset_index(drop=True)
-            ids = pdf[keys].to_numpy()
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1), len(pdf)]
-            if held and tuple(held[-1][keys].iloc[-1]) != tuple(pdf[keys].iloc[0]):
-                out.append(fn(pd.concat(held, ignore_index=True)))
-                held = []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                part = pdf.iloc[lo:hi]
-                if hi == len(pdf):
-                    held.append(part)
-                else:
-                    out.append(fn(pd.concat([*held, part], ignore_index=True)))
-                    held = []
-                if out and out[-1] is not None:
-                    size += len(out[-1])
-                if size > 20000:
-                    yield pd.concat([x for x in out if x is not None], ignore_index=True)[names]
-                    out, size = [], 0
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            edges = run_edges([column_array(table.column(c)) for c in keys])
+            if not len(edges):
+                continue  # one group so far
+            last = int(edges[-1])
+            yield from work(table.slice(0, last), np.concatenate([[0], edges]))
+            held = table.slice(last).combine_chunks().to_batches()
         if held:
-            out.append(fn(pd.concat(held, ignore_index=True)))
-        kept = [x for x in out if x is not None and len(x)]
-        if kept:
-            yield pd.concat(kept, ignore_index=True)[names]
+            table = pa.Table.from_batches(held)
+            yield from work(table, np.concatenate([[0], run_edges([column_array(table.column(c)) for c in keys]), [table.num_rows]]))
 
     dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def column_array(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy()
+
+
+def run_edges(columns: list[np.ndarray]) -> np.ndarray:
+    """Rows at which the value of any column differs from the row before."""
+    change = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    return np.flatnonzero(change) + 1
+
+
+def merge_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row number of the component of each of ``n`` rows under the links a-b."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        rest = label[a] != label[b]
+        a, b = a[rest], b[rest]
+    while not np.array_equal(label, label[label]):
+        label = label[label]
+    return label
+
+
+def within_pairs(cuts: np.ndarray, side: np.ndarray | None = None, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same group, about ``limit`` at a time.
+
+    With ``side``, groups that hold two sides give the pairs across sides only.
+    """
+    sizes = np.diff(cuts)
+    for m in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(int(m), 1)
+        starts = cuts[:-1][sizes == m]
+        step = max(1, limit // len(i))
+        for lo in range(0, len(starts), step):
+            base = starts[lo : lo + step, None]
+            a, b = (base + i).ravel(), (base + j).ravel()
+            if side is not None:
+                two = np.repeat((side[a.reshape(len(base), -1)] != side[base]).any(axis=1) | (side[b.reshape(len(base), -1)] != side[base]).any(axis=1), len(i))
+                keep = ~two | (side[a] != side[b])
+                a, b = a[keep], b[keep]
+            yield a, b
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words and the texts' n+1 borders among them.
+
+    Words are runs of bytes other than ASCII white space.  A text of fewer words has one shingle of
+    all of them, a text without words has none.
+    """
+    start, end, first = words(data, offsets)
+    prefix = prefix_hash(data)
+    word = span_hash(prefix, start, end)
+    counts = np.diff(first)
+    total = np.zeros(len(word), U64)
+    padded = np.concatenate([word, np.zeros(size, U64)])
+    for j in range(size):
+        total += padded[j : j + len(word)] * U64((2 * j + 3) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF | 1)
+    left = np.repeat(first[1:], counts) - np.arange(len(word))
+    keep = left >= size
+    for t in np.flatnonzero((counts > 0) & (counts < size)):
+        own = word[first[t] : first[t + 1]]
+        value = U64(len(own))
+        for w in own:
+            value = mix(np.array([value ^ w]))[0]
+        total[first[t]] = value
+        keep[first[t]] = True
+    borders = np.concatenate([[0], np.cumsum(keep)])[first]
+    return mix(total[keep]), borders
 
 
 def schema_names(schema: str) -> list[str]:

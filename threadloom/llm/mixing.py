@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Rows that one range of a source should hold on average
-RANGE_ROWS = 50_000
+RANGE_ROWS = 2_000
 
 
 def word_count(text: str = "text") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bitsliced, langid, mixing, quality, sharding
+from . import bitsliced, jaccard, langid, mixing, quality, sharding
 from .common import fold
 
 
@@ -19,6 +19,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), langid.predict(langid.fit(docs)).alias("found"))
