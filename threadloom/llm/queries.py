@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bitsliced, jaccard, langid, mixing, quality, sharding
+from . import bitsliced, jaccard, langid, leaks, mixing, quality, sharding
 from .common import fold
 
 
@@ -23,6 +23,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.explode(leaks.leaks(table(spark, sf_dir, "benchmark"))).alias("found")
+    rows = table(spark, sf_dir, "documents").select("doc_id", found)
+    return rows.select("doc_id", "found.item_id", "found.distance", "found.similarity", "found.word")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), langid.predict(langid.fit(docs)).alias("found"))
