@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bitsliced, jaccard, langid, leaks, mixing, quality, sharding
+from . import bitsliced, jaccard, langid, leaks, licences, linededup, mixing, quality, sharding
 from .common import fold
 
 
@@ -29,6 +29,17 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "found.item_id", "found.distance", "found.similarity", "found.word")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("ld_lines").cast("long").alias("n_lines"), F.col("ld_removed").cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", F.explode(licences.scan(licences.fit(docs))).alias("found"))
+    return found.select("doc_id", "found.paragraph", "found.family", "found.probability", "found.similarity")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), langid.predict(langid.fit(docs)).alias("found"))
