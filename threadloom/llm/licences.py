@@ -24,8 +24,9 @@ FEATURE_BITS = 16
 #: Corpus rows in the training sample, characters of each, passages drawn per family
 SAMPLE_ROWS, SAMPLE_CHARS, PER_FAMILY = 1_500, 2_000, 300
 EPOCHS, BATCH, RATE, SEED = 12, 256, 0.5, 3
-#: False alarms allowed among held-out corpus paragraphs; template overlap that confirms
-FALSE_ALARMS, CONFIRM = 0.002, 0.5
+#: False alarms allowed among held-out corpus paragraphs; template overlap that confirms a family,
+#: and overlap with any template that an unknown licence needs
+FALSE_ALARMS, CONFIRM, HINT = 0.002, 0.5, 0.1
 
 # Standard notices of the licence families.
 TEMPLATES: dict[str, list[str]] = {
@@ -252,6 +253,8 @@ def scan_slice(scanner: Scanner, data: np.ndarray, offsets: np.ndarray):
             continue
         family = FAMILIES[1 + int(p[k, 1:].argmax())]
         overlap = template_overlap(scanner.grams[family], trigrams(symbols[start[k] : end[k]]))
+        if overlap < CONFIRM and max(template_overlap(g, trigrams(symbols[start[k] : end[k]])) for g in scanner.grams.values()) < HINT:
+            continue
         text = int(np.searchsorted(offsets, borders[line[k]], "right")) - 1
         paragraph = int(line[k] - np.searchsorted(borders, offsets[text]))
         yield text, {"paragraph": paragraph, "family": family if overlap >= CONFIRM else "unknown", "probability": float(1 - p[k, 0]), "similarity": float(overlap)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bitsliced, jaccard, langid, leaks, licences, linededup, mixing, quality, sharding
+from . import bitsliced, jaccard, langid, leaks, licences, linededup, mixing, quality, sharding, suffixes
 from .common import fold
 
 
@@ -58,6 +58,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("sd_bytes").alias("n_bytes"), F.col("sd_removed").alias("n_removed"), F.col("sd_spans").alias("n_spans"), F.sha2("sd_kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     taken = F.col("mix_epochs") * F.col("mix_size") + F.col("mix_part")
