@@ -102,7 +102,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, U64)
     for k in range(8):
         key |= data[k : k + n].astype(U64) << U64(56 - 8 * k)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     h = 8
@@ -115,7 +115,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         if h >= depth or not len(left):
             return order
         pair = (group[left].astype(U64) << U64(32)) | rank[order[left] + h].astype(U64)
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         order[left] = order[left][by]
         pair = pair[by]
         head[left[1:]] = pair[1:] != pair[:-1]
@@ -163,8 +163,9 @@ class Shard:
         raw = np.frombuffer(b"".join(contexts), np.uint8)
         self.length, self.data = length, np.concatenate([raw, np.zeros(length + 8, np.uint8)])
         self.borders = np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).astype(np.int64)
-        order = suffix_order(self.data[: len(raw) + 8], length)
-        same = common_prefixes(raw, self.borders, order, length) >= length
+        # sorted and compared beyond the longest context, so that Kasai's walk hardly ever starts afresh
+        order = suffix_order(self.data[: len(raw) + 8], 2 * length)
+        same = common_prefixes(raw, self.borders, order, 2 * length) >= length
         of = np.searchsorted(self.borders, order, "right") - 1
         inside = order + length <= self.borders[of + 1]
         group = np.cumsum(~same)[inside]
