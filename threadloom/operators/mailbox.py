@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from .components import connected_components
@@ -73,7 +74,7 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([None if x is None or y is None else indel_ratio(x.lower(), y.lower()) for x, y in zip(a, b)])
