@@ -144,14 +144,19 @@ def candidate_edges(reps: DataFrame, threshold: float, tolerance: float, chunk:
     dealt = split_groups(members, "band", "node", "n", chunk)
 
     def prune(rows: dict[str, np.ndarray], cuts: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
-        sig, node = signature_rows(rows["signature"]), rows["node"]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in within_pairs(cuts, rows["mine"]):
+        sig, node, mine = signature_rows(rows["signature"]), rows["node"], rows["mine"]
+        across = rows["lo"] != rows["hi"]
+        none = np.zeros((2, 0), np.int64)
+        known, new = [none], [none]
+        for x, y in within_pairs(cuts):
             alive = surviving(sig, x, y, least)
-            a.append(x[alive])
-            b.append(y[alive])
-        label = merge_labels(len(node), np.concatenate(a), np.concatenate(b))
-        linked = np.flatnonzero(label != np.arange(len(node)))
+            x, y = x[alive], y[alive]
+            met = across[x] & (mine[x] == mine[y])  # the chunk's own meeting emits these
+            known.append(np.stack([x[met], y[met]]))
+            new.append(np.stack([x[~met], y[~met]]))
+        base = merge_labels(len(node), *np.concatenate(known, axis=1))
+        label = merge_labels(len(node), *base[np.concatenate(new, axis=1)])
+        linked = np.flatnonzero(label != np.arange(len(node)))  # one edge a joined part, not one a member
         pairs = np.unique(np.stack([node[label[linked]], node[linked]], 1), axis=0)
         yield {"a": pairs[:, 0], "b": pairs[:, 1]}
 
