@@ -22,8 +22,9 @@ from .common import U64, mix, prefix_hash, slices, span_hash, text_buffer, words
 THRESHOLD = 0.8
 #: Shorter items take no part: they are ordinary phrases
 LEAST_WORDS = 5
-#: Sampled places per hash, recall aimed at for a window at the largest distance, most repetitions
-SAMPLES, RECALL, MOST_REPEATS, TRIALS = 2, 0.99, 96, 400
+#: Sampled places per hash, recall aimed at for a window at the largest distance, repetitions tried
+#: first (doubled until the recall is reached), most repetitions, simulated windows
+SAMPLES, RECALL, REPEATS, MOST_REPEATS, TRIALS = 2, 0.99, 96, 6144, 400
 #: UTF-8 bytes of items that one pass holds; more items take more passes
 PASS_BYTES = 16_000_000
 _OUT = "array<struct<item_id: bigint, distance: int, similarity: double, word: int>>"
@@ -72,29 +73,41 @@ def cgk_hashes(symbols: np.ndarray, start: np.ndarray, length: int, times: int,
     return out
 
 
-def repeats(length: int, threshold: float, recall: float = RECALL) -> int:
-    """Repetitions with which simulated windows at the largest distance are found."""
+def repeats(length: int, threshold: float, recall: float = RECALL, longest: int | None = None) -> int:
+    """Repetitions with which simulated windows at the largest distance are found.
+
+    The items have ``longest`` words and edits for that, of which the window of ``length`` words may
+    hold all.  Edits anywhere and other words in front each have to reach the recall.
+    """
     rng = np.random.default_rng(length)
-    edits = most_edits(length, threshold)
-    whole = rng.integers(1, 1 << 62, (TRIALS, length), np.uint64)
+    longest = longest or length
+    edits = most_edits(longest, threshold)
+    whole = rng.integers(1, 1 << 62, (TRIALS, longest), np.uint64)
     changed = []
-    for row in whole:
+    for trial, row in enumerate(whole):
         row = list(row)
-        for _ in range(edits):
+        for k in range(edits):
             kind, i = rng.integers(3), int(rng.integers(len(row)))
             new = int(rng.integers(1, 1 << 62))
-            if kind == 0:
+            if trial % 2:
+                row[k] = new
+            elif kind == 0:
                 row[i] = new
             elif kind == 1 and len(row) > 1:
                 del row[i]
             else:
                 row.insert(i, new)
         changed.append((row + [int(x) for x in rng.integers(1, 1 << 62, length)])[:length])
-    both = np.concatenate([whole.ravel(), np.array(changed, np.uint64).ravel()])
-    start = np.arange(2 * TRIALS) * length
-    h = cgk_hashes(both, start, length, MOST_REPEATS)
-    found = np.logical_or.accumulate(h[:, :TRIALS] == h[:, TRIALS:], axis=0).mean(axis=1) >= recall
-    return int(found.argmax()) + 1 if found.any() else MOST_REPEATS
+    both = np.concatenate([whole[:, :length].ravel(), np.array(changed, np.uint64).ravel()])
+    start, times = np.arange(2 * TRIALS) * length, REPEATS
+    while times <= MOST_REPEATS:
+        h = cgk_hashes(both, start, length, times)
+        met = np.logical_or.accumulate(h[:, :TRIALS] == h[:, TRIALS:], axis=0)
+        found = np.minimum(met[:, ::2].mean(axis=1), met[:, 1::2].mean(axis=1)) >= recall
+        if found.any():
+            return int(found.argmax()) + 1
+        times *= 2
+    raise ValueError(f"no {MOST_REPEATS} repetitions find items of {longest} words with recall {recall}")
 
 
 @dataclass
@@ -102,7 +115,7 @@ class Index:
     ids: list[int | None]
     symbols: np.ndarray
     first: np.ndarray
-    classes: list[tuple[int, int, int, int, int]]  # window length, repetitions, run length, least runs, span
+    classes: list[tuple[int, int, int, int, int, int]]  # window length, repetitions, run length, least runs, span, words before a run
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # run length -> first bits seen, sorted hashes, bit set of classes
     keys: np.ndarray  # sorted hashes of the items' windows
     owners: np.ndarray
@@ -130,7 +143,7 @@ def build_index(ids: list[int | None], texts: list[str | None], threshold: float
         items = np.flatnonzero((of == c) & (size >= LEAST_WORDS))
         if not len(items):
             continue
-        n = repeats(length, threshold)
+        n = repeats(length, threshold, longest=int(size[items].max()))
         edits = [most_edits(int(s), threshold) for s in size[items]]
         # an edit breaks at most q runs of q words, so a passage within the distance keeps this many
         least = {q: min(int(s) - (q - 1) - q * e for s, e in zip(size[items], edits)) for q in marks}
@@ -140,7 +153,8 @@ def build_index(ids: list[int | None], texts: list[str | None], threshold: float
         for t in items:
             own = runs[q][first[t] : first[t + 1]]
             marks[q].append((own, np.full(len(own), bit)))
-        classes.append((length, n, q, max(1, least[q]), span))
+        # each edit can break up to q words of common runs before the first that stays
+        classes.append((length, n, q, max(1, least[q]), span, q * max(edits)))
         keys.append(cgk_hashes(symbols, first[items], length, n).ravel())
         owners.append(np.tile(items, n))
     key, owner = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, U64), np.zeros(0, np.int64))
@@ -170,9 +184,14 @@ def passage_distance(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray,
     return row.min(axis=1), row.argmin(axis=1)
 
 
-def candidates(index: Index, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, start) of windows that meet an item in at least one hash."""
+def candidates(index: Index, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start, text) of windows that meet an item in at least one hash.
+
+    A window may begin before its text, where words of the item are missing at the front.
+    """
     none = np.zeros(0, np.int64)
+    most = max((c[-1] for c in index.classes), default=0)
+    padded = np.concatenate([np.zeros(most, U64), symbols])
     hits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for q, (seen, values, bits) in index.tables.items():
         runs = run_hashes(symbols, first, q)
@@ -180,44 +199,46 @@ def candidates(index: Index, symbols: np.ndarray, first: np.ndarray) -> tuple[np
         place = np.minimum(np.searchsorted(values, runs[at]), len(values) - 1)
         mask = np.where(values[place] == runs[at], bits[place], U64(0))
         hits[q] = (at[mask > 0], mask[mask > 0])
-    items, starts = [none], [none]
-    for c, (length, n, q, least, span) in enumerate(index.classes):
+    items, starts, texts = [none], [none], [none]
+    for c, (length, n, q, least, span, before) in enumerate(index.classes):
         at, mask = hits[q]
         at = at[(mask >> U64(c % 64)) & U64(1) > 0]
         if len(at) < least:
             continue
-        # the matching passage begins at most a few words before its first common run
         text = np.searchsorted(first, at, "right") - 1
         last = np.searchsorted(at, np.minimum(at + span, first[text + 1]))
         dense = np.flatnonzero(last - np.arange(len(at)) >= least)
         if not len(dense):
             continue
         at, text = at[dense], text[dense]
-        start = np.unique(np.concatenate([np.maximum(at - back, first[text]) for back in range(4)]))
+        # the passage begins before its first common run, if edits broke the runs before
+        width = len(padded) + 1
+        place = np.unique((text * width + at + most)[:, None] - np.arange(before + 1))
+        text, start = place // width, place % width
         for lo in range(0, len(start), 4096):
             part = start[lo : lo + 4096]
-            keys = cgk_hashes(symbols, part, length, n).ravel()
+            keys = cgk_hashes(padded, part, length, n).ravel()
             low, high = np.searchsorted(index.keys, keys, "left"), np.searchsorted(index.keys, keys, "right")
             count = high - low
             if count.any():
                 which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 items.append(index.owners[which])
-                starts.append(np.repeat(np.tile(part, n), count))
-    both = np.unique(np.stack([np.concatenate(items), np.concatenate(starts)], 1), axis=0)
-    return both[:, 0], both[:, 1]
+                starts.append(np.repeat(np.tile(part - most, n), count))
+                texts.append(np.repeat(np.tile(text[lo : lo + 4096], n), count))
+    all_of = np.unique(np.stack([np.concatenate(items), np.concatenate(starts), np.concatenate(texts)], 1), axis=0)
+    return all_of[:, 0], all_of[:, 1], all_of[:, 2]
 
 
 def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float) -> list[list[dict]]:
     """Per text the items found in it, each with its least distance."""
     out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
     symbols, first = tokens(data, offsets)
-    items, starts = candidates(index, symbols, first)
+    items, starts, texts = candidates(index, symbols, first)
     padded = np.concatenate([symbols, [U64(0)]])
     for item in np.unique(items):
         own = index.symbols[index.first[item] : index.first[item + 1]]
         edits = most_edits(len(own), threshold)
-        start = starts[items == item]
-        text = np.searchsorted(first, start, "right") - 1
+        start, text = starts[items == item], texts[items == item]
         at = start[:, None] - edits - 3 + np.arange(len(own) + 2 * edits + 6)
         inside = (at >= first[text][:, None]) & (at < first[text + 1][:, None])
         best, end = passage_distance(own, padded[np.where(inside, at, len(symbols))])
