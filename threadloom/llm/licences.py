@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, mix, slices, text_buffer
+from .common import SLICE_BYTES, U64, mix, run_edges, slices, text_buffer
 from .leaks import tokens
 
 #: Words of a window and words from one window to the next
@@ -212,13 +212,13 @@ def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, sam
 
 
 def scan(scanner: Scanner, text: str | Column = "text") -> Column:
-    """Array of the licence paragraphs of a text: paragraph, family, probability, similarity.
+    """Array of the licence passages of a text: paragraph, family, probability, similarity, start, end.
 
-    A paragraph is a line, counted from 0; of a long one the likeliest window counts.  ``family`` is
-    ``unknown`` where the classifier sees a licence that no template of the family confirms.  Null
-    and empty texts have no paragraphs.
+    A paragraph is a line, counted from 0, and ``start`` to ``end`` are the words of it that the
+    passage spans; every passage of a line counts.  ``family`` is ``unknown`` where the classifier
+    sees a licence that no template of the family confirms.  Null and empty texts have no passages.
     """
-    kind = "array<struct<paragraph: int, family: string, probability: double, similarity: double>>"
+    kind = "array<struct<paragraph: int, family: string, probability: double, similarity: double, start: int, end: int>>"
 
     @F.arrow_udf(kind)
     def licence_scan(column: pa.Array) -> pa.Array:
@@ -228,7 +228,7 @@ def scan(scanner: Scanner, text: str | Column = "text") -> Column:
             part = offsets[lo : hi + 1]
             for t, found in scan_slice(scanner, data[part[0] : part[-1]], part - part[0]):
                 out[lo + t].append(found)
-        fields = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())])
+        fields = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
         return pa.array(out, pa.list_(fields))
 
     return licence_scan(text)
@@ -247,14 +247,76 @@ def scan_slice(scanner: Scanner, data: np.ndarray, offsets: np.ndarray):
     end = np.minimum(start + WINDOW, first[line + 1])
     p = scores(scanner, symbols, start, end)
     likely = np.flatnonzero(1 - p[:, 0] >= scanner.limit)
-    for k in likely:
-        same = likely[line[likely] == line[k]]
-        if k != same[np.argmin(p[same, 0])]:
+    for own in np.split(likely, run_edges([line[likely]])) if len(likely) else []:
+        k = line[own[0]]
+        text = int(np.searchsorted(offsets, borders[k], "right")) - 1
+        paragraph = int(k - np.searchsorted(borders, offsets[text]))
+        found = [x for w in own for x in window_passages(scanner, symbols, int(start[w]), int(end[w]))]
+        for x in distinct_passages(found):
+            place = {"start": x.start - int(first[k]), "end": x.end - int(first[k])}
+            yield text, {"paragraph": paragraph, "family": x.family, "probability": x.probability, "similarity": x.similarity, **place}
+
+
+@dataclass
+class Passage:
+    family: str
+    start: int  # words that the template shares, of a passage without template all of the window
+    end: int
+    low: int  # the windows it was seen in
+    high: int
+    probability: float
+    similarity: float
+
+
+def template_span(grams: list[np.ndarray], symbols: np.ndarray) -> tuple[int, int]:
+    """Words from the first to the last one shared with the template that shares the most."""
+    if len(symbols) < 3:
+        return 0, len(symbols)
+    own = mix(mix(symbols[:-2]) * U64(5) + mix(symbols[1:-1]) * U64(3) + symbols[2:])
+    at = max((np.flatnonzero(np.isin(own, t)) for t in grams), key=len)
+    return (int(at[0]), int(at[-1]) + 3) if len(at) else (0, len(symbols))
+
+
+def window_passages(scanner: Scanner, symbols: np.ndarray, low: int, high: int) -> list[Passage]:
+    """The licence passages of a window; what lies beside a confirmed one is looked at again."""
+    out, todo = [], [(low, high)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < 3 and (lo, hi) != (low, high):
+            continue
+        part = symbols[lo:hi]
+        p = scores(scanner, part, np.array([0]), np.array([hi - lo]))[0]
+        if 1 - p[0] < scanner.limit:
             continue
-        family = FAMILIES[1 + int(p[k, 1:].argmax())]
-        overlap = template_overlap(scanner.grams[family], trigrams(symbols[start[k] : end[k]]))
-        if overlap < CONFIRM and max(template_overlap(g, trigrams(symbols[start[k] : end[k]])) for g in scanner.grams.values()) < HINT:
+        family, grams = FAMILIES[1 + int(p[1:].argmax())], trigrams(part)
+        overlap = template_overlap(scanner.grams[family], grams)
+        if overlap >= CONFIRM:
+            a, b = template_span(scanner.grams[family], part)
+            out.append(Passage(family, lo + a, lo + b, low, high, float(1 - p[0]), float(overlap)))
+            todo += [(lo, lo + a), (lo + b, hi)]
+        elif max(template_overlap(g, grams) for g in scanner.grams.values()) >= HINT:
+            out.append(Passage("unknown", lo, hi, low, high, float(1 - p[0]), float(overlap)))
+    return out
+
+
+def distinct_passages(found: list[Passage]) -> list[Passage]:
+    """Passages of a line in their order: overlapping windows of a family are one passage.
+
+    Where families claim the same words the one most similar to its template has them, and words of
+    a confirmed passage are no unknown licence.
+    """
+    out: list[Passage] = []
+    for x in sorted(found, key=lambda x: (x.family == "unknown", -x.similarity, x.start)):
+        shared = [min(x.end, y.end) - max(x.start, y.start) for y in out]
+        if any(y.family != x.family and (s > 0 if x.family == "unknown" else 2 * s > min(x.end - x.start, y.end - y.start)) for y, s in zip(out, shared)):
             continue
-        text = int(np.searchsorted(offsets, borders[line[k]], "right")) - 1
-        paragraph = int(line[k] - np.searchsorted(borders, offsets[text]))
-        yield text, {"paragraph": paragraph, "family": family if overlap >= CONFIRM else "unknown", "probability": float(1 - p[k, 0]), "similarity": float(overlap)}
+        out.append(x)
+    merged: list[Passage] = []
+    for x in sorted(out, key=lambda x: (x.family, x.low, x.start)):
+        y = merged[-1] if merged else None
+        if y and y.family == x.family and x.low < y.high:
+            y.start, y.end, y.high = min(x.start, y.start), max(x.end, y.end), max(x.high, y.high)
+            y.probability, y.similarity = max(x.probability, y.probability), max(x.similarity, y.similarity)
+        else:
+            merged.append(x)
+    return sorted(merged, key=lambda x: (x.start, x.end, x.family))

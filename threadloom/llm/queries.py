@@ -37,7 +37,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", F.explode(licences.scan(licences.fit(docs))).alias("found"))
-    return found.select("doc_id", "found.paragraph", "found.family", "found.probability", "found.similarity")
+    return found.select("doc_id", "found.paragraph", "found.family", "found.probability", "found.similarity", "found.start", "found.end")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
