@@ -31,11 +31,20 @@ def ask(claims: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
 
 
 def safety_scan(texts: DataFrame) -> DataFrame:
-    """Findings (ref, category, severity, finding_id) of texts (ref, text), one per category and ref."""
-    severity = F.create_map(*[F.lit(x) for name, level, _ in S.SAFETY for x in (name, level)])
-    found = texts.select("ref", F.explode(S.findings(F.col("text"))).alias("category")).distinct()
+    """Findings (ref, category, severity, finding_id) of texts (ref, text), one per category and ref.
+
+    Rows are claims, with kind and confidence if the table has these columns; a table with
+    ``sender_domain`` holds cited messages instead.  Of a category the severest finding stays.
+    """
+    has = lambda c, kind: F.col(c) if c in texts.columns else F.lit(None).cast(kind)
+    text = F.coalesce("text", F.lit(""))
+    if "sender_domain" in texts.columns:
+        more = [S.domain_finding(F.col("sender_domain"))]
+    else:
+        more = S.claim_findings(has("kind", "string"), text, has("confidence", "double"))
+    found = texts.select("ref", F.explode(S.findings(text, *more)).alias("x")).groupBy("ref", "x.category").agg(F.min_by("x.severity", F.when(F.col("x.severity") == "high", 0).when(F.col("x.severity") == "medium", 1).otherwise(2)).alias("severity"))
     key = F.sha1(F.concat_ws("|", "category", F.col("ref").cast("string")))
-    return found.select("ref", "category", severity[F.col("category")].alias("severity"), F.substring(key, 1, 12).alias("finding_id"))
+    return found.select("ref", "category", "severity", F.substring(key, 1, 12).alias("finding_id"))
 
 
 def coverage(claims: DataFrame) -> DataFrame:

@@ -210,8 +210,8 @@ def intents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SCAL_38_luhn")
 def luhn(spark: SparkSession, d: str) -> DataFrame:
-    digits = F.regexp_replace(F.regexp_extract("text", r"(?:[0-9][ -]?){13,19}", 0), "[ -]", "")
-    return table(spark, d, "documents").select("doc_id", digits.alias("digits")).where("digits <> ''").select("doc_id", "digits", S.luhn_ok(F.col("digits")).alias("valid"))
+    found = table(spark, d, "documents").select("doc_id", F.explode(S.card_candidates(F.col("text"))).alias("digits"))
+    return found.select("doc_id", "digits", S.luhn_ok(F.col("digits")).alias("valid"))
 
 
 @query(
