@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round hooks every node onto its smallest neighbour, jumps once, and contracts the edge
     list, which at least halves the nodes that still have edges.  Only a flag reaches the driver.
     """
-    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    ends = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null"), "links")
     labels = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node"))
     rest = staged(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     labels = staged(labels, "labels")
