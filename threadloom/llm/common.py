@@ -93,12 +93,13 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE)
     return start, end, np.searchsorted(start, offsets)
 
 
-def map_sorted(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[dict[str, np.ndarray]]], schema: str, parts: int | None = None) -> DataFrame:
+def map_sorted(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[dict[str, np.ndarray]]], schema: str, parts: int | None = None, deal: list[str] | None = None) -> DataFrame:
     """Group rows by ``keys`` and hand whole groups to ``fn``, many small ones at a time.
 
     ``fn(columns, cuts)`` gets arrays of the rows of some groups and the n+1 borders between them,
     and yields columns of output rows.  Rows are streamed from sorted partitions: about a batch and
     one group are in memory, so callers bound the size of a group (they split or salt hot ones).
+    Groups that agree in the keys ``deal`` (the first ones; all by default) come one after the other.
     """
     names = schema_names(schema)
     target = to_arrow_schema(T._parse_datatype_string(schema))  # noqa: SLF001
@@ -128,7 +129,7 @@ def map_sorted(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarra
             table = pa.Table.from_batches(held)
             yield from work(table, np.concatenate([[0], run_edges([column_array(table.column(c)) for c in keys]), [table.num_rows]]))
 
-    dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    dealt = df.repartition(parts, *(deal or keys)) if parts else df.repartition(*(deal or keys))
     return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
