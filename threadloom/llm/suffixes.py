@@ -4,15 +4,17 @@ Equal strings of LENGTH bytes contain the same anchor: the byte gram with the sm
 the grams of the string.  So equal strings can only meet in the contexts of equal anchors, and
 everything else is left out before any sorting.  Equal contexts are one row with a count.  The
 contexts of anchors that have several different ones are dealt to shards of bounded size; each shard
-sorts its suffixes by Larsson-Sadakane refinement, Kasai's common prefixes tell equal strings, and
-the shards of one very common anchor are merged pair by pair with binary searches.
+sorts its suffixes by Larsson-Sadakane refinement and Kasai's common prefixes tell equal strings.  The
+shards of one very common anchor are sorted once, stored, and merged pair by pair with binary searches.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +26,16 @@ from .common import SLICE_BYTES, U64, map_sorted, mix, powers, prefix_hash, slic
 LENGTH, GRAM = 200, 24
 #: Bytes of contexts in a shard on average; contexts of one anchor that one shard may hold
 SHARD_BYTES, SHARD_CONTEXTS = 1 << 21, 2_048
-_AT_BITS = U64(28)
+#: Bits of a position: a string column holds less than 2 GiB
+_AT_BITS = U64(31)
 
 
-def anchor_positions(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all strings of ``length`` bytes: byte positions, texts, and the data's prefix hashes."""
+def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all strings of ``length`` bytes, begin and end of the strings that share each, the data's prefix hashes."""
     prefix = prefix_hash(data)
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, prefix
+        return none, none, none, prefix
     gram = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(data))[1][: len(prefix) - GRAM])
     least = (gram >> _AT_BITS << _AT_BITS) | np.arange(len(gram), dtype=U64)
     width, target = 1, length - GRAM + 1
@@ -47,26 +50,41 @@ def anchor_positions(data: np.ndarray, offsets: np.ndarray, length: int) -> tupl
     np.add.at(ends, offsets[long + 1] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(ends[: len(least)]) > 0)
     at = (least[start] & ((U64(1) << _AT_BITS) - U64(1))).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return at, np.searchsorted(offsets, at, "right") - 1, prefix
+    if not len(at):
+        return none, none, none, prefix
+    head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[head], start[head], start[np.append(head[1:], len(at)) - 1] + length, prefix
+
+
+def windows(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, last row, from, to): bytes to look at together; long texts in parts that share length-1 bytes."""
+    for lo, hi in slices(offsets):
+        low, high = int(offsets[lo]), int(offsets[hi])
+        if hi - lo > 1 or high - low <= 2 * SLICE_BYTES:
+            yield lo, hi, low, high
+        else:
+            for at in range(low, high - length + 1, SLICE_BYTES):
+                yield lo, hi, at, min(high, at + SLICE_BYTES + length - 1)
 
 
 def anchors(text: str | Column = "text", length: int = LENGTH) -> Column:
-    """Array of a text's anchors: hashes of gram and context, first byte and bytes of the context."""
+    """Array of a text's anchors: hashes of gram and context, first byte and bytes of the context.
+
+    The context is what the strings with this anchor cover.
+    """
 
     @F.arrow_udf("array<struct<anchor: bigint, context: bigint, start: int, size: int>>")
     def substring_anchors(column: pa.Array) -> pa.Array:
         data, offsets = text_buffer(column)
         parts, counts = [], np.zeros(len(column), np.int64)
-        for lo, hi in slices(offsets):
-            part = offsets[lo : hi + 1] - offsets[lo]
-            at, text, prefix = anchor_positions(data[offsets[lo] : offsets[hi]], part, length)
-            start = np.maximum(at - (length - GRAM), part[text])
-            end = np.minimum(at + length, part[text + 1])
+        for lo, hi, low, high in windows(offsets, length):
+            part = np.clip(offsets[lo : hi + 1], low, high) - low
+            at, start, end, prefix = anchor_runs(data[low:high], part, length)
+            text = np.searchsorted(part, at, "right") - 1
             gram = span_hash(prefix, at, at + GRAM)
-            # the place of the gram in its context counts, as contexts are cut at the ends of a text
+            # the place of the gram in its context counts
             context = mix(span_hash(prefix, start, end) + (at - start).astype(U64) * U64(0x9E3779B97F4A7C15) + (end - start).astype(U64))
-            parts.append((gram.view(np.int64), context.view(np.int64), start - part[text], end - start))
+            parts.append((gram.view(np.int64), context.view(np.int64), start + low - offsets[lo + text], end - start))
             np.add.at(counts, lo + text, 1)
         fields = ["anchor", "context", "start", "size"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -225,6 +243,10 @@ class Shard:
         return of, begin - self.borders[of], end - self.borders[of]
 
 
+def place_ids(text_key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(text_key.view(U64)) + start.astype(U64)
+
+
 def matches(contexts: DataFrame, length: int, shard_bytes: int, shard_contexts: int) -> DataFrame:
     """(anchor, context, from, to): covered runs of contexts (anchor, context, n, text_key, start, size, bytes)."""
     size = contexts.agg(F.sum("size")).first()[0] or 0
@@ -234,35 +256,40 @@ def matches(contexts: DataFrame, length: int, shard_bytes: int, shard_contexts:
         contexts.withColumn("hot", hot)
         .withColumn("shard", F.when(hot, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
         .withColumn("chunks", F.ceil(F.col("n") / shard_contexts).cast("int"))
-        .withColumn("mine", F.when(hot, F.pmod(F.xxhash64("context"), F.col("chunks"))).otherwise(0).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(hot, F.col("chunks") - 1).otherwise(0))))
-        .withColumn("lo", F.least("mine", "other"))
-        .withColumn("hi", F.greatest("mine", "other"))
+        .withColumn("chunk", F.when(hot, F.pmod(F.xxhash64("context"), F.col("chunks"))).otherwise(0).cast("int"))
     )
 
     def sort(rows: dict[str, np.ndarray], cuts: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            ids = mix(rows["text_key"][lo:hi].view(U64)) + rows["start"][lo:hi].astype(U64)
-            found = []
-            if rows["lo"][lo] == rows["hi"][lo]:
-                shard = Shard(list(rows["bytes"][lo:hi]), ids, length)
-                found.append((np.arange(lo, hi), shard, shard.low != shard.high))
-            else:
-                sides = [np.flatnonzero(rows["mine"][lo:hi] == rows[c][lo]) for c in ("lo", "hi")]
-                if min(map(len, sides)):
-                    a, b = [Shard([rows["bytes"][lo + i] for i in s], ids[s], length) for s in sides]
-                    i, j = a.meet(b)
-                    apart = (np.minimum(a.low[i], b.low[j]) != np.maximum(a.high[i], b.high[j]))
-                    for side, shard, groups in ((sides[0], a, i[apart]), (sides[1], b, j[apart])):
-                        mask = np.zeros(len(shard.first), bool)
-                        mask[groups] = True
-                        found.append((lo + side, shard, mask))
-            for own, shard, mask in found:
+            shard = Shard(list(rows["bytes"][lo:hi]), place_ids(rows["text_key"][lo:hi], rows["start"][lo:hi]), length)
+            of, begin, end = shard.runs(shard.low != shard.high)
+            blank = np.zeros(len(of), np.int32)
+            yield {"anchor": rows["anchor"][lo + of], "context": rows["context"][lo + of], "from": begin, "to": end, "chunk": blank, "chunks": blank, "stored": np.full(len(of), None)}
+            if rows["hot"][lo]:
+                own = {k: rows[k][lo : lo + 1] for k in ("anchor", "context", "chunk", "chunks")}
+                yield own | {"from": np.zeros(1, int), "to": np.zeros(1, int), "stored": np.array([pickle.dumps((rows["context"][lo:hi], shard), 5)], object)}
+
+    columns = ["shard", "hot", "chunk", "chunks", "anchor", "context", "text_key", "start", "bytes"]
+    kinds = "anchor long, context long, from int, to int"
+    done = staged(map_sorted(dealt.select(*columns), ["shard", "hot", "chunk"], sort, f"{kinds}, chunk int, chunks int, stored binary"), "sorted")
+    stored = done.where("stored is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
+    stored = stored.select("anchor", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "stored")
+
+    def meet(pair: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"anchor": [], "context": [], "from": [], "to": []}, dtype=np.int64)]
+        if len(pair) == 2:
+            (left, a), (right, b) = (pickle.loads(x) for x in pair.sort_values("chunk")["stored"])
+            i, j = a.meet(b)
+            apart = np.minimum(a.low[i], b.low[j]) != np.maximum(a.high[i], b.high[j])
+            for context, shard, groups in ((left, a, i[apart]), (right, b, j[apart])):
+                mask = np.zeros(len(shard.first), bool)
+                mask[groups] = True
                 of, begin, end = shard.runs(mask)
-                yield {"anchor": rows["anchor"][own[of]], "context": rows["context"][own[of]], "from": begin, "to": end}
+                out.append(pd.DataFrame({"anchor": pair["anchor"].iloc[0], "context": context[of], "from": begin, "to": end}))
+        return pd.concat(out)
 
-    columns = ["shard", "hot", "lo", "hi", "mine", "anchor", "context", "text_key", "start", "bytes"]
-    return map_sorted(dealt.select(*columns), ["shard", "hot", "lo", "hi"], sort, "anchor long, context long, from int, to int")
+    merged = stored.groupBy("anchor", "lo", "hi").applyInPandas(meet, kinds)
+    return done.where("stored is null").select("anchor", "context", "from", "to").unionByName(merged)
 
 
 def trimmed(text: str | Column, runs: Column) -> Column:
@@ -295,9 +322,11 @@ def dedup_substrings(df: DataFrame, text: str = "text", length: int = LENGTH, sh
     ``sd_kept`` is what remains (bytes: a cut may split a character).  Null texts count as empty;
     texts shorter than ``length`` stay whole; repeated rows are occurrences of each other; an empty
     table gives no rows.  Texts are told apart by a 64-bit hash, contexts of an anchor by another.
+    Very long texts are searched in parts.  Columns of ``df`` keep their values whatever their
+    names, but for those four.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.xxhash64(whole).alias("text_key"), whole.alias("text"))
+    own = [c for c in df.columns if c not in ("sd_bytes", "sd_removed", "sd_spans", "sd_kept")]
+    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("input"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     found = docs.where(F.octet_length("text") >= length).select("text_key", F.explode(anchors("text", length)).alias("a")).select("text_key", "a.*")
     found = staged(found, "anchors")
     place = F.struct("text_key", "start", "size")
@@ -305,7 +334,7 @@ def dedup_substrings(df: DataFrame, text: str = "text", length: int = LENGTH, sh
     by_anchor = by_context.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("times").alias("total")).where("total > 1")
     contexts = staged(by_context.join(by_anchor.select("anchor", "n"), "anchor").select("anchor", "context", "times", "n", "one.*"), "contexts")
     several = contexts.where("n > 1").groupBy("text_key").agg(F.collect_list(F.struct("anchor", "context", "n", "start", "size")).alias("list"))
-    texts = docs.join(several.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = docs.select("text_key", "text").join(several.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
     cut = several.join(texts, "text_key").select("text_key", "list", pieces("text", F.col("list.start"), F.col("list.size")).alias("bytes"))
     cut = cut.select("text_key", F.explode(F.arrays_zip("list", "bytes")).alias("x")).select("text_key", "x.list.*", "x.bytes")
     cut = staged(cut, "pieces")
@@ -314,15 +343,13 @@ def dedup_substrings(df: DataFrame, text: str = "text", length: int = LENGTH, sh
     covered = staged(runs.unionByName(whole_runs).groupBy("anchor", "context").agg(F.collect_set(F.struct("from", "to")).alias("runs")), "runs")
     spots = found.join(covered, ["anchor", "context"]).select("text_key", F.explode("runs").alias("run"), "start")
     spots = spots.select("text_key", F.struct((F.col("start") + F.col("run.from")).alias("from"), (F.col("start") + F.col("run.to")).alias("to")).alias("run"))
-    per_text = spots.groupBy("text_key").agg(F.collect_set("run").alias("runs")).select(F.col("text_key").alias("sd_key"), F.col("runs").alias("sd_runs"))
-    own = [c for c in df.columns if c not in ("sd_bytes", "sd_removed", "sd_spans", "sd_kept")]
-    rows = df.select(*[F.col(f"`{c}`") for c in own]).withColumn("sd_text_key", F.xxhash64(whole)).join(per_text, F.col("sd_text_key") == F.col("sd_key"), "left")
-    rows = rows.withColumn("sd_cut", F.when(F.col("sd_runs").isNotNull(), trimmed(whole, F.coalesce("sd_runs", F.array()))))
-    plain = whole.cast("binary")
+    per_text = spots.groupBy("text_key").agg(F.collect_set("run").alias("runs"))
+    rows = docs.join(per_text, "text_key", "left")
+    rows = rows.withColumn("cut", F.when(F.col("runs").isNotNull(), trimmed("text", F.coalesce("runs", F.array()))))
     return rows.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.octet_length(whole).cast("long").alias("sd_bytes"),
-        F.coalesce("sd_cut.removed", F.lit(0).cast("long")).alias("sd_removed"),
-        F.coalesce("sd_cut.spans", F.lit(0).cast("long")).alias("sd_spans"),
-        F.coalesce("sd_cut.kept", plain).alias("sd_kept"),
+        *[F.col("input").getField(c).alias(c) for c in own],
+        F.octet_length("text").cast("long").alias("sd_bytes"),
+        F.coalesce("cut.removed", F.lit(0).cast("long")).alias("sd_removed"),
+        F.coalesce("cut.spans", F.lit(0).cast("long")).alias("sd_spans"),
+        F.coalesce("cut.kept", F.col("text").cast("binary")).alias("sd_kept"),
     )
