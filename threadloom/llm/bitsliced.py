@@ -102,61 +102,73 @@ class Block:
         found = more | even
         return np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, : len(self.ids)].astype(bool)
 
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-        out = []
+    def best(self, query: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+        """The k best rows for each query (numbered by ``query``), without one row equal to it in id and vector."""
+        out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query", "vec_id", "score")})]
         for lo in range(0, len(queries), AT_ONCE):
             part = queries[lo : lo + AT_ONCE]
             found = self.candidates(part, k + 1)  # a query may meet itself
             for i, q in enumerate(part):
                 rows = np.flatnonzero(found[i])
-                rows = rows[self.ids[rows] != query_ids[lo + i]]
+                same = np.flatnonzero(self.ids[rows] == query_ids[lo + i])
+                itself = same[(self.vectors[rows[same]] == q).all(axis=1)]
+                rows = np.delete(rows, itself[:1])
                 score = self.vectors[rows] @ q
                 best = np.lexsort((self.ids[rows], -score))[:k]
-                out.append(pd.DataFrame({"query_id": query_ids[lo + i], "vec_id": self.ids[rows[best]], "score": score[best]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append(pd.DataFrame({"query": query[lo + i], "vec_id": self.ids[rows[best]], "score": score[best]}))
+        return pd.concat(out, ignore_index=True)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k best of ``vectors`` for each of ``queries`` by integer inner product.
 
-    Both have ``vec_id`` (long) and ``v`` (array of long); rows with null in either take no part,
-    vectors meet queries of their own length only, and a query never finds its own id.  Equal
-    vectors all count, ties go to smaller ids, rows that repeat an id are candidates each.  Fewer
-    than k candidates give fewer rows, empty tables none.  Returns query_id, rank, vec_id, score.
+    Both have ``vec_id`` (long) and ``v`` (array of long); rows with null in either take no part and
+    vectors meet queries of their own length only.  A query that is among the vectors (same id, same
+    vector) does not find itself: one such row is left out.  Rows that repeat an id are candidates
+    and queries each; ties go to smaller ids.  Fewer than k candidates give fewer rows, empty tables
+    none.  Returns query_id, rank, vec_id, score.  Products are summed in 64 bits: a block and
+    queries whose sums could reach 2**62 raise an error.  Other columns are not looked at.
 
     Blocks of the index and groups of queries have bounded sizes; each query goes once to each
-    block, each block once to each group of queries, and k rows per pair come back.
+    block, each block once to each group of queries, and k rows per pair come back, of which the
+    task keeps k per query.  Of equal rows k + 1 are indexed, as no more can be among the k best.
     """
-    vectors = vectors.where("vec_id is not null and v is not null").select("vec_id", "v", F.size("v").alias("dim"))
-    queries = queries.where("vec_id is not null and v is not null").select("vec_id", "v", F.size("v").alias("dim"))
+    alike = lambda df: df.where("vec_id is not null and v is not null").groupBy("vec_id", "v").agg(F.count("*").alias("n")).withColumn("dim", F.size("v"))
+    vectors, queries = alike(vectors), alike(queries).withColumn("query", F.xxhash64("vec_id", "v"))
     blocks = max(1, math.ceil(vectors.count() / block_rows))
     groups = max(1, math.ceil(queries.count() / query_rows))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.withColumn("block", deal(blocks)).withColumn("part", every(groups))
+    left = vectors.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k + 1)).cast("int")))).withColumn("block", deal(blocks)).withColumn("part", every(groups))
     right = queries.withColumn("part", deal(groups)).withColumn("block", every(blocks))
 
     def search(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+        none = pd.DataFrame({"query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
         if not len(rows) or not len(asked):
             return none
-        block = Block(rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()).astype(np.int64))
-        return block.best(asked["vec_id"].to_numpy(np.int64), np.stack(asked["v"].to_numpy()).astype(np.int64), k).astype(none.dtypes.to_dict())
+        v, q = (np.stack(x["v"].to_numpy()).astype(np.int64) for x in (rows, asked))
+        reach = lambda x: max(-int(x.min(initial=0)), int(x.max(initial=0)))
+        if reach(v) * reach(q) * v.shape[1] >= 1 << 62:
+            raise ValueError(f"sums of products of components up to {reach(v)} and {reach(q)} do not fit 64 bits")
+        return Block(rows["vec_id"].to_numpy(np.int64), v).best(asked["query"].to_numpy(np.int64), asked["vec_id"].to_numpy(np.int64), q, k).astype(none.dtypes.to_dict())
 
     keys = ["block", "part", "dim"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    columns = lambda df, *own: df.select(*keys, "vec_id", "v", *own)
+    found = columns(left).groupBy(*keys).cogroup(columns(right, "query").groupBy(*keys)).applyInPandas(search, "query long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = queries.select("query", F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return asked.join(best, "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 #: The same search by brute force, for DuckDB
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS row_, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.row_ AS query, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.row_ <> c.row_ AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
