@@ -9,6 +9,7 @@ lost) are hashed, and whatever meets an item is verified by exact edit distance.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .common import U64, mix, prefix_hash, slices, span_hash, text_buffer, words
 
 #: Edit similarity (1 - distance / words of the item) from which a passage counts as the item
@@ -154,7 +156,9 @@ def build_index(ids: list[int | None], texts: list[str | None], threshold: float
             own = runs[q][first[t] : first[t + 1]]
             marks[q].append((own, np.full(len(own), bit)))
         # each edit can break up to q words of common runs before the first that stays
-        classes.append((length, n, q, max(1, least[q]), span, q * max(edits)))
+        if least[q] < 1:
+            raise ValueError(f"at edit similarity {threshold} an item of {length} words may share no {q} words in a row with its passage")
+        classes.append((length, n, q, least[q], span, q * max(edits)))
         keys.append(cgk_hashes(symbols, first[items], length, n).ravel())
         owners.append(np.tile(items, n))
     key, owner = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, U64), np.zeros(0, np.int64))
@@ -250,23 +254,38 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
     return out
 
 
-def leaks(benchmark: DataFrame, text: str | Column = "text", threshold: float = THRESHOLD, item_id: str = "item_id", item_text: str = "text", pass_bytes: int = PASS_BYTES) -> Column:
-    """For a text column the array of benchmark items found in it: item_id, distance, similarity, word.
-
-    An item is found where some passage of the text has edit similarity ``threshold`` or more to it,
-    in words without case and ASCII punctuation; ``word`` is the word at which the best passage
-    ends.  Null or empty texts hold nothing.  Items of fewer than LEAST_WORDS words or without text
-    take no part; items that repeat are found each; an empty benchmark finds nothing.  Items reach
-    the tasks in passes of about ``pass_bytes``, so a larger benchmark takes more passes.
-    """
+def indexes(benchmark: DataFrame, threshold: float, item_id: str, item_text: str, pass_bytes: int) -> Iterator[Index]:
+    """Indexes of about ``pass_bytes`` of items each; the driver holds one at a time."""
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-int(total) // pass_bytes))
-    columns = []
     for k in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("text", "id"), F.lit(passes)) == k).orderBy("id", "text").collect()  # bounded by pass_bytes
-        columns.append(leak_column(build_index([r["id"] for r in rows], [r["text"] for r in rows], threshold), text, threshold))
-    return columns[0] if passes == 1 else F.concat(*columns)
+        rows = items.where(F.pmod(F.xxhash64("text", "id"), F.lit(passes)) == k).orderBy("id", "text").collect()  # about pass_bytes
+        yield build_index([r["id"] for r in rows], [r["text"] for r in rows], threshold)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, item_id: str = "item_id", item_text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The columns of ``docs`` and ``leak`` (item_id, distance, similarity, word), a row for each item in each text.
+
+    An item is found where some passage of the text has edit similarity ``threshold`` or more to it,
+    in words without case and ASCII punctuation; ``word`` is the word at which the best passage
+    ends.  Null or empty texts hold nothing, very long ones are searched whole.  Items of fewer than
+    LEAST_WORDS words or without text take no part; items and rows that repeat are found each; an
+    empty benchmark or table finds nothing.  An existing column named leak is replaced.  A benchmark
+    of more than ``pass_bytes`` takes several passes over ``docs``, each a job of its own.
+    """
+    docs, out = docs.drop("leak"), None
+    for index in indexes(benchmark, threshold, item_id, item_text, pass_bytes):
+        found = docs.select("*", F.explode(leak_column(index, text, threshold)).alias("leak"))
+        out = found if out is None else staged(out, "leaks").unionByName(found)
+    return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, item_id: str = "item_id", item_text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose texts hold no item of the benchmark, by the rules of ``find_leaks``."""
+    for k, index in enumerate(indexes(benchmark, threshold, item_id, item_text, pass_bytes)):
+        docs = (staged(docs, "clean") if k else docs).where(F.size(leak_column(index, text, threshold)) == 0)
+    return docs
 
 
 def leak_column(index: Index, text: str | Column, threshold: float) -> Column:

@@ -24,9 +24,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.explode(leaks.leaks(table(spark, sf_dir, "benchmark"))).alias("found")
-    rows = table(spark, sf_dir, "documents").select("doc_id", found)
-    return rows.select("doc_id", "found.item_id", "found.distance", "found.similarity", "found.word")
+    found = leaks.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "leak.item_id", "leak.distance", "leak.similarity", "leak.word")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
