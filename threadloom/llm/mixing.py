@@ -52,54 +52,59 @@ def source_targets(sizes: DataFrame, share: tuple[int, int] = (3, 2), weights: t
     return filled.select("src", "source_size", target.alias("target"))
 
 
+#: What ``mix`` adds
+ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_epochs", "mix_part"]
+
+
 def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", range_rows: int = RANGE_ROWS, **targets) -> DataFrame:
     """All rows of ``df`` with ``mix_size, mix_source_size, mix_target, mix_epochs, mix_part``.
 
     ``mix_epochs`` whole copies of the document are in the mix and then its first ``mix_part``
     words, which is the whole document, nothing, or at most one cut document per source.  Words
-    taken of a source are floor(target) exactly.  Null or empty texts have no words and are never
-    taken; a null source is a source; repeated rows count each; an empty table gives no rows.
-    Working columns start with ``mix_``; other columns pass through unread.
+    taken of a source are floor(target) exactly.  Null, empty and blank texts have no words and are
+    never taken, very long ones count whole; a null source is a source; repeated rows count each; an
+    empty table gives no rows.  Columns of ``df`` keep their values whatever their names, but for
+    those five.
     """
+    own = [c for c in df.columns if c not in ADDED]
     digits = max(1, math.ceil(math.log(max(1, df.count() / range_rows), 16)))
-    rows = (
-        df.withColumn("mix_size", word_count(text))
-        .withColumn("mix_src", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
-        .withColumn("mix_key", F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
-        .withColumn("mix_range", F.substring("mix_key", 1, digits))
-    )
-    ranges = rows.groupBy(F.col("mix_src").alias("src"), F.col(source).alias("source"), F.col("mix_range").alias("range")).agg(F.sum("mix_size").alias("words"))
-    before = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranges.groupBy("src", "source").agg(F.sum("words").alias("source_size"))
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("input"),
+        word_count(f"`{text}`").alias("size"),
+        F.col(f"`{source}`").alias("source"),
+        F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`")), F.lit("n")).alias("src"),
+        F.md5(F.concat_ws("|", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("binary")).alias("key"),
+    ).withColumn("range", F.substring("key", 1, digits))
+    ranges = rows.groupBy("src", "source", "range").agg(F.sum("size").alias("words")).withColumn("top", F.substring("range", 1, (digits + 1) // 2))
+    # prefix sums of the ranges in two levels, so that no task sees all ranges of a source
+    before = lambda *of: Window.partitionBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranges.groupBy("src", "source", "top").agg(F.sum("words").alias("top_words"))
+    sizes = tops.groupBy("src", "source").agg(F.sum("top_words").alias("source_size"))
+    tops = tops.select("src", "top", F.coalesce(F.sum("top_words").over(before("src").orderBy("top")), F.lit(0)).alias("top_before"))
     plan = (
-        ranges.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        ranges.withColumn("inner_before", F.coalesce(F.sum("words").over(before("src", "top").orderBy("range")), F.lit(0)))
+        .join(tops, ["src", "top"])
         .join(source_targets(sizes, **targets), "src")
-        .select(F.col("src").alias("mix_src"), F.col("range").alias("mix_range"), F.col("before").alias("mix_before"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    )
-    inside = Window.partitionBy("mix_src", "mix_range").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    budget = F.floor("mix_target").cast("long")
-    epochs = F.when(F.col("mix_source_size") > 0, F.floor(budget / F.col("mix_source_size"))).otherwise(0).cast("long")
-    cut = budget - F.col("mix_epochs") * F.col("mix_source_size") - (F.col("mix_before") + F.col("mix_run") - F.col("mix_size"))
-    return (
-        rows.join(plan, ["mix_src", "mix_range"])
-        .withColumn("mix_run", F.sum("mix_size").over(inside))
-        .withColumn("mix_epochs", epochs)
-        .withColumn("mix_part", F.greatest(F.lit(0).cast("long"), F.least("mix_size", cut)))
-        .drop("mix_src", "mix_range", "mix_key", "mix_before", "mix_run")
+        .select("src", "range", (F.col("top_before") + F.col("inner_before")).alias("before"), "source_size", "target")
     )
+    inside = Window.partitionBy("src", "range").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    budget = F.floor("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    cut = budget - F.col("epochs") * F.col("source_size") - (F.col("before") + F.col("run") - F.col("size"))
+    placed = rows.drop("source").join(plan, ["src", "range"]).withColumn("run", F.sum("size").over(inside)).withColumn("epochs", epochs)
+    part = F.greatest(F.lit(0).cast("long"), F.least("size", cut))
+    return placed.select(*[F.col("input").getField(c).alias(c) for c in own], *[x.alias(c) for c, x in zip(ADDED, [F.col("size"), F.col("source_size"), F.col("target"), F.col("epochs"), part])])
 
 
 def materialised(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: one row per copy of a document, a last copy cut where the budget ends."""
+    own = [c for c in mixed.columns if c not in ADDED]
     copies = F.col("mix_epochs") + F.when(F.col("mix_part") > 0, 1).otherwise(0)
-    some = (F.col("mix_copy") == F.col("mix_epochs")) & (F.col("mix_part") < F.col("mix_size"))
-    cut = F.expr(f"array_join(slice(regexp_extract_all(`{text}`, r'({WORD}[\\x20\\x09-\\x0D]*)', 1), 1, cast(mix_part as int)), '')")
-    return (
-        mixed.where(copies > 0)
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-        .withColumn(text, F.when(some, cut).otherwise(F.col(text)))
-        .drop(*[c for c in ("mix_size", "mix_source_size", "mix_target", "mix_epochs", "mix_part", "mix_copy")])
-    )
+    rows = mixed.where(copies > 0).select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("input"), F.col(f"`{text}`").alias("text"), *ADDED, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+    some = (F.col("copy") == F.col("mix_epochs")) & (F.col("mix_part") < F.col("mix_size"))
+    lead = r"regexp_extract(text, r'^[\x20\x09-\x0D]*', 0)"
+    cut = F.expr(f"concat({lead}, array_join(slice(regexp_extract_all(text, r'({WORD}[\\x20\\x09-\\x0D]*)', 1), 1, cast(mix_part as int)), ''))")
+    return rows.select(*[F.when(some, cut).otherwise(F.col("text")).alias(c) if c == text else F.col("input").getField(c).alias(c) for c in own])
 
 
 #: The same mix for DuckDB
