@@ -248,18 +248,18 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each class of near copies, with the columns of ``df``.
+    """One row of each class of near copies, with the columns of ``df``, whatever their names.
 
     The row with the smallest id stays (then of the smallest text hash, then any of equal rows).
-    Rows linked to nothing all stay.
+    Rows linked to nothing all stay, so rows with null, empty or blank texts do; an empty table
+    gives no rows.
     """
     classes = jaccard_classes(df, doc_id, text, **options)
-    alone = classes.where("links = 0").select("doc_id", "jc_key", F.lit(1).alias("jc_alone")).distinct()
+    alone = classes.where("links = 0").select("doc_id", "jc_key", F.lit(True).alias("alone")).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "jc_key")).alias("first")
-    head = classes.where("links > 0").groupBy("jc_class").agg(first).select("first.doc_id", "first.jc_key", F.lit(0).alias("jc_alone"))
-    stay = alone.unionByName(head).select(F.col("doc_id").alias("jc_id"), "jc_key", "jc_alone")
-    keyed = df.withColumn("jc_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = keyed.join(stay, (F.col(doc_id).eqNullSafe(F.col("jc_id"))) & (F.col("jc_hash") == F.col("jc_key")))
-    own = [F.col(f"`{c}`") for c in df.columns]
-    once = kept.where("jc_alone = 0").dropDuplicates(["jc_id", "jc_key"])
-    return kept.where("jc_alone = 1").select(*own).unionByName(once.select(*own))
+    head = classes.where("links > 0").groupBy("jc_class").agg(first).select("first.doc_id", "first.jc_key", F.lit(False).alias("alone"))
+    stay = alone.unionByName(head).select(F.col("doc_id").alias("id"), F.col("jc_key").alias("key"), "alone")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("input"), F.col(f"`{doc_id}`").alias("own_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("own_key"))
+    kept = rows.join(stay, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
+    once = kept.where("not alone").dropDuplicates(["id", "key"])
+    return kept.where("alone").select("input").unionByName(once.select("input")).select(*[F.col("input").getField(c).alias(c) for c in df.columns])
