@@ -1,10 +1,12 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats."""
 
 import collections
-import hashlib
+import math
 import random
+import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,10 +91,15 @@ def test_leaks(spark, odd):
     edited = items[2].split()
     edited[3], edited[20] = "other", "another"
     docs += [(20, "x y z " + " ".join(edited)), (21, None), (22, ""), (23, items[3][: len(items[3]) // 2])]
-    got = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", F.explode(leaks.leaks(bench)).alias("x")).select("doc_id", "x.item_id", "x.distance").collect()
+    table_ = spark.createDataFrame(docs, "doc_id long, text string")
+    got = leaks.find_leaks(table_, bench).select("doc_id", "leak.item_id", "leak.distance").collect()
+    few = leaks.find_leaks(table_, bench, pass_bytes=120)  # several passes
+    assert sorted(map(tuple, few.select("doc_id", "leak.item_id", "leak.distance").collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    assert sorted(r.doc_id for r in leaks.without_leaks(table_, bench, pass_bytes=120).collect()) == sorted({d for d, _ in docs} - {r.doc_id for r in got})
     assert sorted(map(tuple, got), key=repr) == sorted([(0, 0, 0), (1, 1, 0), (1, None, 0), (2, 2, 0), (3, 3, 0), (20, 2, 2)], key=repr)
-    assert odd.where(F.size(leaks.leaks(bench)) > 0).count() == 0
-    assert odd.where(F.size(leaks.leaks(bench.where("item_id > 99"))) > 0).count() == 0
+    assert leaks.find_leaks(odd, bench).count() == leaks.find_leaks(odd, bench.where("item_id > 99")).count() == 0
+    with pytest.raises(ValueError):
+        leaks.build_index([1], ["one two three four five six seven"], 0.3)
 
 
 def test_line_dedup(spark, nothing):
@@ -200,12 +207,121 @@ def test_licences(spark, nothing):
     assert [(r.doc_id, r.x.paragraph, r.x.family) for r in out] == [(1, 1, "MIT"), (2, 0, "CC-BY-NC")]
 
 
+def test_leaks_against_brute_force(spark):
+    """All items against all documents by the table of distances, passages edited at will."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (8, 12, 20, 33, 48) for _ in range(6)]
+    docs = []
+    for i in range(60):
+        item = list(items[i % len(items)])
+        for _ in range(rng.randrange(0, int(0.3 * len(item)) + 1)):
+            k, kind = rng.randrange(len(item)), rng.random()
+            item[k : k + (kind < 0.7)] = [] if kind < 0.3 else [rng.choice(vocabulary)]
+        docs.append([rng.choice(vocabulary) for _ in range(rng.randrange(30))] + item + [rng.choice(vocabulary) for _ in range(rng.randrange(30))])
+
+    def distance(item, doc):
+        row = [0] * (len(doc) + 1)
+        for i, w in enumerate(item):
+            new = [i + 1]
+            for j, d in enumerate(doc):
+                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (w != d)))
+            row = new
+        return min(row)
+
+    want = {(d, i): x for d, doc in enumerate(docs) for i, item in enumerate(items) if (x := distance(item, doc)) <= int(0.2 * len(item) + 1e-9)}
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in leaks.find_leaks(frame(docs, "doc_id"), frame(items, "item_id")).select("doc_id", "leak.*").collect()}
+    assert all(want[k] == x for k, x in got.items()) and len(got) >= 0.95 * len(want) and len(want) > 30
+
+
+def test_matrix_rows_and_columns():
+    """Row and column sums are exact, and the law beyond numpy's limit is the same."""
+    counts, sizes = np.array([5, 0, 13, 7, 9]), np.array([10, 12, 0, 12])
+    for limit in (10**9, 1):
+        drawn = np.array([[sharding.Matrix(counts, sizes, seed, limit).row(p) for p in range(5)] for seed in range(300)])
+        assert (drawn.sum(axis=2) == counts).all() and (drawn.sum(axis=1) == sizes).all()
+        assert np.abs(drawn.mean(axis=0) - np.outer(counts, sizes) / 34).max() < 0.4
+    rng = np.random.default_rng(1)
+    big = np.array([sharding.hypergeometric(rng, 3_000_000_000, 9_000_000_000, 1_000_000) for _ in range(400)])
+    assert abs(big.mean() - 250_000) < 5 * 433 / 20 and 0.85 < big.std() / 433 < 1.15
+    small = np.array([sharding.hypergeometric(rng, 6, 9, 5, 1) for _ in range(4000)])
+    for x in range(6):
+        p = math.comb(6, x) * math.comb(9, 5 - x) / math.comb(15, 5)
+        assert abs((small == x).mean() - p) < 5 * (p / 4000) ** 0.5 + 1e-3
+
+
+def test_top_k_repeats_and_large_components(spark):
+    """Against brute force: ids that repeat with equal and other vectors, an empty table, sums beyond 64 bits."""
+    rng = random.Random(2)
+    rows = [(i, [rng.randrange(-900, 900) for _ in range(4)]) for i in range(30)]
+    rows += [rows[0]] * 25 + [(0, [5, 5, 5, 5]), (0, [9, -9, 9, 9]), (7, None)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    want = []
+    for a, (i, q) in enumerate(rows):
+        if q is not None and i % 10 == 0:
+            best = sorted(((-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(rows) if b != a and v is not None))[:10]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    got = bitsliced.top_k(df, df.where("vec_id % 10 = 0"), block_rows=8, query_rows=5).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert bitsliced.top_k(df.limit(0), df).count() == bitsliced.top_k(df, df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="64 bits"):
+        bitsliced.top_k(spark.createDataFrame([(1, [1 << 40]), (2, [1 << 40])], df.schema), df.sparkSession.createDataFrame([(1, [1 << 40])], df.schema)).collect()
+
+
+WORKING = ["row", "input", "key", "part", "block", "rank", "at", "size", "src", "range", "before", "copy", "id", "own_id", "own_key", "alone", "text_key", "runs", "cut", "node", "check", "gone", "turn", "kept", "first", "leak", "jc_key", "jc_class", "jc_hash", "sh_part", "ld_key", "sd_key", "mix_range"]
+
+
+def test_clashing_columns(spark):
+    """Columns named like the operators' own working columns come through with their values."""
+    rows = spark.createDataFrame([(i, f"some words of text number {i % 3} {i % 3} {i % 3} and more of them\nline {i}", "en", "s0") for i in range(8)], "doc_id long, text string, lang string, source string")
+    for c in WORKING:
+        rows = rows.withColumn(c, F.concat(F.lit(f"{c}-"), "doc_id"))
+    bench = spark.createDataFrame([(1, "words of text number 1 1 1 and more of them")], "item_id long, text string")
+    outs = {
+        "shard": sharding.shard(rows, 3, part_rows=2), "mix": mixing.mix(rows), "mixed": mixing.materialised(mixing.mix(rows)), "keep_one": jaccard.keep_one(rows),
+        "lines": linededup.dedup_lines(rows), "substrings": suffixes.dedup_substrings(rows, length=30), "clean": leaks.without_leaks(rows, bench), "leaks": leaks.find_leaks(rows, bench),
+    }
+    for name, out in outs.items():
+        got = out.collect()
+        assert got, name
+        for r in got:
+            assert all(r[c] == f"{c}-{r.doc_id}" for c in WORKING if not (name == "leaks" and c == "leak")), name
+
+
 def test_pipeline_stages(spark):
+    """What each stage keeps on documents with planted junk, copies and leaks, against plain Python."""
     import corpus_pipeline
 
-    docs = table(spark, DATA, "documents").limit(120).cache()
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, DATA).cache()
-        assert out.columns[: len(docs.columns)] == docs.columns and out.count() > 0
-        docs = out.select(*docs.columns)
-    assert hashlib.sha256(repr(sorted(map(tuple, docs.collect()), key=repr)).encode()).hexdigest()
+    docs = table(spark, DATA, "documents").cache()
+    bench = [r.text for r in table(spark, DATA, "benchmark").collect()]
+    rng = random.Random(3)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdeghilmnorst") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    clean = [fresh(60) for _ in range(12)]
+    copies = [clean[0] + " end", clean[0], clean[1]]
+    leaky = [f"{fresh(10)} {bench[k]} {fresh(10)}" for k in range(3)]
+    texts_ = clean + copies + leaky
+    planted = spark.createDataFrame([(10_000 + i, t, "en", "src0", len(t)) for i, t in enumerate(texts_)], docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {r.doc_id for r in stages["near_duplicates"](spark, planted, DATA).collect()}
+    assert kept == {10_000 + i for i in range(len(texts_)) if i not in (12, 13, 14)}
+    kept = {r.doc_id for r in stages["decontaminated"](spark, planted, DATA).collect()}
+    assert kept == {10_000 + i for i in range(15)}
+    net = quality.fit(docs, table(spark, DATA, "labels"))
+    scores = {r.doc_id: r.s for r in docs.select("doc_id", quality.score(net).alias("s")).collect()}
+    good = stages["quality_filter"](spark, docs, DATA)
+    assert {r.doc_id for r in good.collect()} == {d for d, s in scores.items() if s >= 0.3}
+    mixed = stages["mixed"](spark, good, DATA).cache()
+    sizes = collections.Counter()
+    for r in good.collect():
+        sizes[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    taken = collections.Counter()
+    for r in mixed.collect():
+        taken[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= len(sizes) and all(taken[s] <= 2 * n for s, n in sizes.items())
+    out = stages["sharded"](spark, mixed, DATA).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted((r.doc_id, r.text) for r in mixed.collect())
+    assert len({(r.shard, r.slot) for r in out}) == len(out)
+    assert mixed.columns == docs.columns
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), DATA).count() == 0
