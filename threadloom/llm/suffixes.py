@@ -194,6 +194,13 @@ class Shard:
         self.low = np.minimum.reduceat(place, self.first) if len(group) else place
         self.high = np.maximum.reduceat(place, self.first) if len(group) else place
 
+    @classmethod
+    def again(cls, state: dict) -> "Shard":
+        """A stored shard, without sorting."""
+        out = cls.__new__(cls)
+        vars(out).update(state)
+        return out
+
     def words(self, groups: np.ndarray, k: int) -> np.ndarray:
         """Bytes 8k to 8k+7 of the groups' strings as numbers in byte order."""
         at = self.at[self.first[groups]] + 8 * k
@@ -267,7 +274,7 @@ def matches(contexts: DataFrame, length: int, shard_bytes: int, shard_contexts:
             yield {"anchor": rows["anchor"][lo + of], "context": rows["context"][lo + of], "from": begin, "to": end, "chunk": blank, "chunks": blank, "stored": np.full(len(of), None)}
             if rows["hot"][lo]:
                 own = {k: rows[k][lo : lo + 1] for k in ("anchor", "context", "chunk", "chunks")}
-                yield own | {"from": np.zeros(1, int), "to": np.zeros(1, int), "stored": np.array([pickle.dumps((rows["context"][lo:hi], shard), 5)], object)}
+                yield own | {"from": np.zeros(1, int), "to": np.zeros(1, int), "stored": np.array([pickle.dumps((rows["context"][lo:hi], vars(shard)), 5)], object)}
 
     columns = ["shard", "hot", "chunk", "chunks", "anchor", "context", "text_key", "start", "bytes"]
     kinds = "anchor long, context long, from int, to int"
@@ -278,7 +285,7 @@ def matches(contexts: DataFrame, length: int, shard_bytes: int, shard_contexts:
     def meet(pair: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"anchor": [], "context": [], "from": [], "to": []}, dtype=np.int64)]
         if len(pair) == 2:
-            (left, a), (right, b) = (pickle.loads(x) for x in pair.sort_values("chunk")["stored"])
+            (left, a), (right, b) = ((context, Shard.again(state)) for context, state in map(pickle.loads, pair.sort_values("chunk")["stored"]))
             i, j = a.meet(b)
             apart = np.minimum(a.low[i], b.low[j]) != np.maximum(a.high[i], b.high[j])
             for context, shard, groups in ((left, a, i[apart]), (right, b, j[apart])):
