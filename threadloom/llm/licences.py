@@ -3,7 +3,8 @@
 Paragraphs (lines; long ones in overlapping windows of words) get sparse word n-gram features and a
 multinomial logistic regression over licence families and "none".  It is trained on passages drawn
 from templates and on corpus paragraphs that resemble no template.  A prediction counts only if the
-family's templates confirm it; likely licences that no template confirms are "unknown".
+family's templates confirm it.  What looks like a licence but is not confirmed, or falls below the
+confidence that passages of families left out of training have, is "unknown".
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ from .leaks import tokens
 #: Words of a window and words from one window to the next
 WINDOW, HOP = 48, 24
 FEATURE_BITS = 16
-#: Corpus rows in the training sample, characters of each, passages drawn per family
-SAMPLE_ROWS, SAMPLE_CHARS, PER_FAMILY = 1_500, 2_000, 300
+#: Corpus rows in the training sample, lines of each, characters of a line (from a random place of a
+#: longer one), passages drawn per family
+SAMPLE_ROWS, SAMPLE_LINES, SAMPLE_CHARS, PER_FAMILY = 1_500, 12, 1_000, 300
 EPOCHS, BATCH, RATE, SEED = 12, 256, 0.5, 3
-#: False alarms allowed among held-out corpus paragraphs; template overlap that confirms a family,
-#: and overlap with any template that an unknown licence needs
-FALSE_ALARMS, CONFIRM, HINT = 0.002, 0.5, 0.1
+#: Passes over the passages when some families are left out to calibrate the unknown class
+EPOCHS_LEFT_OUT = 4
+#: False alarms allowed among held-out corpus paragraphs; template overlap beyond which a family is
+#: confirmed, and confirmed without confidence; overlap with any template that an unknown licence needs
+FALSE_ALARMS, CONFIRM, CERTAIN, HINT = 0.002, 0.5, 0.8, 0.1
 
 # Standard notices of the licence families.
 TEMPLATES: dict[str, list[str]] = {
@@ -35,42 +39,63 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the MIT license. See the LICENSE file for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
+        "SPDX-License-Identifier: MIT",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "SPDX-License-Identifier: Apache-2.0",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "GPL-2.0": [
         "Licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only",
     ],
     "AGPL-3.0": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "BSD": [
         "Distributed under the BSD License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ],
     "ISC": [
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
+        "SPDX-License-Identifier: ISC",
     ],
     "MPL-2.0": [
         "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
@@ -88,6 +113,26 @@ TEMPLATES: dict[str, list[str]] = {
         "Dedicated to the public domain under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal Public Domain Dedication.",
     ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "Proprietary": [
         "All rights reserved. Proprietary and confidential.",
         "No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher.",
@@ -101,6 +146,7 @@ class Scanner:
     weights: np.ndarray  # (features, families)
     bias: np.ndarray
     limit: float  # least probability of a licence
+    sure: float  # least share of the best family among all families
     grams: dict[str, list[np.ndarray]]  # family -> word 3-grams of each template
 
 
@@ -135,6 +181,36 @@ def unit_features(symbols: np.ndarray) -> np.ndarray:
     return np.concatenate([one, two[:-1]])
 
 
+def regression(rows: list[np.ndarray], y: np.ndarray, learn: np.ndarray, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of the multinomial logistic regression over sparse rows of feature numbers."""
+    weights, bias = np.zeros((1 << FEATURE_BITS, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
+    power, learn = np.full(1 << FEATURE_BITS, 1e-2, np.float32), learn.copy()
+    for _ in range(epochs):
+        rng.shuffle(learn)
+        for lo in range(0, len(learn), BATCH):
+            batch = learn[lo : lo + BATCH]
+            own = [rows[i] for i in batch]
+            row = np.repeat(np.arange(len(batch)), [len(x) for x in own])
+            column, scale = np.concatenate(own), 1 / np.sqrt([max(1, len(x)) for x in own])
+            logits = np.zeros((len(batch), len(FAMILIES)))
+            np.add.at(logits, row, weights[column])
+            logits = logits * scale[:, None] + bias
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(batch)), y[batch]] -= 1
+            bias -= 0.02 * p.mean(axis=0).astype(np.float32)
+            slope = (p * scale[:, None])[row].astype(np.float32)
+            np.add.at(power, column, (slope**2).sum(axis=1))
+            np.add.at(weights, column, -RATE * slope / np.sqrt(power[column])[:, None])
+    return weights, bias
+
+
+def confidence(scanner: Scanner, units: list[np.ndarray]) -> np.ndarray:
+    """Share of the best family in the probability of all families, for each unit."""
+    p = np.stack([scores(scanner, u, np.array([0]), np.array([len(u)]))[0] for u in units])
+    return p[:, 1:].max(axis=1) / np.maximum(1e-12, p[:, 1:].sum(axis=1))
+
+
 def train(negatives: list[str], seed: int = SEED, per_family: int = PER_FAMILY) -> Scanner:
     rng = np.random.default_rng(seed)
     grams = {f: [trigrams(words_of(t)) for t in ts] for f, ts in TEMPLATES.items()}
@@ -164,33 +240,21 @@ def train(negatives: list[str], seed: int = SEED, per_family: int = PER_FAMILY)
             units.append(np.concatenate([around[:cut], part, around[cut:]])[:WINDOW])
             labels.append(y)
     order = rng.permutation(len(units))
-    held = set(order[: len(order) // 5].tolist())
-    rows = [unit_features(u) for u in units]
-    y = np.array(labels)
-    weights, bias = np.zeros((1 << FEATURE_BITS, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
-    power = np.full(1 << FEATURE_BITS, 1e-2, np.float32)
-    learn = np.array([i for i in order if i not in held])
-    for _ in range(EPOCHS):
-        rng.shuffle(learn)
-        for lo in range(0, len(learn), BATCH):
-            batch = learn[lo : lo + BATCH]
-            own = [rows[i] for i in batch]
-            row = np.repeat(np.arange(len(batch)), [len(x) for x in own])
-            column, scale = np.concatenate(own), 1 / np.sqrt([max(1, len(x)) for x in own])
-            logits = np.zeros((len(batch), len(FAMILIES)))
-            np.add.at(logits, row, weights[column])
-            logits = logits * scale[:, None] + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(batch)), y[batch]] -= 1
-            bias -= 0.02 * p.mean(axis=0).astype(np.float32)
-            slope = (p * scale[:, None])[row].astype(np.float32)
-            np.add.at(power, column, (slope**2).sum(axis=1))
-            np.add.at(weights, column, -RATE * slope / np.sqrt(power[column])[:, None])
-    scanner = Scanner(weights, bias, 0.5, grams)
+    held = order[: len(order) // 5]
+    learn, rows, y = order[len(order) // 5 :], [unit_features(u) for u in units], np.array(labels)
+    scanner = Scanner(*regression(rows, y, learn, EPOCHS, rng), 0.5, 0.0, grams)
     quiet = [1 - scores(scanner, units[i], np.array([0]), np.array([len(units[i])]))[0, 0] for i in held if y[i] == 0]
     if len(quiet) >= 20:
         scanner.limit = max(0.5, float(np.quantile(quiet, 1 - FALSE_ALARMS)))
+    known = confidence(scanner, [units[i] for i in held if y[i]])
+    strange = []
+    for fold in range(2):  # every second family is left out, its passages are unknown licences
+        out = (y > 0) & (y % 2 == fold)
+        part = Scanner(*regression(rows, y, learn[~out[learn]], EPOCHS_LEFT_OUT, rng), 0.5, 0.0, grams)
+        strange.append(confidence(part, [units[i] for i in held if out[i]]))
+    strange = np.concatenate(strange)
+    steps = np.linspace(0, 1, 101)
+    scanner.sure = float(max(steps, key=lambda t: (known >= t).mean() + (strange < t).mean()))
     return scanner
 
 
@@ -204,11 +268,23 @@ def scores(scanner: Scanner, symbols: np.ndarray, start: np.ndarray, end: np.nda
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Scanner:
-    """Train on templates and on the first ``sample_chars`` characters of at most ``sample_rows``
-    corpus rows, chosen by hash; null texts are left out, without rows templates alone are used."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, sample_chars).alias("t"), F.xxhash64(F.lit(SEED), text).alias("h"))
-    return train([r["t"] for r in rows.orderBy("h", "t").limit(sample_rows).collect()])
+def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES, sample_chars: int = SAMPLE_CHARS) -> Scanner:
+    """Train on templates and on ``sample_lines`` lines of each of ``sample_rows`` corpus rows.
+
+    Rows and lines are chosen by hash, of a line of more than ``sample_chars`` characters a piece at
+    a random place; nothing else reaches the driver.  Null texts are left out, without rows
+    templates alone are used.
+    """
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(F.lit(SEED), text).alias("h"))
+    last = rows.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([])
+    mixed = F.transform(F.split("t", "\n"), lambda x: F.struct(F.xxhash64(F.lit(SEED + 1), x).alias("turn"), x.alias("line")))
+    some = F.slice(F.array_sort(F.array_distinct(mixed)), 1, sample_lines)
+    room = lambda x: F.greatest(F.lit(1), F.length(x["line"]) - sample_chars + 1)
+    lines = F.transform(some, lambda x: F.substr(x["line"], F.lit(1) + F.pmod(x["turn"], room(x).cast("long")).cast("int"), F.lit(sample_chars)))
+    chosen = rows.where(F.col("h") <= last).dropDuplicates(["h"]).select("h", F.array_join(lines, "\n").alias("t"))
+    return train([r["t"] for r in chosen.orderBy("h").limit(sample_rows).collect()])  # sample_rows x sample_lines x sample_chars at most
 
 
 def scan(scanner: Scanner, text: str | Column = "text") -> Column:
@@ -216,7 +292,8 @@ def scan(scanner: Scanner, text: str | Column = "text") -> Column:
 
     A paragraph is a line, counted from 0, and ``start`` to ``end`` are the words of it that the
     passage spans; every passage of a line counts.  ``family`` is ``unknown`` where the classifier
-    sees a licence that no template of the family confirms.  Null and empty texts have no passages.
+    sees a licence that no template of the family confirms.  Null and empty texts have no passages,
+    very long ones are scanned whole; repeated rows are scanned each, an empty table gives no rows.
     """
     kind = "array<struct<paragraph: int, family: string, probability: double, similarity: double, start: int, end: int>>"
 
@@ -290,7 +367,7 @@ def window_passages(scanner: Scanner, symbols: np.ndarray, low: int, high: int)
             continue
         family, grams = FAMILIES[1 + int(p[1:].argmax())], trigrams(part)
         overlap = template_overlap(scanner.grams[family], grams)
-        if overlap >= CONFIRM:
+        if overlap > CONFIRM and (overlap >= CERTAIN or p[1:].max() >= scanner.sure * p[1:].sum()):
             a, b = template_span(scanner.grams[family], part)
             out.append(Passage(family, lo + a, lo + b, low, high, float(1 - p[0]), float(overlap)))
             todo += [(lo, lo + a), (lo + b, hi)]
