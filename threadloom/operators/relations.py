@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..llm.jaccard import split_groups
+from .groups import split_groups
 
 
 def copresence(members: DataFrame, least: int = 1, chunk: int = 256) -> DataFrame:
