@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.groups import split_groups
 from ..session import staged
 from .common import SLICE_BYTES, U64, map_sorted, merge_labels, mix, shingles, slices, text_buffer, within_pairs
 
@@ -112,23 +113,6 @@ def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: dict[int, in
     return alive
 
 
-def split_groups(df: DataFrame, key: str, node: str, size: str, chunk: int) -> DataFrame:
-    """Deal groups of more than ``chunk`` members into chunks, every pair of which meets once.
-
-    Adds ``lo`` and ``hi`` (the two chunks of a meeting) and ``mine`` (the row's own chunk).
-    """
-    n = F.ceil(F.col(size) / chunk).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    return (
-        df.withColumn("chunks", n)
-        .withColumn("mine", F.pmod(F.xxhash64(node), F.col("chunks")).cast("int"))
-        .withColumn("other", other)
-        .withColumn("lo", F.least("mine", "other"))
-        .withColumn("hi", F.greatest("mine", "other"))
-        .drop("chunks", "other")
-    )
-
-
 def signature_rows(column: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
