@@ -502,3 +502,6 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
 )
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     return windows.sessions(table(spark, d, "events"))
+
+
+from . import mail  # noqa: E402, F401  its queries register themselves
