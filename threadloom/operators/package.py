@@ -25,8 +25,8 @@ def ask(claims: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
     """Claims (package_id, claim_id, text) by shared terms with each question (package_id, question_id, text)."""
     q = questions.select("package_id", "question_id", F.explode(S.tokens(F.col("text"))).alias("term"))
     c = claims.select("package_id", "claim_id", F.explode(S.tokens(F.col("text"))).alias("term"))
-    score = q.join(c, ["package_id", "term"]).groupBy("question_id", "claim_id").agg(F.count("*").alias("overlap"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("overlap"), "claim_id")
+    score = q.join(c, ["package_id", "term"]).groupBy("package_id", "question_id", "claim_id").agg(F.count("*").alias("overlap"))
+    order = Window.partitionBy("package_id", "question_id").orderBy(F.desc("overlap"), "claim_id")
     return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -95,3 +95,16 @@ def bcubed(pred: DataFrame, gold: DataFrame) -> DataFrame:
     )
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))
     return sums.select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+def set_similarity(sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """Jaccard and overlap of the sets (id, terms) with each asked set (item_id, terms) that shares a term.
+
+    An inverted index: terms that no asked set holds are dropped first, and shared terms are counted
+    before anything else is joined.
+    """
+    wanted = asked.select("item_id", F.size("terms").alias("m"), F.explode("terms").alias("term"))
+    rows = sets.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    shared = rows.join(wanted, "term").groupBy("id", "item_id", "n", "m").agg(F.count("*").cast("int").alias("shared"))
+    both = F.col("shared")
+    return shared.select("id", "item_id", "shared", F.round(both / (F.col("n") + F.col("m") - both), 6).alias("jaccard"), F.round(both / F.least("n", "m"), 6).alias("overlap"))

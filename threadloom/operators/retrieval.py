@@ -8,37 +8,51 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def vector_search(docs: DataFrame, queries: DataFrame, k: int = 20, least: float | None = None) -> DataFrame:
+def vector_search(docs: DataFrame, queries: DataFrame, k: int = 20, least: float | None = None, at_once: int = 2_000) -> DataFrame:
     """The k documents (id, v) nearest to each query (query_id, q) by cosine; ties go to smaller ids.
 
-    Queries are a stated set and meet every document once; only k rows per query are kept.
+    Queries are a stated set: they go to the documents in blocks of about ``at_once``, each document
+    meets every query once, lengths are taken once, and each task keeps k rows per query.
     """
-    scored = docs.join(queries, how="cross").select("query_id", "id", F.round(S.cosine(F.col("v"), F.col("q")), 4).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
+    sized = docs.select("id", "v", F.sqrt(S.dot(F.col("v"), F.col("v"))).alias("size"))
+    asked = queries.select("query_id", "q", F.sqrt(S.dot(F.col("q"), F.col("q"))).alias("q_size"))
+    blocks = max(1, -(-queries.count() // at_once))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = None
+    for block in range(blocks):
+        few = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)  # about at_once rows
+        scored = sized.join(F.broadcast(few), how="cross").select("query_id", "id", F.round(S.dot(F.col("v"), F.col("q")) / (F.col("size") * F.col("q_size")), 4).alias("score"))
+        if least is not None:
+            scored = scored.where(F.col("score") >= least)
+        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf, len) of the ASCII words of (id, text)."""
+def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, len) of the ASCII words of (id, text), of the ``wanted`` terms alone if given."""
     words = docs.select("id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
-    return words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    rows = words.select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    rows = rows if wanted is None else rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
 
 
 def text_search(docs: DataFrame, queries: DataFrame, k: int = 20, every: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents of each query (query_id, text) by BM25; ``every``: with all its terms."""
-    index = postings(docs)
-    lengths = docs.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    """The k best documents of each query (query_id, text) by BM25; ``every``: with all its terms.
+
+    Words that no query asks for are dropped before anything is grouped.
+    """
     terms = queries.select("query_id", F.explode(S.tokens(F.col("text"))).alias("term"))
     asked = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
-    hits = index.join(terms, "term")
-    df = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").join(F.broadcast(stats), how="cross")
+    index = postings(docs, terms.select("term").distinct())
+    lengths = docs.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("len"))
+    stats = lengths.agg(F.count(F.when(F.col("len") >= 0, 1)).alias("n"), F.avg(F.when(F.col("len") >= 0, F.col("len"))).alias("avg_len"))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = index.join(df, "term").join(F.broadcast(stats), how="cross")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    found = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score"), F.count("*").alias("matched"))
+    scored = weighted.select("term", "id", part.alias("part")).join(terms, "term")
+    found = scored.groupBy("query_id", "id").agg(F.round(F.sum("part"), 4).alias("score"), F.count("*").alias("matched"))
     if every:
         found = found.join(asked, "query_id").where("matched = asked").drop("asked")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -198,14 +198,19 @@ def bodies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", S.clean_body(F.col("html")).alias("clean_text"))
 
 
-@query("SCAL_13_link_domains", r"""SELECT page_id, lower(regexp_extract(url, 'https?://([A-Za-z0-9.-]+)', 1)) AS host FROM pages""")
+@query("SCAL_13_link_domains", r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'https?://([A-Za-z0-9.-]+)', 1)) AS h FROM pages), g AS (SELECT DISTINCT page_id, lower(array_to_string(list_slice(string_split(h, '.'), -2, NULL), '.')) AS x FROM h)
+SELECT page_id, coalesce(string_agg(x, ',' ORDER BY x), '') AS domains FROM pages LEFT JOIN g USING (page_id) GROUP BY 1""")
 def hosts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", r"https?://([A-Za-z0-9.-]+)", 1)).alias("host"))
+    return table(spark, d, "pages").select("page_id", F.array_join(S.link_domains(F.col("html")), ",").alias("domains"))
 
 
-@query("SCAL_30_intents", None)
+def _first_match(rules: list[tuple[str, str]], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, p in rules) + f" ELSE '{otherwise}' END"
+
+
+@query("SCAL_30_intents", f"SELECT 'c' || conv_id || '-' || turn || '@x' AS message_id, {_first_match(S.INTENTS, 'general')} AS intent, {_first_match(S.ROLE_RULES, 'unknown')} AS role FROM conversations WHERE text IS NOT NULL")
 def intents(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).select("message_id", S.intent(F.col("text")).alias("intent"), S.role(F.col("text")).alias("role"))
+    return messages(spark, d).where("text is not null").select("message_id", S.intent(F.col("text")).alias("intent"), S.role(F.col("text")).alias("role"))
 
 
 @query("SCAL_38_luhn")
@@ -214,19 +219,17 @@ def luhn(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "digits", S.luhn_ok(F.col("digits")).alias("valid"))
 
 
+_TERMS = "unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 3)))"
+
+
 @query(
     "SIM_01_set_similarity",
-    """WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 3))) AS w, lang FROM documents WHERE lang = 'en'),
-b AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 3)) AS v FROM benchmark)
-SELECT doc_id, item_id, len(list_intersect(w, v))::INT AS shared, round(len(list_intersect(w, v))::DOUBLE / (len(w) + len(v) - len(list_intersect(w, v))), 6) AS jaccard,
-       round(len(list_intersect(w, v))::DOUBLE / least(len(w), len(v)), 6) AS overlap FROM t JOIN b ON doc_id % 40 = item_id WHERE len(w) > 0""",
+    f"""WITH t AS (SELECT doc_id, {_TERMS} AS term FROM documents), b AS (SELECT item_id, {_TERMS} AS term FROM benchmark), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), m AS (SELECT item_id, count(*) AS m FROM b GROUP BY 1),
+s AS (SELECT doc_id, item_id, count(*) AS k FROM t JOIN b USING (term) GROUP BY 1, 2) SELECT doc_id, item_id, k::INT AS shared, round(k / (n + m - k), 6) AS jaccard, round(k / least(n, m), 6) AS overlap FROM s JOIN n USING (doc_id) JOIN m USING (item_id)""",
 )
 def set_similarity(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", S.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    b = table(spark, d, "benchmark").select("item_id", S.tokens(F.col("text")).alias("v"))
-    both = t.join(b, F.col("doc_id") % 40 == F.col("item_id"))
-    w, v = F.col("w"), F.col("v")
-    return both.select("doc_id", "item_id", F.size(F.array_intersect(w, v)).alias("shared"), F.round(S.jaccard(w, v), 6).alias("jaccard"), F.round(S.overlap_coefficient(w, v), 6).alias("overlap"))
+    sets = table(spark, d, "documents").select(F.col("doc_id").alias("id"), S.tokens(F.col("text")).alias("terms"))
+    return relations.set_similarity(sets, table(spark, d, "benchmark").select("item_id", S.tokens(F.col("text")).alias("terms"))).withColumnRenamed("id", "doc_id")
 
 
 @query(
@@ -287,13 +290,13 @@ def idf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "AGG_14_top_terms",
-    """WITH t AS (SELECT source AS group_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 3)) AS term FROM documents WHERE lang = 'en'),
+    """WITH t AS (SELECT source AS group_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 3)) AS term FROM documents),
 tf AS (SELECT group_id, term, count(*) AS tf FROM t GROUP BY 1, 2), c AS (SELECT term, count(*) AS cdf FROM tf GROUP BY 1),
-s AS (SELECT group_id, tf.term, tf, round(tf * ln((1 + (SELECT count(DISTINCT source) FROM documents WHERE lang = 'en')) / (1 + cdf)), 6) AS score FROM tf JOIN c ON tf.term = c.term),
+s AS (SELECT group_id, tf.term, tf, round(tf * ln((1 + (SELECT count(DISTINCT source) FROM documents)) / (1 + cdf)), 6) AS score FROM tf JOIN c ON tf.term = c.term),
 r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, term) AS rank FROM s) SELECT group_id, rank, term, tf, score FROM r WHERE rank <= 12""",
 )
 def top_terms(spark: SparkSession, d: str) -> DataFrame:
-    return relations.top_terms(table(spark, d, "documents").where("lang = 'en'").select(F.col("source").alias("group_id"), "text"))
+    return relations.top_terms(table(spark, d, "documents").select(F.col("source").alias("group_id"), "text"))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -330,17 +333,17 @@ def bcubed(spark: SparkSession, d: str) -> DataFrame:
 
 _VECTOR = """v AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 4) AS score
-  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0))"""
+  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0))"""
 
 
 @query("RET_01_vector_search", f"WITH {_VECTOR} SELECT query_id, id, score, rank FROM v WHERE rank <= 20")
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     return retrieval.vector_search(v.select("id", "v"), asked)
 
 
-_BM25 = """w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE lang = 'en'),
+_BM25 = """w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 p AS (SELECT term, id, any_value(len) AS len, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM w) GROUP BY 1, 2),
 q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 3)) AS term FROM benchmark),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
@@ -348,21 +351,27 @@ t AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
       FROM p JOIN q USING (term) JOIN df USING (term), st GROUP BY 1, 2)"""
 
 
-def english(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
+def searched(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 @query("RET_02_text_search", f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t) SELECT query_id, id, score, rank FROM r WHERE rank <= 20")
 def text_search(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.text_search(english(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return retrieval.text_search(searched(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
-@query("RET_03_hybrid")
+@query(
+    "RET_03_hybrid",
+    f"""WITH {_VECTOR}, {_BM25}, a AS (SELECT query_id, id, CASE WHEN min(score) OVER w = max(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS v FROM v WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)),
+r AS (SELECT query_id * 50 AS query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t),
+b AS (SELECT query_id, id, CASE WHEN min(score) OVER w = max(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS t FROM r WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)),
+m AS (SELECT query_id, id, CASE WHEN v IS NULL THEN 'fts' WHEN t IS NULL THEN 'vector' ELSE 'hybrid' END AS source, round(0.6 * coalesce(v, 0) + 0.4 * coalesce(t, 0), 4) AS score FROM a FULL JOIN b USING (query_id, id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m) SELECT query_id, id, source, score, rank FROM k WHERE rank <= 10""",
+)
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    first = retrieval.vector_search(v.select("id", "v"), v.where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-    second = retrieval.text_search(english(spark, d), table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), "text"))
-    return retrieval.hybrid(first, second)
+    """Every fiftieth vector and every benchmark item asks; item i goes with vector 50 i."""
+    questions = table(spark, d, "benchmark").select((F.col("item_id") * 50).alias("query_id"), "text")
+    return retrieval.hybrid(vector_search(spark, d).drop("rank"), retrieval.text_search(searched(spark, d), questions).drop("rank"))
 
 
 @query("RET_07_backfill", "SELECT doc_id AS id, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0")
@@ -403,14 +412,16 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "PKG_08_ask",
-    """WITH k AS (SELECT lang AS p, doc_id AS c, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 3))) AS t FROM documents),
-q AS (SELECT 'en' AS p, item_id AS q, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 3))) AS t FROM benchmark),
-s AS (SELECT q AS question_id, c AS claim_id, count(*) AS overlap FROM q JOIN k ON q.p = k.p AND q.t = k.t GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, claim_id) AS rank FROM s) SELECT question_id, claim_id, overlap, rank FROM r WHERE rank <= 6""",
+    """WITH k AS (SELECT coalesce(lang, 'none') AS p, doc_id AS c, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 3))) AS t FROM documents),
+q AS (SELECT p, item_id AS q, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) >= 3))) AS t FROM benchmark, (SELECT DISTINCT coalesce(lang, 'none') AS p FROM documents)),
+s AS (SELECT q.p AS package_id, q AS question_id, c AS claim_id, count(*) AS overlap FROM q JOIN k ON q.p = k.p AND q.t = k.t GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY package_id, question_id ORDER BY overlap DESC, claim_id) AS rank FROM s) SELECT package_id, question_id, claim_id, overlap, rank FROM r WHERE rank <= 6""",
 )
 def ask(spark: SparkSession, d: str) -> DataFrame:
-    claims = table(spark, d, "documents").select(F.col("lang").alias("package_id"), F.col("doc_id").alias("claim_id"), "text")
-    return package.ask(claims, table(spark, d, "benchmark").select(F.lit("en").alias("package_id"), F.col("item_id").alias("question_id"), "text"))
+    """Every benchmark item is asked in every package; a package holds the documents of a language."""
+    claims = table(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("package_id"), F.col("doc_id").alias("claim_id"), "text")
+    asked = claims.select("package_id").distinct().join(table(spark, d, "benchmark"), how="cross")  # packages x questions
+    return package.ask(claims, asked.select("package_id", F.col("item_id").alias("question_id"), "text"))
 
 
 @query(
