@@ -18,7 +18,7 @@ def mean_vectors(vectors: DataFrame, key: str, weight: str | None = None) -> Dat
     sums = each.groupBy(key, "i").agg(F.sum(F.col("x").cast("double") * F.col("w")).alias("s"), F.sum("w").alias("w")).withColumn("m", F.col("s") / F.col("w"))
     listed = sums.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda t: t["m"]).alias("mean"))  # as long as a vector
     norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda acc, x: acc + x * x))
-    return listed.select(key, F.when(norm > 0, F.transform("mean", lambda x: x / norm)).otherwise(F.col("mean")).alias("vector"))
+    return listed.select(key, F.transform("mean", lambda x: F.coalesce(F.try_divide(x, norm), x)).alias("vector"))
 
 
 def sent_counts(messages: DataFrame, owner: Column) -> DataFrame:
@@ -45,7 +45,7 @@ def weighted_jaccard(sets: DataFrame, weights: DataFrame) -> DataFrame:
     both = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum("a.w").alias("both"))
     side = lambda c: own.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}"))
     union = F.col("own_a") + F.col("own_b") - F.col("both")
-    return both.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(F.when(union > 0, F.col("both") / union).otherwise(0.0), 6).alias("similarity"))
+    return both.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(F.coalesce(F.try_divide(F.col("both"), union), F.lit(0.0)), 6).alias("similarity"))
 
 
 def rare_pairs(members: DataFrame, most_groups: int = 300, least: int = 1) -> DataFrame:
@@ -87,8 +87,8 @@ def cohesion(vectors: DataFrame, key: str = "community", most: int = 200, seed:
     parts = few.select(key, "id", F.posexplode("v").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     sums = parts.groupBy(key, "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     total = sums.groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("qq")).join(few.groupBy(key).agg(F.count("*").alias("n")), key)
-    mean = (F.col("ss") - F.col("qq")) / (F.col("n") * (F.col("n") - 1))
-    return total.select(key, F.round(F.when(F.col("n") > 1, mean).otherwise(1.0), 4).alias("cohesion"))
+    mean = F.try_divide(F.col("ss") - F.col("qq"), F.col("n") * (F.col("n") - 1))
+    return total.select(key, F.round(F.coalesce(mean, F.lit(1.0)), 4).alias("cohesion"))
 
 
 def separation(centroids: DataFrame, key: str = "community", most: int = 5_000) -> DataFrame:
@@ -118,7 +118,7 @@ def attached(affinity: DataFrame, least: float = 0.45, most_orphans: float = 0.1
 
     top = main_community(affinity)
     out = top.withColumn("community", F.when(F.col("affinity") >= least, F.col("community")))
-    ratio = F.round(F.count_if(F.col("community").isNull()) / F.count("*"), 6)
+    ratio = F.round(F.try_divide(F.count_if(F.col("community").isNull()), F.count("*")), 6)
     return out, out.agg(ratio.alias("orphan_ratio")).withColumn("recluster", F.col("orphan_ratio") > most_orphans)
 
 

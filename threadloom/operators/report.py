@@ -36,7 +36,7 @@ def density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges over all possible edges of the nodes, six places; zero below two nodes."""
     both = edges.agg(F.count("*").alias("edges")).join(F.broadcast(nodes.agg(F.count("*").alias("nodes"))), how="cross")
     possible = F.col("nodes") * (F.col("nodes") - 1) / 2
-    return both.withColumn("density", F.when(possible > 0, F.round(F.col("edges") / possible, 6)).otherwise(0.0))
+    return both.withColumn("density", F.round(F.coalesce(F.try_divide(F.col("edges"), possible), F.lit(0.0)), 6))
 
 
 def many_identities(identities: DataFrame, more_than: int = 3, most: int = 10) -> DataFrame:
@@ -57,7 +57,7 @@ def weight_by_role(edges: DataFrame) -> DataFrame:
 
 
 def rates(hits: Column, misses: Column) -> Column:
-    return F.when(hits + misses > 0, F.round(hits / (hits + misses), 6))
+    return F.round(F.try_divide(hits, hits + misses), 6)
 
 
 def reliability(n: Column) -> Column:
@@ -128,12 +128,16 @@ def pairwise_f1(found: DataFrame, gold: DataFrame) -> DataFrame:
     """Precision, recall and F1 over the pairs of items that share a cluster."""
     cell = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     t = both_pairs(found, gold).agg(cell((F.col("x") > 0) & (F.col("y") > 0)).alias("tp"), cell(F.col("y") == 0).alias("fp"), cell(F.col("x") == 0).alias("fn"))
-    p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn"))
-    return t.select("tp", "fp", "fn", F.round(F.coalesce(p, F.lit(0.0)), 6).alias("precision"), F.round(F.coalesce(r, F.lit(0.0)), 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return t.select("tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
 def omega_index(found: DataFrame, gold: DataFrame) -> DataFrame:
-    """Omega index: agreement on how many clusters each pair of items shares, corrected for chance."""
+    """Omega index: agreement on how many clusters each pair of items shares, corrected for chance.
+
+    Fewer than two items, or agreement that chance alone would give in full, count as 1.
+    """
     items = found.select("item").union(gold.select("item")).distinct().agg(F.count("*").alias("items"))
     table = both_pairs(found, gold)
     all_pairs = (F.col("items") * (F.col("items") - 1) / 2).cast("double")
@@ -143,9 +147,9 @@ def omega_index(found: DataFrame, gold: DataFrame) -> DataFrame:
     side = lambda c: table.where(F.col(c) > 0).groupBy(F.col(c).alias("k")).agg(F.sum("n").alias(c))
     hist = side("x").join(side("y"), "k", "full").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("cross"), F.coalesce(F.sum("x"), F.lit(0)).alias("xs"), F.coalesce(F.sum("y"), F.lit(0)).alias("ys"))
     row = total.join(F.broadcast(same), how="cross").join(F.broadcast(hist), how="cross")
-    seen = (F.col("same") + zero) / F.col("all")
-    by_chance = (F.col("cross") + (F.col("all") - F.col("xs")) * (F.col("all") - F.col("ys"))) / (F.col("all") * F.col("all"))
-    return row.select(F.round(F.when(by_chance == 1, 1.0).otherwise((seen - by_chance) / (1 - by_chance)), 6).alias("omega"))
+    seen = F.try_divide(F.col("same") + zero, F.col("all"))
+    by_chance = F.try_divide(F.col("cross") + (F.col("all") - F.col("xs")) * (F.col("all") - F.col("ys")), F.col("all") * F.col("all"))
+    return row.select(F.round(F.coalesce(F.try_divide(seen - by_chance, 1 - by_chance), F.lit(1.0)), 6).alias("omega"))
 
 
 def next_versions(packages: DataFrame) -> DataFrame:
