@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import email
 import email.policy
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +22,22 @@ def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("owner_email", "internal_domains", F.explode("messages").alias("m")).select("owner_email", "internal_domains", "m.*")
 
 
+def body_of(part: email.message.EmailMessage) -> str | None:
+    """The text of a part; in an unknown character set what UTF-8 makes of it, null if it cannot be decoded."""
+    try:
+        return part.get_content()
+    except (LookupError, ValueError):
+        raw = part.get_payload(decode=True)
+        return None if raw is None else raw.decode("utf-8", "replace")
+
+
+def parsed_day(text: str) -> datetime.date:
+    """A day written yyyy-mm-dd and no other way."""
+    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
+        raise ValueError(f"{text!r} is no day of the form yyyy-mm-dd")
+    return datetime.date.fromisoformat(text)
+
+
 def read_mime(spark: SparkSession, path: str) -> DataFrame:
     """Headers and first plain part of MIME files; files that cannot be parsed give null bodies."""
 
@@ -29,7 +47,7 @@ def read_mime(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(pdf["path"], pdf["content"]):
                 message = email.message_from_bytes(bytes(content), policy=email.policy.default)
                 part = message.get_body(("plain", "html"))
-                out.append((name, {k: str(v) for k, v in message.items()}, part.get_content() if part else None))
+                out.append((name, {k: str(v) for k, v in message.items()}, body_of(part) if part else None))
             yield pd.DataFrame(out, columns=["path", "headers", "body_text"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -37,8 +55,9 @@ def read_mime(spark: SparkSession, path: str) -> DataFrame:
 
 
 def in_window(df: DataFrame, column: str, start: str | None, end: str | None) -> DataFrame:
-    """Rows from ``start`` to the end of the day ``end`` (yyyy-mm-dd); the bounds reach the scan."""
-    if start and end and start > end:
+    """Rows from ``start`` to the end of the day ``end`` (yyyy-mm-dd, strictly); the bounds reach the scan."""
+    days = [parsed_day(x) for x in (start, end) if x]
+    if len(days) == 2 and days[0] > days[1]:
         raise ValueError("the window ends before it begins")
     if start:
         df = df.where(F.col(column) >= F.lit(start).cast("date"))
