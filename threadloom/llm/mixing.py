@@ -69,7 +69,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     own = [c for c in df.columns if c not in ADDED]
     digits = max(1, math.ceil(math.log(max(1, df.count() / range_rows), 16)))
     rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("input"),
+        *[F.col(f"`{c}`").alias(f"input{i}") for i, c in enumerate(own)],
         word_count(f"`{text}`").alias("size"),
         F.col(f"`{source}`").alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`")), F.lit("n")).alias("src"),
@@ -93,7 +93,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     cut = budget - F.col("epochs") * F.col("source_size") - (F.col("before") + F.col("run") - F.col("size"))
     placed = rows.drop("source").join(plan, ["src", "range"]).withColumn("run", F.sum("size").over(inside)).withColumn("epochs", epochs)
     part = F.greatest(F.lit(0).cast("long"), F.least("size", cut))
-    return placed.select(*[F.col("input").getField(c).alias(c) for c in own], *[x.alias(c) for c, x in zip(ADDED, [F.col("size"), F.col("source_size"), F.col("target"), F.col("epochs"), part])])
+    return placed.select(*[F.col(f"input{i}").alias(c) for i, c in enumerate(own)], *[x.alias(c) for c, x in zip(ADDED, [F.col("size"), F.col("source_size"), F.col("target"), F.col("epochs"), part])])
 
 
 def materialised(mixed: DataFrame, text: str = "text") -> DataFrame:
