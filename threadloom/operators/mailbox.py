@@ -80,17 +80,78 @@ def name_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series([None if x is None or y is None else indel_ratio(x.lower(), y.lower()) for x, y in zip(a, b)])
 
 
+def name_members(people: DataFrame) -> DataFrame:
+    """(id, representative): the smallest id of the block with the same name, letter case aside.
+
+    Rows without a block stand for themselves, rows without a name are left out.
+    """
+    rows = people.where("name is not null").select("id", "block", F.lower("name").alias("name"))
+    least = rows.groupBy("block", "name").agg(F.min("id").alias("representative"))
+    return rows.join(least, ["block", "name"], "left").select("id", F.coalesce("representative", "id").alias("representative"))
+
+
 def similar_names(people: DataFrame, least: float = 92.0) -> DataFrame:
     """Pairs of (id, block, name) in one block whose names are similar: the fuzzy identity join.
 
-    Equal names in a block are one name before the join, so a name that many rows share gives no
-    pairs of its own.
+    Names that differ in letter case alone are one name, of the smallest id; ``name_members`` gives
+    the others.  A block is not joined with itself: if d insertions and deletions lead from the
+    shorter name to the longer one, one of any d + 1 pieces of the shorter stands whole in the longer,
+    at most its insertions or deletions off.  So pieces of one side meet substrings of the other, for each length that
+    can reach ``least`` (80 or more).  Empty names are similar to no other.
     """
-    names = people.where("name is not null").groupBy("block", "name").agg(F.min("id").alias("id"))
-    a, b = names.alias("a"), names.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.name") < F.col("b.name")))
-    near = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"))
-    # equal length bounds the ratio, so most pairs are settled before Python
-    la, lb = F.length("name_a"), F.length("name_b")
-    near = near.where(200.0 * F.least(la, lb) / (la + lb) >= least)
+    if least < 80:
+        raise ValueError("names are told apart from a similarity of 80 on")
+    share = least / 100
+    names = people.where("name <> ''").groupBy("block", F.lower("name").alias("name")).agg(F.min("id").alias("id"))
+    names = names.withColumn("n", F.length("name"))
+    # edits from a name of n letters to the longest one in reach, and the pieces they leave one of
+    edits = lambda n: F.floor((1 - share) * (n + F.floor(n * (2 - share) / share + 1e-9)) + 1e-9).cast("int")
+    start = lambda n, i: F.floor(i * n / (edits(n) + 1)).cast("int")
+    size = lambda n, i: start(n, i + 1) - start(n, i)
+    piece = F.explode(F.sequence(F.lit(0), edits(F.col("n")))).alias("i")
+    n, i, at, m = F.col("n"), F.col("i"), F.col("at"), F.col("m")
+    short = names.select("*", n.alias("m"), piece).withColumn("piece", F.substring("name", start(n, i) + 1, size(n, i)))
+    long_ = names.select("*", F.explode(F.sequence(F.ceil(n * share / (2 - share) - 1e-9).cast("int"), n)).alias("m"))
+    long_ = long_.select("*", F.explode(F.sequence(F.lit(0), edits(m))).alias("i"))
+    # of d edits that make a name n - m letters longer, (d - n + m) / 2 are deletions
+    d = F.floor((1 - share) * (n + m) + 1e-9).cast("int")
+    low = F.greatest(F.lit(0), start(m, i) - F.floor((d - n + m) / 2).cast("int"))
+    high = F.least(n - size(m, i), start(m, i) + F.floor((d + n - m) / 2).cast("int"))
+    long_ = long_.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("at")).withColumn("piece", F.substring("name", at + 1, size(m, i)))
+    side = lambda df, c: df.select("block", "m", "i", "piece", F.struct("name", "id").alias(c)).distinct()
+    pairs = side(short, "x").join(side(long_, "y"), ["block", "m", "i", "piece"]).where("x.name <> y.name")
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    near = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"))
     return near.withColumn("similarity", F.round(name_similarity("name_a", "name_b"), 4)).where(F.col("similarity") >= least)
+
+
+def display_names(mentions: DataFrame) -> DataFrame:
+    """(email, names): the distinct names of each address (email, name, at) in the order of their first mention."""
+    first = mentions.groupBy("email", F.nullif("name", F.lit("")).alias("name")).agg(F.min("at").alias("at"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("at", "name"))))
+    return first.groupBy("email").agg(F.transform(listed, lambda x: x["name"]).alias("names"))
+
+
+def identities(addresses: DataFrame, least: float = 92.0) -> DataFrame:
+    """(id, person) of the addresses (id, block, name): equal and similar names of a block are one person.
+
+    A person is the smallest id of the group.  An address may have several rows, one a name; one
+    without a name, or with a name like no other, is a person of its own.
+    """
+    named = addresses.where("name <> ''")
+    same = name_members(named).select(F.col("id").alias("a"), F.col("representative").alias("b"))
+    links = same.unionByName(similar_names(named, least).select("a", "b")).where("a <> b")
+    found = connected_components(links).withColumnRenamed("node", "id")
+    return addresses.select("id").where("id is not null").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("person"))
+
+
+def persons(addresses: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(person, names, identities) with both lists sorted, each entry once."""
+    rows = addresses.select("id", F.nullif("name", F.lit("")).alias("name")).join(assigned, "id")
+    return rows.groupBy("person").agg(F.sort_array(F.collect_set("name")).alias("names"), F.sort_array(F.collect_set("id")).alias("identities"))
+
+
+def orgs(addresses: DataFrame, internal: list[str] = ()) -> DataFrame:
+    """One row a domain (block), with whether it is one of the ``internal`` ones."""
+    domain = F.lower("block").alias("domain")
+    return addresses.where("block <> ''").select(domain).distinct().withColumn("internal", F.col("domain").isin([d.lower() for d in internal]))

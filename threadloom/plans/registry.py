@@ -101,10 +101,41 @@ def weakly_eligible(spark: SparkSession, d: str) -> DataFrame:
     return mailbox.eligible_threads(marked(spark, d), strict=False)
 
 
+def people(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type").alias("block"), F.col("p_name").alias("name"))
+
+
 @query("JOIN_14_similar_names")
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
-    people = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type").alias("block"), F.col("p_name").alias("name"))
-    return mailbox.similar_names(people)
+    return mailbox.similar_names(people(spark, d))
+
+
+@query("JOIN_14_name_members", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_type, lower(p_name)) AS representative FROM part WHERE p_name IS NOT NULL")
+def name_members(spark: SparkSession, d: str) -> DataFrame:
+    return mailbox.name_members(people(spark, d))
+
+
+@query("GRF_03_identities")
+def identities(spark: SparkSession, d: str) -> DataFrame:
+    return mailbox.identities(people(spark, d))
+
+
+@query("AGG_03_display_names", "SELECT email, string_agg(name, '|' ORDER BY seen, name) AS names FROM (SELECT o_custkey AS email, o_orderpriority AS name, min(o_orderkey) AS seen FROM orders GROUP BY 1, 2) GROUP BY 1")
+def display_names(spark: SparkSession, d: str) -> DataFrame:
+    mentions = table(spark, d, "orders").select(F.col("o_custkey").alias("email"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("at"))
+    return mailbox.display_names(mentions).select("email", F.array_join("names", "|").alias("names"))
+
+
+@query("AGG_04_persons")
+def persons(spark: SparkSession, d: str) -> DataFrame:
+    rows = people(spark, d)
+    found = mailbox.persons(rows, mailbox.identities(rows))
+    return found.select("person", F.array_join("names", "|").alias("names"), F.array_join(F.col("identities").cast("array<string>"), ",").alias("identities"))
+
+
+@query("AGG_05_orgs", "SELECT DISTINCT lower(p_brand) AS domain, lower(p_brand) IN ('brand#11', 'brand#23') AS internal FROM part WHERE p_brand <> ''")
+def orgs(spark: SparkSession, d: str) -> DataFrame:
+    return mailbox.orgs(table(spark, d, "part").select(F.col("p_brand").alias("block")), ["Brand#11", "Brand#23"])
 
 
 # ---- filters and scalar functions -------------------------------------------------------------------------
