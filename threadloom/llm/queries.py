@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bitsliced, jaccard, langid, leaks, licences, linededup, mixing, quality, sharding, suffixes
+from . import bitsliced, bpe, jaccard, langid, leaks, licences, linededup, mixing, quality, sharding, spelling, suffixes
 from .common import fold
 
 
@@ -68,6 +69,28 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(vocabulary).alias("ids"))
+    out = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.packed().alias("packed"), bpe.decode(vocabulary).alias("decoded"))
+    return out.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def mistyped(doc_id: str, word: str) -> str:
+    """The word without one letter in one of 199 cases."""
+    h = zlib.crc32(f"{doc_id}:{word}".encode())
+    if h % 199:
+        return word
+    return word[: h % len(word)] + word[h % len(word) + 1 :]
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), key="doc_id", rewrite=mistyped)
+    return spelling.variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
