@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bitsliced, bpe, jaccard, langid, leaks, licences, linededup, mixing, quality, sharding, spelling, suffixes
+from . import bitsliced, bpe, jaccard, langid, leaks, licences, linededup, mixing, periodic, quality, sharding, spelling, suffixes
 from .common import fold
 
 
@@ -78,6 +78,33 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten repeats words of its own from some place on."""
+    docs = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)))
+    docs = docs.withColumn("n", F.when(F.size("w") > 0, F.size("w"))).withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.col("g") % F.col("n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return docs.select("doc_id", F.when(F.col("n").isNotNull(), F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_periods(table(spark, sf_dir, "documents")).select("doc_id", periodic.periodic_runs().alias("found")).select("doc_id", "found.runs", "found.collapsed")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    out = found.withColumn("best", best).withColumn("listed", F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def mistyped(doc_id: str, word: str) -> str:
     """The word without one letter in one of 199 cases."""
     h = zlib.crc32(f"{doc_id}:{word}".encode())
