@@ -55,14 +55,14 @@ def test_runs(least, periods):
             assert list(zip((start[own] - first[i]).tolist(), (end - start)[own].tolist(), period[own].tolist())) == brute(w, least, periods)
 
 
-def test_odd_rows(spark, monkeypatch):
+def test_odd_rows(spark):
     rng = random.Random(5)
     long = " ".join(rng.choice("ab") for _ in range(3000)) + " x y z" * 2000
     texts = [None, "", " \t\n", "one", "a a a a a a", "a a a\u0085b", "x \x1c y", "ä " * 9, long, long, "a b " * 8 + "\nb " * 7]
     rows = [(None if i == 4 else i, t, 1, "r", i) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start int, runs string, n int")
-    for _ in range(2):
-        got = df.select("n", periodic.periodic_runs("text").alias("found")).select("n", "found.*").collect()
+    for at_once in (1 << 20, 10):
+        got = df.select("n", periodic.periodic_runs("text", at_once=at_once).alias("found")).select("n", "found.*").collect()
         assert len(got) == len(texts)
         for r in got:
             w = re.findall(r"[^\x20\x09-\x0D]+", texts[r.n] or "")
@@ -71,7 +71,6 @@ def test_odd_rows(spark, monkeypatch):
             assert r.words == len(w) and r.collapsed == collapsed(w, found)
             assert short is None or found == brute(short)
             assert short is not None or max(found, key=lambda x: x[1])[1:] == (6000, 3)
-        monkeypatch.setattr(periodic, "SLICE_BYTES", 10)  # each text alone
     assert df.limit(0).select(periodic.periodic_runs("text")).count() == 0
 
 

@@ -69,10 +69,11 @@ def test_variants(spark):
 def test_full_filter(spark, monkeypatch):
     """A filter that lets most strings through changes nothing."""
     monkeypatch.setattr(spelling, "MOST_BLOCKS", 1)
-    monkeypatch.setattr(spelling, "BLOCK_BITS", 6)
     rng = random.Random(4)
-    counts = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 6))): rng.choice([5, 40]) for _ in range(150)}
-    assert as_set(spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n long"))) == brute(counts)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 6))) for _ in range(150)}
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {(r.word, r.near) for r in spelling.near_words(df, block_bits=6).collect()}
+    assert got == {(w, x) for w in words for x in neighbourhood(w, "abc") if x in words}
 
 
 def test_word_counts(spark):
@@ -89,11 +90,10 @@ def test_word_counts(spark):
     assert shorter["abcdef"] == 3 and "bcdef" not in shorter
 
 
-def test_counts_are_handed_on(spark, monkeypatch):
-    monkeypatch.setattr(spelling, "HELD", 10)
+def test_counts_are_handed_on(spark):
     words = ["".join(random.Random(i).choice("abcdefgh") for _ in range(7)) for i in range(300)]
     df = spark.createDataFrame([(i, " ".join(words)) for i in range(30)], "doc_id int, text string")
-    assert {r.word: r.n for r in spelling.word_counts(df).collect()} == {w: 30 * n for w, n in Counter(words).items()}
+    assert {r.word: r.n for r in spelling.word_counts(df, held=10).collect()} == {w: 30 * n for w, n in Counter(words).items()}
 
 
 def test_query(spark):

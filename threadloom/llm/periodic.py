@@ -180,14 +180,14 @@ def numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return codes, ends
 
 
-def periodic_runs(text: str | Column = "text", least: int = LEAST_WORDS, periods: int = LEAST_PERIODS) -> Column:
+def periodic_runs(text: str | Column = "text", least: int = LEAST_WORDS, periods: int = LEAST_PERIODS, at_once: int = SLICE_BYTES) -> Column:
     """Struct of a text's ``words`` (their number), ``runs`` and ``collapsed``.
 
     Words are runs of bytes other than ASCII white space, numbered from 0.  ``runs`` has start,
     length and period of each maximal run of ``least`` words and ``periods`` periods or more, by
     start, then period.  ``collapsed`` joins by single spaces the words that no run holds after its
     first period.  Null and empty texts have no words, equal texts equal results; a text of any
-    length is taken whole (about 150 bytes of memory a word of the longest text).
+    length is taken whole, short ones together up to ``at_once`` bytes (about 150 bytes of memory a word).
     """
 
     @F.arrow_udf("struct<words: bigint, runs: array<struct<start: bigint, length: bigint, period: bigint>>, collapsed: string>")
@@ -197,9 +197,9 @@ def periodic_runs(text: str | Column = "text", least: int = LEAST_WORDS, periods
         lo = 0
         while lo < len(whole):
             texts, size, hi = [], 0, lo
-            while hi < len(whole) and (size < SLICE_BYTES or hi == lo):
+            while hi < len(whole) and (size < at_once or hi == lo):
                 raw = (whole[hi] or "").encode()
-                if texts and size + len(raw) > SLICE_BYTES:
+                if texts and size + len(raw) > at_once:
                     break
                 texts.append(raw.split())  # bytes are split at ASCII white space alone
                 size += len(raw)

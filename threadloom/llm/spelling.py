@@ -35,7 +35,7 @@ BLOCK_BITS, BITS_A_WORD, MOST_BLOCKS = 18, 32, 1 << 10
 AT_ONCE = 1 << 20
 
 
-def word_counts(df: DataFrame, text: str = "text", key: str | None = None, rewrite: Callable[[str, str], str] | None = None, least: int = LEAST_SIZE) -> DataFrame:
+def word_counts(df: DataFrame, text: str = "text", key: str | None = None, rewrite: Callable[[str, str], str] | None = None, least: int = LEAST_SIZE, held: int = HELD) -> DataFrame:
     """``(word, n)``: occurrences of each word of at least ``least`` code points in whole texts.
 
     A word is a maximal run of ``LETTERS`` with A to Z in lower case.  ``rewrite(key, word)`` may
@@ -62,7 +62,7 @@ def word_counts(df: DataFrame, text: str = "text", key: str | None = None, rewri
                         word = rewrite(name, word)
                         if len(word) >= least:
                             total[word] += n
-                if len(total) >= HELD:
+                if len(total) >= held:
                     yield counted()
         yield counted()
 
@@ -124,19 +124,18 @@ def edited(word: str, place: int, code: int) -> str:
     return word[:k] + (chr(code) if code >= 0 else "") + word[k + 1 - inserted :]
 
 
-def probes(hashes: np.ndarray) -> list[np.ndarray]:
-    """Bits of a word in its block."""
-    mask = U64((1 << BLOCK_BITS) - 1)
-    return [(hashes >> U64(shift)) & mask for shift in (0, BLOCK_BITS - 4, 2 * BLOCK_BITS - 8)]
+def probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three bits of a word in its block of ``2 ** bits``."""
+    return [(hashes >> U64(shift)) & U64((1 << bits) - 1) for shift in (0, bits - 4, 2 * bits - 8)]
 
 
-def word_filter(words: DataFrame, n: int) -> np.ndarray:
+def word_filter(words: DataFrame, n: int, block_bits: int) -> np.ndarray:
     """Blocks of bits (a row of bytes each) in which every word has its bits set.
 
     A block is filled by one task; all of them together, 32 MiB at most, go to the driver.
     """
     blocks = 1
-    while blocks < MOST_BLOCKS and blocks << BLOCK_BITS < BITS_A_WORD * n:
+    while blocks < MOST_BLOCKS and blocks << block_bits < BITS_A_WORD * n:
         blocks *= 2
 
     @F.arrow_udf("long")
@@ -144,14 +143,14 @@ def word_filter(words: DataFrame, n: int) -> np.ndarray:
         return pa.array(word_hashes(np.array(column.to_pylist(), object)).view(np.int64))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << BLOCK_BITS, np.uint8)
-        for at in probes(group["hash"].to_numpy().view(U64)):
+        bits = np.zeros(1 << block_bits, np.uint8)
+        for at in probes(group["hash"].to_numpy().view(U64), block_bits):
             bits[at.astype(np.int64)] = 1
         return pd.DataFrame({"block": [group["block"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     hashed = words.select(spelling_hash("word").alias("hash"))
     dealt = hashed.select(F.shiftrightunsigned("hash", 64 - 10).bitwiseAND(blocks - 1).cast("int").alias("block"), "hash")
-    out = np.zeros((blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
+    out = np.zeros((blocks, 1 << (block_bits - 3)), np.uint8)
     for row in dealt.groupBy("block").applyInPandas(fill, "block int, bits binary").collect():
         out[row.block] = np.frombuffer(row.bits, np.uint8)
     return out
@@ -160,8 +159,9 @@ def word_filter(words: DataFrame, n: int) -> np.ndarray:
 def passes(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Places of the hashes whose bits are all set."""
     left = np.arange(len(hashes))
-    flat, base = held.reshape(-1), ((hashes >> U64(64 - 10)) & U64(len(held) - 1)) << U64(BLOCK_BITS)
-    for at in probes(hashes):
+    flat, block_bits = held.reshape(-1), held.shape[1].bit_length() + 2
+    base = ((hashes >> U64(64 - 10)) & U64(len(held) - 1)) << U64(block_bits)
+    for at in probes(hashes, block_bits):
         bit = base[left] + at[left]
         left = left[(flat[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8)) & 1 == 1]
         if not len(left):
@@ -169,7 +169,7 @@ def passes(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return left
 
 
-def near_words(words: DataFrame) -> DataFrame:
+def near_words(words: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """``(word, near)``: pairs of distinct words one deletion, replacement or insertion apart, both ways.
 
     ``words`` has each word once.  Null words have no neighbours, the empty word has those of one
@@ -178,7 +178,7 @@ def near_words(words: DataFrame) -> DataFrame:
     words = words.select("word").where("word is not null")
     n = words.count()
     alphabet = np.array(sorted(ord(r.sign) for r in words.select(F.explode(F.split("word", "")).alias("sign")).where("sign <> ''").distinct().collect()), np.int64)
-    held = words.sparkSession.sparkContext.broadcast(word_filter(words, n))
+    held = words.sparkSession.sparkContext.broadcast(word_filter(words, n, block_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
