@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, staged
 from .relations import copresence, idf, knn_cap
 
 #: Weights of participants, embedding, keywords, time, attachments or links.  Fixed values
@@ -123,25 +124,62 @@ def attached(affinity: DataFrame, least: float = 0.45, most_orphans: float = 0.1
 
 
 def member_jaccard(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(new, old, jaccard) of the communities that share an item, from (item, community) tables."""
+    """(new, old, jaccard) of the communities that share an item, from (item, community) tables.
+
+    Communities may overlap; repeated rows count once, rows with a null are left out.
+    """
+    new, old = (rows.select("item", "community").where("item is not null and community is not null").distinct() for rows in (new, old))
     joined = new.select("item", F.col("community").alias("new")).join(old.select("item", F.col("community").alias("old")), "item")
     both = joined.groupBy("new", "old").agg(F.count("*").alias("both"))
     size = lambda df, c: df.groupBy(F.col("community").alias(c)).agg(F.count("*").alias(f"n_{c}"))
     sized = both.join(size(new, "new"), "new").join(size(old, "old"), "old")
-    return sized.select("new", "old", F.round(F.col("both") / (F.col("n_new") + F.col("n_old") - F.col("both")), 6).alias("jaccard"))
+    return sized.select("new", "old", (F.col("both") / (F.col("n_new") + F.col("n_old") - F.col("both"))).alias("jaccard"))
+
+
+def greedy_matching(pairs: DataFrame, first: str, second: str, score: str) -> DataFrame:
+    """The pairs that are taken if the ``first`` ones choose in their order, each the best ``second`` one left.
+
+    Of equal scores the smaller ``second`` one is better; one that finds none left stays without.  In
+    each round the best choice of every ``first`` one is final if no smaller ``first`` one that is
+    still without could take it.  Those that wait lose only what is taken, so the rounds give what
+    choosing one after the other gives; at least the smallest of those left is settled in a round.
+    """
+    left = staged(pairs.select(first, second, score), "pairs")
+    taken = []
+    while not left.isEmpty():
+        best = left.groupBy(first).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(second).alias("o"))).alias("best"))
+        claim = left.groupBy(second).agg(F.min(first).alias("claim"))
+        fixed = best.select(first, F.col("best.o").alias(second), (-F.col("best.s")).alias(score)).join(claim, second).where(F.col(first) == F.col("claim"))
+        fixed = staged(fixed.select(first, second, score), "taken")
+        after = left.join(fixed.select(first), first, "left_anti").join(fixed.select(second), second, "left_anti")
+        after = staged(after, "pairs")
+        discard(left)
+        left = after
+        taken.append(fixed)
+    out = left
+    for some in taken:
+        out = out.unionByName(some)
+    return out
 
 
 def carried_over(new: DataFrame, old: DataFrame, least: float = 0.5) -> DataFrame:
-    """The old id of each new community with Jaccard similarity above ``least``, or at it with the smallest ids.
+    """(new, old, jaccard): the old id that each new community goes on with, if any.
 
-    Above one half at most one old community overlaps a new one so far and the other way round, so no
-    greedy order is needed; pairs at exactly one half are settled for the smaller ids.
+    New communities choose in the order of their ids, each the old one of highest Jaccard similarity
+    that no earlier one has taken, if that is ``least`` at least.  Communities may overlap, so a
+    second choice may be due.
     """
     pairs = member_jaccard(new, old).where(F.col("jaccard") >= least)
-    first = lambda c, o: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("jaccard"), o))
-    return pairs.withColumn("r", first("new", "old")).withColumn("s", first("old", "new")).where("r = 1 and s = 1").drop("r", "s")
+    return greedy_matching(pairs, "new", "old", "jaccard").withColumn("jaccard", F.round("jaccard", 6))
 
 
-def sticky_labels(carried: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Labels that users gave old communities, on the new ones that carry them on (old, label)."""
-    return carried.join(overrides, "old").select("new", "label")
+def sticky_labels(new: DataFrame, overrides: DataFrame, least: float = 0.5) -> DataFrame:
+    """(new, label): the label that users gave the most similar labelled set of threads.
+
+    ``overrides`` are (item, community, label); of equal similarity the smaller community's label
+    stands, a set may give its label to several new communities, and below ``least`` there is none.
+    """
+    pairs = member_jaccard(new, overrides).where(F.col("jaccard") >= least)
+    best = pairs.groupBy("new").agg(F.min(F.struct((-F.col("jaccard")).alias("s"), F.col("old").alias("community"))).alias("best"))
+    labels = overrides.where("community is not null").groupBy("community").agg(F.min("label").alias("label"))
+    return best.select("new", F.col("best.community").alias("community")).join(labels, "community").select("new", "label")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 #: Fewer rows than the first make a rate unreliable, fewer than the second weak
 FEW, SOME = 10, 20
 
@@ -108,20 +110,67 @@ def rank_metrics(results: DataFrame) -> DataFrame:
     return best.agg(F.count("*").alias("cases"), F.round(F.avg(gain), 6).alias("mrr"), F.round(F.avg((F.coalesce("first", F.lit(0)) == 1).cast("double")), 6).alias("top1"))
 
 
-def pair_table(members: DataFrame) -> DataFrame:
-    """Items' pairs that share clusters (item, cluster): (a, b, shared).
+def signatures(found: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items with the same clusters in both clusterings (item, cluster) as one row.
 
-    A cluster is dealt into chunks, so a large one is the work of many tasks.
+    Returns (sig, n, x, y) - the smallest item as the name, the number of items, their clusters in
+    either - and the clusters (sig, cluster) of the names in each clustering.  Sets of clusters are
+    told apart by two 64-bit sums of hashes each, so no set is gathered.  Repeated rows count once,
+    rows with a null are left out, an item of one clustering alone has no clusters in the other.
     """
+
+    def sums(rows: DataFrame, name: str) -> DataFrame:
+        hashes = [F.bit_xor(F.xxhash64("cluster", F.lit(i))).alias(f"{name}{i}") for i in range(2)]
+        return rows.groupBy("item").agg(F.count("*").alias(name), *hashes)
+
+    found, gold = (rows.select("item", "cluster").where("item is not null and cluster is not null").distinct() for rows in (found, gold))
+    items = sums(found, "x").join(sums(gold, "y"), "item", "full").na.fill(0)
+    grouped = items.groupBy("x", "x0", "x1", "y", "y0", "y1").agg(F.count("*").alias("n"), F.min("item").alias("sig"))
+    sigs = staged(grouped.select("sig", "n", "x", "y"), "signatures")
+    named = lambda rows: rows.withColumnRenamed("item", "sig").join(sigs.select("sig"), "sig", "left_semi")
+    return sigs, named(found), named(gold)
+
+
+def signature_pairs(found: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures and the pairs (a, b, x, y) of different ones that share x and y clusters, x + y > 0."""
     from .relations import copresence
 
-    return copresence(members.select(F.col("cluster").alias("group_id"), F.col("item").alias("member")))
+    sigs, of_found, of_gold = signatures(found, gold)
+    shared = lambda rows, name: copresence(rows.select(F.col("cluster").alias("group_id"), F.col("sig").alias("member"))).withColumnRenamed("shared", name)
+    return sigs, shared(of_found, "x").join(shared(of_gold, "y"), ["a", "b"], "full").na.fill(0, ["x", "y"])
 
 
 def both_pairs(found: DataFrame, gold: DataFrame) -> DataFrame:
-    """(x, y, n): number of pairs that share x clusters of ``found`` and y of ``gold``, pairs of neither left out."""
-    joined = pair_table(found).withColumnRenamed("shared", "x").join(pair_table(gold).withColumnRenamed("shared", "y"), ["a", "b"], "full")
-    return joined.groupBy(F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y")).agg(F.count("*").alias("n"))
+    """(x, y, n): number of pairs of items that share x clusters of ``found`` and y of ``gold``, pairs of neither left out.
+
+    Pairs of signatures are weighed with the numbers of their items, so a cluster of n alike items is
+    one row and not n^2.
+    """
+    sigs, pairs = signature_pairs(found, gold)
+    size = lambda c: sigs.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"))
+    across = pairs.join(size("a"), "a").join(size("b"), "b").select("x", "y", (F.col("n_a") * F.col("n_b")).alias("n"))
+    within = sigs.where("n > 1").select("x", "y", F.expr("n * (n - 1) div 2").alias("n"))
+    return across.unionByName(within).groupBy("x", "y").agg(F.sum("n").alias("n"))
+
+
+def extended_bcubed(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """Extended BCubed precision, recall and F1 of two overlapping clusterings (item, cluster).
+
+    For each item the mean, over the items (itself too) that share a cluster with it, of the smaller
+    number of shared clusters over its own side's; then the mean over all items.  An item without a
+    cluster counts 0; no items give no scores but 0.
+    """
+    sigs, pairs = signature_pairs(found, gold)
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "x", "y"))
+    ways = ways.unionByName(sigs.select(F.col("sig").alias("a"), F.col("sig").alias("b"), "x", "y"))
+    met = ways.join(sigs.select(F.col("sig").alias("b"), "n"), "b")
+    less = F.least("x", "y")
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.when(F.col(c) > 0, F.col("n") * less / F.col(c))), F.sum(F.when(F.col(c) > 0, F.col("n")))), F.lit(0.0))
+    each = met.groupBy("a").agg(mean("x").alias("p"), mean("y").alias("r"))
+    share = lambda c: F.coalesce(F.try_divide(F.sum(F.col("n") * F.col(c)), F.sum("n")), F.lit(0.0))
+    out = sigs.join(each.withColumnRenamed("a", "sig"), "sig").agg(share("p").alias("p"), share("r").alias("r"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0))
+    return out.select(F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
 def pairwise_f1(found: DataFrame, gold: DataFrame) -> DataFrame:
@@ -145,7 +194,7 @@ def omega_index(found: DataFrame, gold: DataFrame) -> DataFrame:
     total = table.agg(F.sum("n").alias("some")).join(F.broadcast(items), how="cross").select(all_pairs.alias("all"), F.coalesce("some", F.lit(0)).alias("some"))
     same = table.agg(F.coalesce(F.sum(F.when(F.col("x") == F.col("y"), F.col("n"))), F.lit(0)).alias("same"))
     side = lambda c: table.where(F.col(c) > 0).groupBy(F.col(c).alias("k")).agg(F.sum("n").alias(c))
-    hist = side("x").join(side("y"), "k", "full").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("cross"), F.coalesce(F.sum("x"), F.lit(0)).alias("xs"), F.coalesce(F.sum("y"), F.lit(0)).alias("ys"))
+    hist = side("x").join(side("y"), "k", "full").agg(F.coalesce(F.sum(F.col("x").cast("double") * F.col("y")), F.lit(0.0)).alias("cross"), F.coalesce(F.sum("x"), F.lit(0)).alias("xs"), F.coalesce(F.sum("y"), F.lit(0)).alias("ys"))
     row = total.join(F.broadcast(same), how="cross").join(F.broadcast(hist), how="cross")
     seen = F.try_divide(F.col("same") + zero, F.col("all"))
     by_chance = F.try_divide(F.col("cross") + (F.col("all") - F.col("xs")) * (F.col("all") - F.col("ys")), F.col("all") * F.col("all"))

@@ -595,25 +595,26 @@ def _(spark, d):
 
 
 _CARRY = """new_ AS (SELECT c_custkey AS item, c_nationkey::BIGINT AS c FROM customer), old_ AS (SELECT c_custkey AS item, 500 + CASE WHEN c_custkey % 4 = 0 THEN 99 ELSE c_nationkey END AS c FROM customer WHERE c_custkey % 10 <> 3),
-b AS (SELECT n.c AS n, o.c AS o, count(*) AS k FROM new_ n JOIN old_ o USING (item) GROUP BY 1, 2), j AS (SELECT n, o, round(k / ((SELECT count(*) FROM new_ WHERE c = n) + (SELECT count(*) FROM old_ WHERE c = o) - k), 6) AS jaccard FROM b)"""
+b AS (SELECT n.c AS n, o.c AS o, count(*) AS k FROM new_ n JOIN old_ o USING (item) GROUP BY 1, 2), j AS (SELECT n, o, k / ((SELECT count(*) FROM new_ WHERE c = n) + (SELECT count(*) FROM old_ WHERE c = o) - k) AS jaccard FROM b)"""
 
 
-def carried(spark: SparkSession, d: str) -> DataFrame:
+def both_clusterings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     new = c.select(k.alias("item"), F.col("c_nationkey").cast("long").alias("community"))
     old = c.where(k % 10 != 3).select(k.alias("item"), (500 + F.when(k % 4 == 0, 99).otherwise(F.col("c_nationkey"))).cast("long").alias("community"))
-    return clustering.carried_over(new, old)
+    return new, old
 
 
-@query("GRF_13_carried_over", f"WITH {_CARRY} SELECT n AS new, o AS old, jaccard FROM j WHERE jaccard >= 0.5 QUALIFY row_number() OVER (PARTITION BY n ORDER BY jaccard DESC, o) = 1 AND row_number() OVER (PARTITION BY o ORDER BY jaccard DESC, n) = 1")
+@query("GRF_13_carried_over", f"WITH {_CARRY} SELECT n AS new, o AS old, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.5 QUALIFY row_number() OVER (PARTITION BY n ORDER BY jaccard DESC, o) = 1 AND row_number() OVER (PARTITION BY o ORDER BY jaccard DESC, n) = 1")
 def _(spark, d):
-    return carried(spark, d)
+    return clustering.carried_over(*both_clusterings(spark, d))
 
 
-@query("GRF_14_sticky_labels", f"WITH {_CARRY}, k AS (SELECT n, o FROM j WHERE jaccard >= 0.5 QUALIFY row_number() OVER (PARTITION BY n ORDER BY jaccard DESC, o) = 1 AND row_number() OVER (PARTITION BY o ORDER BY jaccard DESC, n) = 1) SELECT n AS new, n_name AS label FROM k JOIN nation ON o = 500 + n_nationkey WHERE n_nationkey % 2 = 0")
+@query("GRF_14_sticky_labels", f"WITH {_CARRY} SELECT n AS new, (SELECT n_name FROM nation WHERE 500 + n_nationkey = o) AS label FROM j WHERE jaccard >= 0.5 AND o IN (SELECT 500 + n_nationkey FROM nation WHERE n_nationkey % 2 = 0) QUALIFY row_number() OVER (PARTITION BY n ORDER BY jaccard DESC, o) = 1")
 def _(spark, d):
-    own = table(spark, d, "nation").where("n_nationkey % 2 = 0").select((500 + F.col("n_nationkey")).cast("long").alias("old"), F.col("n_name").alias("label"))
-    return clustering.sticky_labels(carried(spark, d), own)
+    own = table(spark, d, "nation").where("n_nationkey % 2 = 0").select((500 + F.col("n_nationkey")).cast("long").alias("community"), F.col("n_name").alias("label"))
+    new, old = both_clusterings(spark, d)
+    return clustering.sticky_labels(new, old.join(own, "community"))
 
 
 # ---- the relationship map ---------------------------------------------------------------------------------

@@ -31,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one if it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one on a single machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"threadloom-{spark.sparkContext.applicationId}")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -44,9 +46,19 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs a re-read and not a recomputation, and
-    a branch that is read several times is computed once.  Files stay until the folder is cleaned.
+    a branch that is read several times is computed once.  Files stay until ``discard`` or until the folder
+    is cleaned.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more, as the earlier rounds of a loop."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)  # noqa: SLF001
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)  # noqa: SLF001
