@@ -36,8 +36,8 @@ def test_as_library(library, vocabulary):
     texts = ODD + [letters, "".join(rng.choice("abcdefghing") for _ in range(4000))]
     for _ in range(2000):
         texts.append("".join(rng.choice([*"ab  \n\t'sdre.,é中1½\x1c\x85", "<|endoftext|>", "  ", "'ll", "hello", "ing", chr(rng.randrange(0x2000))]) for _ in range(rng.randrange(40))))
-    for text in texts:
-        assert ids(encoder.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    for text, got in zip(texts, encoder.encode(texts)):
+        assert ids(got) == library.encode(text, add_special_tokens=False).ids
 
 
 def test_signs(library, vocabulary):
@@ -45,7 +45,7 @@ def test_signs(library, vocabulary):
     encoder = bpe.Encoder(vocabulary)
     for low in range(0, 0x110000, 512):
         text = "".join(f"a{chr(c)}1 {chr(c)}." for c in range(low, low + 512) if not 0xD800 <= c < 0xE000)
-        assert ids(encoder.encode(text)) == library.encode(text, add_special_tokens=False).ids
+        assert ids(encoder.encode([text])[0]) == library.encode(text, add_special_tokens=False).ids
 
 
 def test_long_words_take_the_heap(vocabulary):
@@ -55,11 +55,20 @@ def test_long_words_take_the_heap(vocabulary):
         assert encoder.scanned(list(parts)) == encoder.heaped(list(parts))
 
 
-def test_memory_is_bounded(library, vocabulary, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 20)
-    encoder = bpe.Encoder(vocabulary)
-    text = " ".join(f"word{i} tail{i % 7}" for i in range(500))
-    assert ids(encoder.encode(text)) == library.encode(text, add_special_tokens=False).ids and len(encoder) <= 20 and len(encoder.words) <= 20
+def test_many_short_words_at_once(vocabulary):
+    encoder, rng = bpe.Encoder(vocabulary), random.Random(5)
+    words = ["".join(rng.choice(["a", "e", "th", "the", "in", "ing", "é", "z", " "]) for _ in range(rng.randrange(1, 30)))[:40] for _ in range(3000)]
+    encoder.learn(list(set(words)))
+    for w in set(words):
+        assert ids(encoder.words[w]) == encoder.scanned([vocabulary.of_byte[b] for b in w.encode()])
+
+
+def test_memory_is_bounded(library, vocabulary):
+    encoder = bpe.Encoder(vocabulary, remembered=20)
+    texts = [" ".join(f"word{i} tail{i % 7}" for i in range(n, n + 50)) + " " + "x" * 99 for n in range(500)]
+    for text in texts:
+        assert ids(encoder.encode([text])[0]) == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.pieces) <= 20 and len(encoder.words) <= 20 and "x" * 99 not in encoder.pieces
 
 
 def test_columns(spark, library, vocabulary):
