@@ -14,7 +14,7 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import accumulate, chain
 
 import numpy as np
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES
+from .common import SLICE_BYTES, slices, text_buffer
 
 #: Fixed value: the pattern that splits text into words before the merges of byte-level BPE
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -240,6 +240,20 @@ class PairRanks:
         return [packed[a:b] for a, b in zip(borders[:-1], borders[1:])]
 
 
+def text_slices(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column, about ``SLICE_BYTES`` at a time; null counts as empty."""
+    _, offsets = text_buffer(column)
+    for lo, hi in slices(offsets):
+        yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+
+
+def packed_lists(packed: list[bytes]) -> pa.Array:
+    """Ids as consecutive 32-bit numbers as a list column."""
+    borders = np.array(list(accumulate(map(len, packed), initial=0))) // 4
+    ids = pa.Array.from_buffers(pa.int32(), int(borders[-1]), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), ids)
+
+
 def encode(vocabulary: Vocabulary, text: str | Column = "text") -> Column:
     """Token ids of whole texts (array of int).
 
@@ -249,20 +263,16 @@ def encode(vocabulary: Vocabulary, text: str | Column = "text") -> Column:
 
     @F.arrow_udf("array<int>")
     def bpe_encode(column: pa.Array) -> pa.Array:
-        encoder = encoder_of(vocabulary)
-        packed = encoder.encode([t or "" for t in column.to_pylist()])
-        borders = list(accumulate(map(len, packed), initial=0))
-        ids = pa.Array.from_buffers(pa.int32(), borders[-1] // 4, [None, pa.py_buffer(b"".join(packed))])
-        return pa.ListArray.from_arrays(pa.array(np.array(borders) // 4, pa.int32()), ids)
+        encoder = Encoder(vocabulary) if not held else held[0]
+        held[:] = [encoder]
+        return joined([packed_lists(encoder.encode(texts)) for texts in text_slices(column)], pa.list_(pa.int32()))
 
     held: list[Encoder] = []
+    return bpe_encode.asNondeterministic()(text)  # else several uses of the column encode the text once each
 
-    def encoder_of(vocabulary: Vocabulary) -> Encoder:
-        if not held:
-            held.append(Encoder(vocabulary))
-        return held[0]
 
-    return bpe_encode.asNondeterministic()(text)  # else several uses of the column encode the text once each
+def joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def id_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -273,6 +283,13 @@ def id_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+def decoded(tokens: list[bytes], ids: np.ndarray) -> str:
+    """The text of some ids; those without a token are skipped, bytes that are not UTF-8 become U+FFFD."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
+        ids = ids[(ids >= 0) & (ids < len(tokens))]
+    return b"".join(map(tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
 def decode(vocabulary: Vocabulary, ids: str | Column = "ids") -> Column:
     """Texts of arrays of token ids, added tokens included.
 
@@ -282,25 +299,28 @@ def decode(vocabulary: Vocabulary, ids: str | Column = "ids") -> Column:
     @F.arrow_udf("string")
     def bpe_decode(column: pa.Array) -> pa.Array:
         values, borders = id_values(column)
-        tokens, known = vocabulary.tokens, len(vocabulary.tokens)
-        out = []
-        for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist()):
-            own = values[lo:hi]
-            if len(own) and (own.min() < 0 or own.max() >= known):
-                own = own[(own >= 0) & (own < known)]
-            out.append(b"".join(map(tokens.__getitem__, own.tolist())).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        return pa.array([decoded(vocabulary.tokens, values[lo:hi]) for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist())], pa.string())
 
     return bpe_decode(ids)
 
 
-def packed(ids: str | Column = "ids") -> Column:
-    """Ids as consecutive little-endian unsigned 32-bit numbers (binary)."""
+def round_trip(vocabulary: Vocabulary, text: str | Column = "text") -> Column:
+    """Struct (packed, decoded) of whole texts: their ids as consecutive little-endian unsigned 32-bit
+    numbers, and the text that these ids decode to.
 
-    @F.arrow_udf("binary")
-    def bpe_packed(column: pa.Array) -> pa.Array:
-        values, borders = id_values(column)
-        raw = values.astype("<u4").tobytes()
-        return pa.array([raw[a:b] for a, b in zip((4 * borders[:-1]).tolist(), (4 * borders[1:]).tolist())], pa.binary())
+    What ``encode`` and then ``decode`` give, in one pass, for checks of whole tables.
+    """
+
+    @F.arrow_udf("struct<packed: binary, decoded: string>")
+    def bpe_round_trip(column: pa.Array) -> pa.Array:
+        encoder = Encoder(vocabulary) if not held else held[0]
+        held[:] = [encoder]
+        parts = []
+        for texts in text_slices(column):
+            packed = encoder.encode(texts)
+            back = [decoded(vocabulary.tokens, np.frombuffer(p, "<u4")) for p in packed]
+            parts.append(pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(back, pa.string())], ["packed", "decoded"]))
+        return joined(parts, pa.struct([("packed", pa.binary()), ("decoded", pa.string())]))
 
-    return bpe_packed(ids)
+    held: list[Encoder] = []
+    return bpe_round_trip.asNondeterministic()(text)  # else each field that is used makes the trip again

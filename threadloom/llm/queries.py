@@ -73,9 +73,9 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(vocabulary).alias("ids"))
-    out = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.packed().alias("packed"), bpe.decode(vocabulary).alias("decoded"))
-    return out.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    trip = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(vocabulary).alias("trip")).select("doc_id", "trip.packed", "trip.decoded")
+    n_tokens = F.expr("octet_length(packed) div 4").cast("long").alias("n_tokens")
+    return trip.select("doc_id", n_tokens, F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def with_periods(docs: DataFrame) -> DataFrame:
