@@ -70,3 +70,24 @@ def test_stream_gives_the_table_s_windows(spark, tmp_path):
     run.awaitTermination(60)
     table = windows.windowed_counts(events, "1 hour")
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_weighted_jaccard_of_a_hot_item(spark):
+    from threadloom.operators import clustering
+
+    sets = {i: {0} | {1 + i % 5} for i in range(60)}
+    rows = spark.createDataFrame([(i, x) for i, xs in sets.items() for x in xs] * 2 + [(None, 0), (1, None)], "id long, item long")
+    got = {(r.a, r.b): r.similarity for r in clustering.weighted_jaccard(rows, spark.createDataFrame([(0, 3.0)], "item long, weight double"), chunk=7).collect()}
+    assert len(got) == 60 * 59 // 2 and got[0, 5] == 1.0 and got[0, 1] == 0.6
+
+
+def test_soft_membership_in_blocks(spark):
+    import random
+
+    from threadloom.operators import relations
+
+    rng = random.Random(1)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)], "id long, v array<double>")
+    profiles = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(20)], "community long, centroid array<double>")
+    rows = lambda n: sorted(map(tuple, relations.soft_membership(vectors, profiles, at_once=n).collect()))
+    assert rows(3) == rows(2_000) and len(rows(3)) > 30

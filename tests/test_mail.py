@@ -71,7 +71,7 @@ def test_ties_and_refusals(spark):
     assert {r.thread_id: r.community for r in out.collect()} == {1: 3, 2: None} and ratio.first().recluster
     with pytest.raises(ValueError):
         relationships.of_types(aff, ["love"])
-    with pytest.raises(ValueError):
-        clustering.separation(spark.createDataFrame([(i, [1.0]) for i in range(4)], "community long, vector array<double>"), most=3)
+    apart = clustering.separation(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0])], "community long, vector array<double>"))
+    assert {r.community: r.separation for r in apart.collect()} == {1: 0.4, 2: 0.4, 3: 1.0}
     assert [r.more for r in ranking.page(aff, [F.col("thread_id"), F.col("community")], 2).collect()] == [True, True]
     assert ranking.sample(aff, 2, 1, "thread_id", "community").collect() == ranking.sample(aff.repartition(3), 2, 1, "thread_id", "community").collect()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, staged
+from .groups import split_groups
 from .relations import copresence, idf, knn_cap
 
 #: Weights of participants, embedding, keywords, time, attachments or links.  Fixed values
@@ -38,11 +39,19 @@ def project_members(assigned: DataFrame, sent: DataFrame) -> DataFrame:
     return joined.groupBy("project", "person").agg(F.round(F.sum(F.col("affinity") * F.col("n")), 6).alias("involvement"), F.sum("n").alias("message_count"))
 
 
-def weighted_jaccard(sets: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted Jaccard similarity of the pairs of ids that share an item (id, item); items without weight weigh 1."""
-    rows = sets.distinct().join(weights, "item", "left").select("id", "item", F.coalesce("weight", F.lit(1.0)).alias("w"))
+def weighted_jaccard(sets: DataFrame, weights: DataFrame, chunk: int = 256) -> DataFrame:
+    """Weighted Jaccard similarity of the pairs of ids that share an item (id, item); items without weight weigh 1.
+
+    Items of more than ``chunk`` ids are dealt into chunks, every two of which meet apart.
+    """
+    rows = sets.where("id is not null and item is not null").distinct().join(weights, "item", "left").select("id", "item", F.coalesce("weight", F.lit(1.0)).alias("w"))
     own = rows.groupBy("id").agg(F.sum("w").alias("own"))
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")))
+    sized = rows.join(rows.groupBy("item").agg(F.count("*").alias("n")), "item")
+    dealt = split_groups(sized, "item", "id", "n", chunk)
+    a, b = dealt.alias("a"), dealt.alias("b")
+    same = (F.col("a.item") == F.col("b.item")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
+    once = (F.col("a.lo") == F.col("a.hi")) | (F.col("a.mine") != F.col("b.mine"))
+    pairs = a.join(b, same & once & (F.col("a.id") < F.col("b.id")))
     both = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum("a.w").alias("both"))
     side = lambda c: own.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}"))
     union = F.col("own_a") + F.col("own_b") - F.col("both")
@@ -92,18 +101,16 @@ def cohesion(vectors: DataFrame, key: str = "community", most: int = 200, seed:
     return total.select(key, F.round(F.coalesce(mean, F.lit(1.0)), 4).alias("cohesion"))
 
 
-def separation(centroids: DataFrame, key: str = "community", most: int = 5_000) -> DataFrame:
-    """1 - the highest cosine of a centroid (of length 1) with any other; alone it is 1.
+def separation(centroids: DataFrame, key: str = "community") -> DataFrame:
+    """1 - the highest cosine of a centroid with any other; alone, or without length, it is 1.
 
-    A table of more than ``most`` centroids is refused: every centroid meets every other.
+    Every centroid meets every other, in blocks of bounded size.
     """
-    n = centroids.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} centroids")
-    a, b = centroids.alias("a"), F.broadcast(centroids.alias("b"))
-    dot = F.aggregate(F.zip_with("a.vector", "b.vector", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = a.join(b, F.col(f"a.{key}") != F.col(f"b.{key}"), "left")
-    return pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.round(1 - F.coalesce(F.max(dot), F.lit(0.0)), 4).alias("separation"))
+    from .neighbours import nearest
+
+    best = nearest(centroids.select(F.col(key).alias("id"), F.col("vector").alias("v")), k=1, cells=1, places=12)
+    found = centroids.select(key).join(best.select(F.col("id").alias(key), "similarity"), key, "left")
+    return found.select(key, F.round(1 - F.coalesce("similarity", F.lit(0.0)), 4).alias("separation"))
 
 
 def project_confidence(cohesion: Column, separation: Column, size: Column) -> Column:

@@ -18,7 +18,7 @@ from .groups import split_groups
 CHUNK, MOST_CELLS = 512, 4_096
 
 
-def _distinct(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _distinct(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each vector of length above 0 once, scaled to length 1 (v_key, v), and its k + 1 smallest ids (v_key, id, copies).
 
     Equal vectors are equally near to everything, so of many copies only the smallest ids can be
@@ -52,8 +52,8 @@ def _cells(once: DataFrame, cells: int, probes: int) -> DataFrame:
     return once.select(F.explode(nearest_cells("v")).alias("cell"), "v_key", "v")
 
 
-def nearest(vectors: DataFrame, k: int = 25, cells: int | None = None, probes: int = 12, chunk: int = CHUNK) -> DataFrame:
-    """(id, other, similarity): the k vectors (id, v) nearest to each by cosine, rounded to six places; ties go to smaller ids.
+def nearest(vectors: DataFrame, k: int = 25, cells: int | None = None, probes: int = 12, chunk: int = CHUNK, places: int = 6) -> DataFrame:
+    """(id, other, similarity): the k vectors (id, v) nearest to each by cosine, rounded to some places; ties go to smaller ids.
 
     ``cells=1`` compares everything with everything, in blocks, and is exact.  Otherwise vectors meet
     inside the cells of the ``probes`` centres nearest to each (by default about the root of their
@@ -71,7 +71,7 @@ def nearest(vectors: DataFrame, k: int = 25, cells: int | None = None, probes: i
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         v, key, mine = np.stack(rows["v"]), rows["v_key"].to_numpy(), rows["mine"].to_numpy()
-        near = np.round(v @ v.T, 6)
+        near = np.round(v @ v.T, places)
         same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
         skip = np.eye(len(v), dtype=bool) if same else mine[:, None] == mine[None, :]
         near[skip] = -2

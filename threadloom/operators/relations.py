@@ -69,13 +69,22 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return packed.join(vectors.groupBy("community").agg(F.count("*").alias("n_members")), "community")
 
 
-def soft_membership(vectors: DataFrame, profiles: DataFrame, ratio: float = 0.65, least: float = 0.35) -> DataFrame:
+def soft_membership(vectors: DataFrame, profiles: DataFrame, ratio: float = 0.65, least: float = 0.35, at_once: int = 2_000) -> DataFrame:
     """Communities of each vector (id, v): the best one, and others near it.
 
-    ``profiles`` (community, centroid) holds one row per community and meets every vector.
+    ``profiles`` (community, centroid) go to the vectors in blocks of about ``at_once``; of each block
+    the best and those of affinity ``least`` or more stay.
     """
-    scored = vectors.join(profiles.select("community", "centroid"), how="cross").withColumn("affinity", S.cosine(F.col("v"), F.col("centroid")))
+    blocks = max(1, -(-profiles.count() // at_once))
+    sized = vectors.select("id", "v", F.sqrt(S.dot(F.col("v"), F.col("v"))).alias("size"))
+    asked = profiles.select("community", "centroid", F.sqrt(S.dot(F.col("centroid"), F.col("centroid"))).alias("length"))
     order = Window.partitionBy("id").orderBy(F.desc("affinity"), "community")
+    scored = None
+    for block in range(blocks):
+        few = asked.where(F.pmod(F.xxhash64("community"), F.lit(blocks)) == block)  # about at_once rows
+        met = sized.join(F.broadcast(few), how="cross").select("id", "community", (S.dot(F.col("v"), F.col("centroid")) / (F.col("size") * F.col("length"))).alias("affinity"))
+        met = met.withColumn("rank", F.row_number().over(order)).where((F.col("rank") == 1) | (F.col("affinity") >= least)).drop("rank") if blocks > 1 else met
+        scored = met if scored is None else scored.unionByName(met)
     top = F.max("affinity").over(Window.partitionBy("id"))
     ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("top", top)
     kept = ranked.where((F.col("rank") == 1) | ((F.col("affinity") >= least) & (F.col("affinity") >= ratio * F.col("top"))))

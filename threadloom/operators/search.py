@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 #: English stop words of the usual full-text configuration
 STOP = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers "
@@ -118,8 +120,10 @@ def web_search(docs: DataFrame, queries: DataFrame, k: int = 20, stop: list[str]
     asked = asked.withColumn("at", F.col("at") - F.min("at").over(Window.partitionBy("query_id", "literal")))
     words = positions(plain)
     if stems:
-        asked = stemmed(asked, "word", "term")
-        forms = stemmed(words.select("word").distinct(), "word", "term").join(asked.select("term").distinct(), "term", "left_semi")
+        # staged: filters on the stem would be pushed through all its steps and grow with each
+        stem_of = staged(stemmed(words.select("word").unionByName(asked.select("word")).distinct(), "word", "term"), "stems")
+        asked = asked.join(stem_of, "word")
+        forms = stem_of.join(asked.select("term").distinct(), "term", "left_semi")
     else:
         asked = asked.withColumn("term", F.col("word"))
         forms = asked.select("word", "term").distinct()

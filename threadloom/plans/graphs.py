@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import areas, clustering, communities, neighbours, relations, report
+from ..operators import areas, clustering, communities, neighbours, relations, report, views
 from ..session import table
 from .registry import query
 
@@ -194,3 +196,103 @@ o AS (SELECT package_id, area, coalesce(subject, substr(text, 1, 60)) AS label,
 SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY decisions + open_loops DESC, claims DESC, label, area) AS rank FROM o""")
 def _(spark, d):
     return areas.coverage_areas(*claims_and_evidence(spark, d))
+
+
+# ---- views: customers as contacts and owners, orders as threads, parts as events of brands ------------------
+
+_VIEWS = """p AS (SELECT 0 AS mailbox, s_suppkey AS person, CASE WHEN s_suppkey % 3 = 0 THEN [] ELSE [s_name, 'x'] END AS names, 's' || s_suppkey || '@x.com' AS email, CASE WHEN s_suppkey % 4 = 0 THEN 'vendor' ELSE 'peer' END AS role, s_nationkey AS org FROM supplier),
+ident AS (SELECT s_suppkey AS person, 's' || s_suppkey || '@x.com' AS email FROM supplier WHERE s_suppkey % 5 > 0 UNION ALL SELECT s_suppkey, 't' || s_suppkey || '@y.com' FROM supplier WHERE s_suppkey % 2 = 0),
+e AS (SELECT l_suppkey AS person, count(*) AS message_count, round(sum(l_discount), 4) AS weight FROM lineitem WHERE l_suppkey % 7 > 0 GROUP BY 1),
+c AS (SELECT p.*, e.message_count, e.weight, n_name AS org_domain, coalesce((SELECT list(DISTINCT i.email ORDER BY i.email) FROM ident i WHERE i.person = p.person), []) AS all_emails FROM p JOIN e USING (person) LEFT JOIN nation ON org = n_nationkey),
+t AS (SELECT l_orderkey AS thread, list(DISTINCT CASE WHEN l_suppkey % 2 = 0 AND l_linenumber % 2 = 0 THEN 't' || l_suppkey || '@y.com' WHEN l_linenumber = 7 THEN 'me@x.com' ELSE 's' || l_suppkey || '@x.com' END) AS participants, max(l_shipdate) AS last, count(*) AS messages FROM lineitem GROUP BY 1),
+pr AS (SELECT p_brand AS project, 'Label ' || p_brand[7:7] AS label, round(avg(p_size) / 50, 2) AS confidence FROM part GROUP BY 1), a AS (SELECT DISTINCT p_brand AS project, l_orderkey AS thread FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40 AND p_brand <> 'Brand#3'),
+mem AS (SELECT p_brand AS project, l_suppkey AS person, sum(l_quantity) AS involvement, count(*) AS messages FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+ev AS (SELECT p_brand AS project, p_partkey AS event, ['proposed', 'did', 'outcome', 'other'][p_partkey % 4 + 1] AS type, list(l_orderkey ORDER BY l_orderkey) AS cites FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_linenumber = 1) ON l_partkey = p_partkey AND p_partkey % 6 > 0 GROUP BY 1, 2, 3),
+act AS (SELECT project, event, type, array_to_string(cites, ',') AS cites, (SELECT coalesce(max(o_orderdate), TIMESTAMP '1970-01-01') FROM orders WHERE list_contains(cites, o_orderkey) AND o_orderkey % 3 > 0) AS at FROM ev WHERE cites[1] IS NOT NULL)"""
+
+
+def mailbox_people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    key = F.col("s_suppkey")
+    own, other = F.concat(F.lit("s"), key, F.lit("@x.com")), F.concat(F.lit("t"), key, F.lit("@y.com"))
+    s = table(spark, d, "supplier").withColumn("mailbox", F.lit(0))
+    people = s.select("mailbox", key.alias("person"), F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("s_name", F.lit("x"))).alias("names"), own.alias("email"), F.when(key % 4 == 0, "vendor").otherwise("peer").alias("role"), F.col("s_nationkey").alias("org"))
+    identities = s.where("s_suppkey % 5 > 0").select("mailbox", key.alias("person"), own.alias("email")).unionByName(s.where("s_suppkey % 2 = 0").select("mailbox", key.alias("person"), other.alias("email")))
+    edges = table(spark, d, "lineitem").where("l_suppkey % 7 > 0").groupBy(F.lit(0).alias("mailbox"), F.col("l_suppkey").alias("person")).agg(F.count("*").alias("message_count"), F.round(F.sum("l_discount"), 4).alias("weight"))
+    return people, identities, edges, table(spark, d, "nation").select(F.col("n_nationkey").alias("org"), F.col("n_name").alias("domain"))
+
+
+def mailbox_threads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Threads, and a row for each of their messages."""
+    key, line = F.col("l_suppkey"), F.col("l_linenumber")
+    address = F.when((key % 2 == 0) & (line % 2 == 0), F.concat(F.lit("t"), key, F.lit("@y.com"))).when(line == 7, "me@x.com").otherwise(F.concat(F.lit("s"), key, F.lit("@x.com")))
+    lines = table(spark, d, "lineitem").select(F.lit(0).alias("mailbox"), F.col("l_orderkey").alias("thread"), address.alias("address"), "l_shipdate")
+    return lines.groupBy("mailbox", "thread").agg(F.collect_set("address").alias("participants"), F.max("l_shipdate").alias("last")).withColumn("subject", F.concat(F.lit("order "), F.col("thread"))), lines
+
+
+@query("QRY_02_contacts", f"WITH {_VIEWS} SELECT person, coalesce(names[1], email) AS name, email, array_to_string(all_emails, ',') AS all_emails, role, org_domain, weight, message_count FROM c")
+def _(spark, d):
+    from .mail import joined
+
+    return views.contacts(*mailbox_people(spark, d)).select("person", "name", "email", joined("all_emails"), "role", "org_domain", "weight", "message_count")
+
+
+@query("QRY_02_contact_threads", f"""WITH {_VIEWS}, x AS (SELECT person, unnest(CASE WHEN len(all_emails) > 0 THEN all_emails ELSE [email] END) AS address FROM c), o AS (SELECT * FROM t WHERE list_contains(participants, 'me@x.com')),
+m AS (SELECT DISTINCT person, thread FROM (SELECT thread, unnest(participants) AS address FROM o) JOIN x USING (address)), r AS (SELECT person, thread, row_number() OVER (PARTITION BY person ORDER BY last DESC, thread) AS rank FROM m JOIN o USING (thread))
+SELECT person, rank, thread, 'order ' || thread AS subject, array_to_string(list_sort(list_filter(participants, z -> z <> 'me@x.com' AND z NOT IN (SELECT address FROM x WHERE x.person = r.person))), ',') AS others, strftime(last, '%Y-%m-%d') AS last, messages FROM r JOIN o USING (thread) WHERE rank <= 10""")
+def _(spark, d):
+    from .mail import day, joined
+
+    threads, messages = mailbox_threads(spark, d)
+    owners = spark.range(1).select(F.lit(0).alias("mailbox"), F.lit("me@x.com").alias("owner"))
+    found = views.contact_threads(views.contacts(*mailbox_people(spark, d)), threads, messages, owners)
+    return found.select("person", "rank", "thread", "subject", joined("others"), day("last"), "messages")
+
+
+def project_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    parts, key = table(spark, d, "part"), F.col("p_partkey")
+    lines = table(spark, d, "lineitem").join(parts, F.col("l_partkey") == key)
+    cites = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("event")).agg(F.array_sort(F.collect_set("l_orderkey")).alias("cites")).where("event % 6 > 0")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("proposed", "did", "outcome", "other")]), (key % 4 + 1).cast("int"))
+    events = parts.select(F.col("p_brand").alias("project"), key.alias("event"), kind.alias("type"), F.lit(1).alias("actor"), F.lit(0.5).alias("confidence")).join(cites, "event", "left").withColumn("cites", F.coalesce("cites", F.array().cast("array<long>")))
+    return {
+        "projects": parts.groupBy(F.col("p_brand").alias("project")).agg(F.round(F.avg("p_size") / 50, 2).alias("confidence")).select("project", F.concat(F.lit("Label "), F.substring("project", 7, 1)).alias("label"), "confidence", F.lit(None).cast("timestamp").alias("end")),
+        "assigned": lines.where("l_quantity > 40 and p_brand <> 'Brand#3'").select(F.col("p_brand").alias("project"), F.col("l_orderkey").alias("thread")),
+        "members": lines.groupBy(F.col("p_brand").alias("project"), F.col("l_suppkey").alias("person")).agg(F.sum("l_quantity").alias("involvement"), F.count("*").alias("messages")),
+        "threads": mailbox_threads(spark, d)[0], "events": events, "messages": table(spark, d, "orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("message"), F.col("o_orderdate").alias("ts")),
+    }
+
+
+@query("QRY_05_activity", f"WITH {_VIEWS} SELECT project, row_number() OVER (PARTITION BY project ORDER BY CASE type WHEN 'outcome' THEN 0 WHEN 'did' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END, at DESC, event) AS place, event, type, cites, strftime(at, '%Y-%m-%d') AS at FROM act")
+def _(spark, d):
+    from .mail import day, joined
+
+    t = project_tables(spark, d)
+    return views.activity(t["events"], t["messages"]).select("project", "place", "event", "type", joined("cites"), day("at"))
+
+
+@query("QRY_03_project_list", f"""WITH {_VIEWS}, s AS (SELECT project, count(*) AS threads, max(last) AS last FROM a JOIN t USING (thread) GROUP BY 1), n AS (SELECT project, count(*) AS members FROM mem GROUP BY 1), f AS (SELECT DISTINCT project FROM act WHERE type = 'outcome' AND at >= TIMESTAMP '2001-08-20' - INTERVAL 30 DAY)
+SELECT project, label, CASE WHEN last IS NULL OR floor((epoch(TIMESTAMP '2001-08-20') - epoch(last)) / 86400) > 30 THEN 'stale' WHEN project IN (SELECT project FROM f) THEN 'shipping' ELSE 'active' END AS state, confidence, coalesce(members, 0) AS members, coalesce(threads, 0) AS threads, strftime(last, '%Y-%m-%d') AS last_activity,
+  row_number() OVER (ORDER BY confidence DESC, label, project) AS place FROM pr LEFT JOIN s USING (project) LEFT JOIN n USING (project)""")
+def _(spark, d):
+    from .mail import day
+
+    t = project_tables(spark, d)
+    listed = views.project_list(t["projects"], t["assigned"], t["members"], t["threads"], t["events"], t["messages"], datetime(2001, 8, 20, tzinfo=timezone.utc))
+    placed = views.in_order(listed, t["projects"].select("project", F.lit(0).alias("mailbox")))
+    return placed.select("project", "label", "state", "confidence", "members", "threads", day("last_activity"), "place")
+
+
+@query("QRY_04_project_people", f"""WITH {_VIEWS}, x AS (SELECT project, person, coalesce(names[1], email) AS name, role, mem.messages, involvement, round(coalesce(weight, 0), 4) AS weight FROM mem LEFT JOIN p USING (person) LEFT JOIN e USING (person))
+SELECT project, person, coalesce(name, person::VARCHAR) AS name, coalesce(role, 'unknown') AS role, messages, involvement, weight, row_number() OVER (PARTITION BY project ORDER BY involvement DESC, person) AS place, CASE WHEN row_number() OVER (PARTITION BY project ORDER BY weight DESC, involvement DESC, person) <= 4 THEN row_number() OVER (PARTITION BY project ORDER BY weight DESC, involvement DESC, person) END AS ask FROM x""")
+def _(spark, d):
+    people, _, edges, _ = mailbox_people(spark, d)
+    return views.project_people(project_tables(spark, d)["members"], people, edges)
+
+
+@query("QRY_04_project_threads", f"WITH {_VIEWS} SELECT project, rank, thread, 'order ' || thread AS subject, array_to_string(list_sort(participants), ',') AS participants, strftime(last, '%Y-%m-%d') AS last FROM (SELECT project, thread, participants, last, row_number() OVER (PARTITION BY project ORDER BY last DESC, thread) AS rank FROM a JOIN t USING (thread)) WHERE rank <= 10")
+def _(spark, d):
+    from .mail import day
+
+    t = project_tables(spark, d)
+    found = views.project_threads(t["assigned"], t["threads"])
+    return found.select("project", "rank", "thread", "subject", F.array_join(F.array_sort("participants"), ",").alias("participants"), day("last"))

@@ -510,9 +510,11 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("community"), F.col("embedding").alias("v"))
 
 
-@query("AGG_08_mean_vectors", f"WITH {_MEAN} SELECT community, i - 1 AS i, round(m / n, 4) AS x FROM m JOIN n USING (community)")
+@query("AGG_08_mean_vectors", """WITH e AS (SELECT label AS community, 1 + vec_id % 3 AS w, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT community, i, sum(x * w) / sum(w) AS m FROM e GROUP BY 1, 2),
+n AS (SELECT community, sqrt(sum(m * m)) AS n FROM m GROUP BY 1) SELECT community, i - 1 AS i, round(m / n, 4) AS x FROM m JOIN n USING (community)""")
 def _(spark, d):
-    return clustering.mean_vectors(vectors(spark, d), "community").select("community", F.posexplode("vector").alias("i", "x")).withColumn("x", F.round("x", 4))
+    weighted = vectors(spark, d).withColumn("w", 1 + F.col("id") % 3)
+    return clustering.mean_vectors(weighted, "community", "w").select("community", F.posexplode("vector").alias("i", "x")).withColumn("x", F.round("x", 4))
 
 
 @query("AGG_09_sent_counts", f"WITH {MSG}, c AS (SELECT thread_id, sender, count(*) AS n FROM msg GROUP BY 1, 2) SELECT thread_id, string_agg(sender || ':' || n, ',' ORDER BY sender) AS sent, coalesce(string_agg(sender::VARCHAR, ',' ORDER BY sender) FILTER (WHERE sender <> 3), '') AS participants FROM c GROUP BY 1")
@@ -542,18 +544,21 @@ def _(spark, d):
     return clustering.separation(clustering.mean_vectors(vectors(spark, d), "community"))
 
 
-@query("GRF_11_confidence", f"WITH {_SEP}, z AS (SELECT community, count(*) AS size FROM vec GROUP BY 1) SELECT community, round(greatest(0, least(1, 0.5 * 0.6 + 0.3 * round(1 - max(c), 4) + 0.2 * least(1, any_value(size) / 10))), 3) AS confidence FROM s JOIN z USING (community) GROUP BY 1")
+@query("GRF_11_confidence", f"""WITH {_SEP}, z AS (SELECT community, count(*) AS size FROM vec GROUP BY 1), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY md5('0|' || community || '|' || id), id) AS r FROM vec) WHERE r <= 200),
+p AS (SELECT a.community, avg(list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[])) AS c FROM k a JOIN k b ON a.community = b.community AND a.id < b.id GROUP BY 1)
+SELECT z.community, round(greatest(0, least(1, 0.5 * round(coalesce(any_value(p.c), 1.0), 4) + 0.3 * round(1 - max(s.c), 4) + 0.2 * least(1, any_value(size) / 10))), 3) AS confidence FROM s JOIN z USING (community) LEFT JOIN p USING (community) GROUP BY 1""")
 def _(spark, d):
-    sizes = vectors(spark, d).groupBy("community").agg(F.count("*").alias("size"))
-    rows = clustering.separation(clustering.mean_vectors(vectors(spark, d), "community")).join(sizes, "community")
-    return rows.select("community", clustering.project_confidence(F.lit(0.6), F.col("separation"), F.col("size")).alias("confidence"))
+    v = vectors(spark, d)
+    rows = clustering.separation(clustering.mean_vectors(v, "community")).join(v.groupBy("community").agg(F.count("*").alias("size")), "community").join(clustering.cohesion(v), "community")
+    return rows.select("community", clustering.project_confidence(F.col("cohesion"), F.col("separation"), F.col("size")).alias("confidence"))
 
 
-@query("SIM_03_weighted_jaccard", """WITH s AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS item FROM orders WHERE o_custkey % 7 = o_orderkey % 7), w AS (SELECT * FROM (VALUES ('1-URGENT', 2.5), ('5-LOW', 0.25)) v(item, weight)), r AS (SELECT id, item, coalesce(weight, 1.0)::DOUBLE AS w FROM s LEFT JOIN w USING (item)),
+@query("SIM_03_weighted_jaccard", """WITH s AS (SELECT DISTINCT o_custkey AS id, epoch(o_orderdate) // 86400 AS item FROM orders), r AS (SELECT id, item, CASE item % 7 WHEN 0 THEN 2.5 WHEN 3 THEN 0.25 ELSE 1.0 END::DOUBLE AS w FROM s),
 o AS (SELECT id, sum(w) AS own FROM r GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, sum(a.w) AS both_ FROM r a JOIN r b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(both_ / (x.own + y.own - both_), 6) AS similarity FROM p JOIN o x ON a = x.id JOIN o y ON b = y.id""")
 def _(spark, d):
-    rows = table(spark, d, "orders").where("o_custkey % 7 = o_orderkey % 7").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("item"))
-    return clustering.weighted_jaccard(rows, spark.createDataFrame([("1-URGENT", 2.5), ("5-LOW", 0.25)], "item string, weight double"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.expr("unix_timestamp(o_orderdate) div 86400").alias("item"))
+    days = rows.select("item").distinct().where("item % 7 in (0, 3)").select("item", F.when(F.col("item") % 7 == 0, 2.5).otherwise(0.25).alias("weight"))
+    return clustering.weighted_jaccard(rows, days)
 
 
 @query("SIM_05_thread_similarity", "SELECT l_orderkey AS a, l_linenumber AS b, round(0.35 * l_discount + 0.30 * greatest(0.05 - l_tax, 0) + 0.20 * l_quantity / 50 + 0.10 * l_tax + 0.05 * (l_linenumber % 2), 6) AS w FROM lineitem")

@@ -546,4 +546,4 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return windows.sessions(table(spark, d, "events"))
 
 
-from . import graphs, mail  # noqa: E402, F401  their queries register themselves
+from . import graphs, mail, texts  # noqa: E402, F401  their queries register themselves
