@@ -53,7 +53,7 @@ def evidence(vector_hits: DataFrame, text_hits: DataFrame, now: datetime, least_
 
     both = pool(vector_hits, least_vector, "vector").join(pool(text_hits, least_text, "text"), ["query_id", "id"], "full_outer").withColumn("told", F.coalesce("told_vector", "told_text"))
     source = F.when(F.col("vector_score").isNull(), "fts").when(F.col("text_score").isNull(), "vector").otherwise("hybrid")
-    age = (F.lit(now.timestamp()) - F.unix_micros("told.ts") / 1e6) / 86_400
+    age = (F.lit(now.timestamp()) - F.unix_micros(F.col("told.ts").cast("timestamp")) / 1e6) / 86_400
     gain = F.when(F.size("told.projects") > 0, PROJECT).otherwise(0.0) + F.when(F.size("told.people") > 0, PERSON).otherwise(0.0) + F.coalesce(S.recency(age), F.lit(0.0))
     score = VECTOR * F.coalesce("vector_norm", F.lit(0.0)) + TEXT * F.coalesce("text_norm", F.lit(0.0)) + gain
     both = both.withColumn("source", source).withColumn("score", F.round(score, 6))

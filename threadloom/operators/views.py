@@ -61,7 +61,7 @@ def activity(events: DataFrame, messages: DataFrame) -> DataFrame:
     Outcomes come first, then what was done, then proposals; of one kind the newest first by the last
     cited message that is stored, those without one last; then by event.
     """
-    cited = events.select("event", F.explode("cites").alias("message")).join(messages.select("message", "ts"), "message").groupBy("event").agg(F.max("ts").alias("at"))
+    cited = events.select("event", F.explode("cites").alias("message")).join(messages.select("message", "ts"), "message").groupBy("event").agg(F.max(F.col("ts").cast("timestamp")).alias("at"))
     rows = events.where("project is not null and size(cites) > 0").join(cited, "event", "left").withColumn("at", F.coalesce("at", F.timestamp_seconds(F.lit(0))))
     grade = F.coalesce(F.create_map(*[F.lit(x) for pair in GRADES.items() for x in pair])[F.col("type")], F.lit(99))
     place = Window.partitionBy("project").orderBy(grade, F.desc("at"), "event")
@@ -70,7 +70,7 @@ def activity(events: DataFrame, messages: DataFrame) -> DataFrame:
 
 def _age(now: datetime, at: Column) -> Column:
     """Whole days from ``at`` to now."""
-    return F.floor((F.lit(now.timestamp()) - F.unix_micros(at) / 1e6) / 86_400)
+    return F.floor((F.lit(now.timestamp()) - F.unix_micros(at.cast("timestamp")) / 1e6) / 86_400)
 
 
 def project_list(projects: DataFrame, assigned: DataFrame, members: DataFrame, threads: DataFrame, events: DataFrame, messages: DataFrame, now: datetime) -> DataFrame:
@@ -83,7 +83,7 @@ def project_list(projects: DataFrame, assigned: DataFrame, members: DataFrame, t
     own = assigned.select("project", "thread").distinct()
     ends = own.join(threads.select("thread", "last"), "thread", "left").groupBy("project").agg(F.count("*").alias("threads"), F.max("last").alias("last"))
     people = members.groupBy("project").agg(F.count("*").alias("members"))
-    fresh = activity(events, messages).where((F.col("type") == "outcome") & (F.unix_micros("at") / 1e6 >= now.timestamp() - STALE_DAYS * 86_400)).select("project").distinct().withColumn("ships", F.lit(True))
+    fresh = activity(events, messages).where((F.col("type") == "outcome") & (F.unix_micros(F.col("at").cast("timestamp")) / 1e6 >= now.timestamp() - STALE_DAYS * 86_400)).select("project").distinct().withColumn("ships", F.lit(True))
     rows = projects.join(ends, "project", "left").join(people, "project", "left").join(fresh, "project", "left")
     state = F.when(F.col("last").isNull() | (_age(now, F.col("last")) > STALE_DAYS), "stale").when(F.col("ships"), "shipping").otherwise("active")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -205,10 +205,10 @@ ident AS (SELECT s_suppkey AS person, 's' || s_suppkey || '@x.com' AS email FROM
 e AS (SELECT l_suppkey AS person, count(*) AS message_count, round(sum(l_discount), 4) AS weight FROM lineitem WHERE l_suppkey % 7 > 0 GROUP BY 1),
 c AS (SELECT p.*, e.message_count, e.weight, n_name AS org_domain, coalesce((SELECT list(DISTINCT i.email ORDER BY i.email) FROM ident i WHERE i.person = p.person), []) AS all_emails FROM p JOIN e USING (person) LEFT JOIN nation ON org = n_nationkey),
 t AS (SELECT l_orderkey AS thread, list(DISTINCT CASE WHEN l_suppkey % 2 = 0 AND l_linenumber % 2 = 0 THEN 't' || l_suppkey || '@y.com' WHEN l_linenumber = 7 THEN 'me@x.com' ELSE 's' || l_suppkey || '@x.com' END) AS participants, max(l_shipdate) AS last, count(*) AS messages FROM lineitem GROUP BY 1),
-pr AS (SELECT p_brand AS project, 'Label ' || p_brand[7:7] AS label, round(avg(p_size) / 50, 2) AS confidence FROM part GROUP BY 1), a AS (SELECT DISTINCT p_brand AS project, l_orderkey AS thread FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40 AND p_brand <> 'Brand#3'),
+pr AS (SELECT p_brand AS project, 'Label ' || p_brand[7:7] AS label, floor(avg(p_size)) / 50 AS confidence FROM part GROUP BY 1), a AS (SELECT DISTINCT p_brand AS project, l_orderkey AS thread FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40 AND p_brand <> 'Brand#3'),
 mem AS (SELECT p_brand AS project, l_suppkey AS person, sum(l_quantity) AS involvement, count(*) AS messages FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
 ev AS (SELECT p_brand AS project, p_partkey AS event, ['proposed', 'did', 'outcome', 'other'][p_partkey % 4 + 1] AS type, list(l_orderkey ORDER BY l_orderkey) AS cites FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_linenumber = 1) ON l_partkey = p_partkey AND p_partkey % 6 > 0 GROUP BY 1, 2, 3),
-act AS (SELECT project, event, type, array_to_string(cites, ',') AS cites, (SELECT coalesce(max(o_orderdate), TIMESTAMP '1970-01-01') FROM orders WHERE list_contains(cites, o_orderkey) AND o_orderkey % 3 > 0) AS at FROM ev WHERE cites[1] IS NOT NULL)"""
+act AS (SELECT project, event, type, array_to_string(cites, ',') AS cites, (SELECT coalesce(max(o_orderdate), TIMESTAMP '1970-01-01') FROM orders WHERE list_contains(cites, o_orderkey) AND o_orderkey % 3 > 0) AS seen FROM ev WHERE cites[1] IS NOT NULL)"""
 
 
 def mailbox_people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -238,7 +238,7 @@ def _(spark, d):
 
 @query("QRY_02_contact_threads", f"""WITH {_VIEWS}, x AS (SELECT person, unnest(CASE WHEN len(all_emails) > 0 THEN all_emails ELSE [email] END) AS address FROM c), o AS (SELECT * FROM t WHERE list_contains(participants, 'me@x.com')),
 m AS (SELECT DISTINCT person, thread FROM (SELECT thread, unnest(participants) AS address FROM o) JOIN x USING (address)), r AS (SELECT person, thread, row_number() OVER (PARTITION BY person ORDER BY last DESC, thread) AS rank FROM m JOIN o USING (thread))
-SELECT person, rank, thread, 'order ' || thread AS subject, array_to_string(list_sort(list_filter(participants, z -> z <> 'me@x.com' AND z NOT IN (SELECT address FROM x WHERE x.person = r.person))), ',') AS others, strftime(last, '%Y-%m-%d') AS last, messages FROM r JOIN o USING (thread) WHERE rank <= 10""")
+SELECT person, rank, thread, 'order ' || thread AS subject, array_to_string(list_sort(list_filter(participants, lambda z: z <> 'me@x.com' AND NOT list_contains(own, z))), ',') AS others, strftime(last, '%Y-%m-%d') AS last, messages FROM r JOIN o USING (thread) JOIN (SELECT person, list(address) AS own FROM x GROUP BY 1) USING (person) WHERE rank <= 10""")
 def _(spark, d):
     from .mail import day, joined
 
@@ -255,14 +255,14 @@ def project_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     kind = F.element_at(F.array(*[F.lit(x) for x in ("proposed", "did", "outcome", "other")]), (key % 4 + 1).cast("int"))
     events = parts.select(F.col("p_brand").alias("project"), key.alias("event"), kind.alias("type"), F.lit(1).alias("actor"), F.lit(0.5).alias("confidence")).join(cites, "event", "left").withColumn("cites", F.coalesce("cites", F.array().cast("array<long>")))
     return {
-        "projects": parts.groupBy(F.col("p_brand").alias("project")).agg(F.round(F.avg("p_size") / 50, 2).alias("confidence")).select("project", F.concat(F.lit("Label "), F.substring("project", 7, 1)).alias("label"), "confidence", F.lit(None).cast("timestamp").alias("end")),
+        "projects": parts.groupBy(F.col("p_brand").alias("project")).agg((F.floor(F.avg("p_size")) / 50).alias("confidence")).select("project", F.concat(F.lit("Label "), F.substring("project", 7, 1)).alias("label"), "confidence", F.lit(None).cast("timestamp").alias("end")),
         "assigned": lines.where("l_quantity > 40 and p_brand <> 'Brand#3'").select(F.col("p_brand").alias("project"), F.col("l_orderkey").alias("thread")),
         "members": lines.groupBy(F.col("p_brand").alias("project"), F.col("l_suppkey").alias("person")).agg(F.sum("l_quantity").alias("involvement"), F.count("*").alias("messages")),
         "threads": mailbox_threads(spark, d)[0], "events": events, "messages": table(spark, d, "orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("message"), F.col("o_orderdate").alias("ts")),
     }
 
 
-@query("QRY_05_activity", f"WITH {_VIEWS} SELECT project, row_number() OVER (PARTITION BY project ORDER BY CASE type WHEN 'outcome' THEN 0 WHEN 'did' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END, at DESC, event) AS place, event, type, cites, strftime(at, '%Y-%m-%d') AS at FROM act")
+@query("QRY_05_activity", f"WITH {_VIEWS} SELECT project, row_number() OVER (PARTITION BY project ORDER BY CASE type WHEN 'outcome' THEN 0 WHEN 'did' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END, seen DESC, event) AS place, event, type, cites, strftime(seen, '%Y-%m-%d') AS at FROM act")
 def _(spark, d):
     from .mail import day, joined
 
@@ -270,7 +270,7 @@ def _(spark, d):
     return views.activity(t["events"], t["messages"]).select("project", "place", "event", "type", joined("cites"), day("at"))
 
 
-@query("QRY_03_project_list", f"""WITH {_VIEWS}, s AS (SELECT project, count(*) AS threads, max(last) AS last FROM a JOIN t USING (thread) GROUP BY 1), n AS (SELECT project, count(*) AS members FROM mem GROUP BY 1), f AS (SELECT DISTINCT project FROM act WHERE type = 'outcome' AND at >= TIMESTAMP '2001-08-20' - INTERVAL 30 DAY)
+@query("QRY_03_project_list", f"""WITH {_VIEWS}, s AS (SELECT project, count(*) AS threads, max(last) AS last FROM a JOIN t USING (thread) GROUP BY 1), n AS (SELECT project, count(*) AS members FROM mem GROUP BY 1), f AS (SELECT DISTINCT project FROM act WHERE type = 'outcome' AND seen >= TIMESTAMP '2001-08-20' - INTERVAL 30 DAY)
 SELECT project, label, CASE WHEN last IS NULL OR floor((epoch(TIMESTAMP '2001-08-20') - epoch(last)) / 86400) > 30 THEN 'stale' WHEN project IN (SELECT project FROM f) THEN 'shipping' ELSE 'active' END AS state, confidence, coalesce(members, 0) AS members, coalesce(threads, 0) AS threads, strftime(last, '%Y-%m-%d') AS last_activity,
   row_number() OVER (ORDER BY confidence DESC, label, project) AS place FROM pr LEFT JOIN s USING (project) LEFT JOIN n USING (project)""")
 def _(spark, d):

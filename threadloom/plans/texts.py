@@ -31,15 +31,15 @@ def web_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("RET_02_web_search", f"""WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM benchmark), q AS (SELECT * FROM i WHERE len(w) >= 6),
-l AS (SELECT item_id * 4 AS q, 0 AS alt, 0 AS lit, false AS neg, j - 1 AS at, w[j] AS word FROM q, generate_series(1, 3) s(j) UNION ALL SELECT item_id * 4 + 1, 0, j - 1, false, 0, w[j] FROM q, generate_series(1, 3) s(j)
+l AS (SELECT item_id * 4 AS q, 0 AS alt, 0 AS lit, false AS neg, j - 1 AS off, w[j] AS word FROM q, generate_series(1, 3) s(j) UNION ALL SELECT item_id * 4 + 1, 0, j - 1, false, 0, w[j] FROM q, generate_series(1, 3) s(j)
   UNION ALL SELECT item_id * 4 + 2, CASE WHEN j = 1 THEN 0 ELSE 1 END, j, false, 0, w[j] FROM q, (VALUES (1), (4), (5)) s(j) UNION ALL SELECT item_id * 4 + 3, 0, j, j = 6, 0, w[j] FROM q, (VALUES (1), (6)) s(j)),
-lit AS (SELECT * EXCLUDE (at), at - min(at) OVER (PARTITION BY q, lit) AS at FROM l WHERE word NOT IN ({_STOPS})), size AS (SELECT q, alt, lit, neg, count(*) AS n FROM lit GROUP BY ALL),
+lit AS (SELECT * EXCLUDE (off), off - min(off) OVER (PARTITION BY q, lit) AS off FROM l WHERE word NOT IN ({_STOPS})), size AS (SELECT q, alt, lit, neg, count(*) AS n FROM lit GROUP BY ALL),
 p AS (SELECT doc_id AS id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents)), f AS (SELECT * FROM p WHERE word IN (SELECT word FROM lit)),
-h AS (SELECT DISTINCT q, alt, lit, neg, id FROM (SELECT lit.q, lit.alt, lit.lit, f.id, pos - at AS b, count(*) AS k FROM f JOIN lit USING (word) GROUP BY ALL) JOIN size USING (q, alt, lit) WHERE k = n),
+h AS (SELECT DISTINCT q, alt, lit, neg, id FROM (SELECT lit.q, lit.alt, lit.lit, f.id, pos - off AS b, count(*) AS k FROM f JOIN lit USING (word) GROUP BY ALL) JOIN size USING (q, alt, lit) WHERE k = n),
 want AS (SELECT q, alt, count(*) FILTER (WHERE NOT neg) AS n FROM size GROUP BY ALL), met AS (SELECT q, alt, id, count(*) FILTER (WHERE NOT neg) AS k, count(*) FILTER (WHERE neg) AS bad FROM h GROUP BY ALL),
-only AS (SELECT q, alt, doc_id AS id FROM want, documents WHERE n = 0), m AS (SELECT q, id FROM met JOIN want USING (q, alt) WHERE k = n AND bad = 0 AND n > 0 UNION SELECT q, o.id FROM only o WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.q = o.q AND met.alt = o.alt AND met.id = o.id AND bad > 0)),
+alone AS (SELECT q, alt, doc_id AS id FROM want, documents WHERE n = 0), m AS (SELECT q, id FROM met JOIN want USING (q, alt) WHERE k = n AND bad = 0 AND n > 0 UNION SELECT q, o.id FROM alone o WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.q = o.q AND met.alt = o.alt AND met.id = o.id AND bad > 0)),
 kind AS (SELECT q, count(DISTINCT word) AS terms, count(DISTINCT alt) = 1 AND count(DISTINCT word) > 1 AS near FROM lit GROUP BY 1), t AS (SELECT DISTINCT q, word FROM lit), pl AS (SELECT t.q, f.id, f.word, f.pos, terms, near FROM f JOIN t USING (word) JOIN m ON m.q = t.q AND m.id = f.id JOIN kind ON kind.q = t.q),
-o AS (SELECT q, id, sum(0.1 * list_sum(list_transform(generate_series(1, least(n, 255)), j -> 1.0::DOUBLE / (j * j))) / 1.64493406685 / terms) AS s FROM (SELECT q, id, word, terms, count(*) AS n FROM pl WHERE NOT near GROUP BY ALL) GROUP BY 1, 2),
+o AS (SELECT q, id, sum(0.1 * list_sum(list_transform(generate_series(1, least(n, 255)), lambda j: 1.0::DOUBLE / (j * j))) / 1.64493406685 / terms) AS s FROM (SELECT q, id, word, terms, count(*) AS n FROM pl WHERE NOT near GROUP BY ALL) GROUP BY 1, 2),
 c AS (SELECT a.q, a.id, 1 - exp(sum(ln(1 - 0.1 * sqrt(1.0 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2)))))) AS s FROM pl a JOIN pl b ON a.q = b.q AND a.id = b.id AND a.word < b.word AND abs(a.pos - b.pos) <= 100 WHERE a.near GROUP BY 1, 2),
 r AS (SELECT m.q AS query_id, m.id, round(coalesce(o.s, c.s, 0), 6) AS score FROM m LEFT JOIN o ON o.q = m.q AND o.id = m.id LEFT JOIN c ON c.q = m.q AND c.id = m.id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) WHERE rank <= 20""")
@@ -54,8 +54,8 @@ def _(spark, d):
 
 # ---- term weights and labels --------------------------------------------------------------------------------
 
-_TFIDF = f"""w AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), x -> regexp_full_match(x, '[a-z]{{2,}}') AND x NOT IN ({_STOPS})) AS w FROM documents WHERE text IS NOT NULL),
-tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM w UNION ALL SELECT id, unnest(list_transform(generate_series(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+_TFIDF = f"""w AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}') AND x NOT IN ({_STOPS})) AS w FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM w UNION ALL SELECT id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 raw AS (SELECT id, term, tf, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM documents)) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term)), v AS (SELECT id, term, tf, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)), 6) AS weight FROM raw)"""
 
 
@@ -73,7 +73,7 @@ def _(spark, d):
 d AS (SELECT term, count(*) AS cdf FROM b GROUP BY 1), s AS (SELECT project, term, round(tf * ln((1 + (SELECT count(*) FROM customer)) / (1 + cdf)), 9) AS score, contains(term, ' ') OR regexp_full_match(term, '[A-Z][^A-Z]*') AS telling FROM b JOIN d USING (term)),
 f AS (SELECT project, first(term ORDER BY score DESC, term) FILTER (WHERE telling) AS entity, list(term ORDER BY score DESC, term)[1:2] AS two FROM s GROUP BY 1), t AS (SELECT c_custkey AS project, entity, two, c_name, (SELECT min(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS start FROM customer LEFT JOIN f ON project = c_custkey),
 i AS (SELECT *, coalesce(entity, array_to_string(two, ' · ')) AS raw FROM t)
-SELECT project, CASE WHEN project % 10 = 0 THEN 'own ' || project WHEN raw IS NOT NULL THEN array_to_string(list_transform(string_split(lower(raw), ' '), x -> upper(x[1]) || x[2:]), ' ') ELSE concat_ws(' · ', c_name, strftime(start, '%b %Y')) END AS label,
+SELECT project, CASE WHEN project % 10 = 0 THEN 'own ' || project WHEN raw IS NOT NULL THEN array_to_string(list_transform(string_split(lower(raw), ' '), lambda x: upper(x[1]) || x[2:]), ' ') ELSE concat_ws(' · ', c_name, strftime(start, '%b %Y')) END AS label,
   CASE WHEN project % 10 = 0 THEN 'user' WHEN entity IS NOT NULL THEN 'entity' WHEN raw IS NOT NULL THEN 'ctfidf' ELSE 'fallback' END AS label_source FROM i""")
 def _(spark, d):
     size, lines = F.col("p_size") % 5, table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -131,8 +131,8 @@ def line_distances(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("GRF_06_linkage", """WITH RECURSIVE l AS (SELECT l_orderkey AS grp, l_linenumber AS item, min(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2),
 s AS (SELECT grp, 0 AS step, list([item] ORDER BY item) AS c, list([p] ORDER BY item) AS ps FROM l GROUP BY 1 UNION ALL
-  SELECT grp, step + 1, list_concat(list_filter(c, (x, i) -> i <> m.i AND i <> m.j), [list_sort(list_concat(c[m.i], c[m.j]))]), list_concat(list_filter(ps, (x, i) -> i <> m.i AND i <> m.j), [list_concat(ps[m.i], ps[m.j])])
-  FROM (SELECT *, (SELECT {'d': d, 'i': i, 'j': j} FROM (SELECT a.i, b.j, round(list_avg(list_transform(ps[a.i], x -> list_avg(list_transform(ps[b.j], y -> abs(x - y))))), 6) AS d, least(c[a.i][1], c[b.j][1]) AS u, greatest(c[a.i][1], c[b.j][1]) AS v FROM generate_series(1, len(c)) a(i), generate_series(1, len(c)) b(j) WHERE a.i < b.j) ORDER BY d, u, v LIMIT 1) AS m FROM s WHERE len(c) > 1) WHERE m.d <= 15000),
+  SELECT grp, step + 1, list_concat(list_filter(c, lambda x, i: i <> m.i AND i <> m.j), [list_sort(list_concat(c[m.i], c[m.j]))]), list_concat(list_filter(ps, lambda x, i: i <> m.i AND i <> m.j), [list_concat(ps[m.i], ps[m.j])])
+  FROM (SELECT *, (SELECT {'d': d, 'i': i, 'j': j} FROM (SELECT a.i, b.j, round(list_avg(list_transform(ps[a.i], lambda x: list_avg(list_transform(ps[b.j], lambda y: abs(x - y))))), 6) AS d, least(c[a.i][1], c[b.j][1]) AS u, greatest(c[a.i][1], c[b.j][1]) AS v FROM generate_series(1, len(c)) a(i), generate_series(1, len(c)) b(j) WHERE a.i < b.j) ORDER BY d, u, v LIMIT 1) AS m FROM s WHERE len(c) > 1) WHERE m.d <= 15000),
 e AS (SELECT grp, c FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY step DESC) = 1) SELECT grp, unnest(x) AS item, x[1] AS cluster FROM (SELECT grp, unnest(c) AS x FROM e)""")
 def _(spark, d):
     return linkage.average_linkage(*line_distances(spark, d), cut=15_000, far=1e9)[0]
@@ -160,8 +160,8 @@ def conversation_mail(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
 
 @query("UDF_04_grounded_events", f"""WITH {_GROUND}, open_ AS (SELECT * FROM raw WHERE type <> 'guess' AND thread_id NOT IN (SELECT thread_id FROM m WHERE tag <> 'none')),
 exact AS (SELECT raw_id, min(person) AS person FROM open_ JOIN people ON lower(trim(actor)) = lower(email) GROUP BY 1), s AS (SELECT DISTINCT thread_id, split_part(lower(sender), '@', 1) AS local, person FROM m JOIN people ON lower(sender) = lower(email)),
-part AS (SELECT raw_id, min(person) AS person FROM (SELECT DISTINCT raw_id, person FROM open_ o JOIN s USING (thread_id) WHERE raw_id NOT IN (SELECT raw_id FROM exact) AND len(list_filter(string_split(replace(lower(trim(actor)), '.', ' '), ' '), t -> t <> '' AND contains(local, t))) > 0) GROUP BY 1 HAVING count(*) = 1),
-who AS (SELECT * FROM exact UNION ALL SELECT * FROM part), c AS (SELECT raw_id, list(x.message_id ORDER BY at) AS cites, bool_or(trim(x.text) <> '') AS said FROM (SELECT raw_id, thread_id, unnest(cites) AS message_id, generate_subscripts(cites, 1) AS at FROM open_) k JOIN m x USING (thread_id, message_id) GROUP BY 1)
+part AS (SELECT raw_id, min(person) AS person FROM (SELECT DISTINCT raw_id, person FROM open_ o JOIN s USING (thread_id) WHERE raw_id NOT IN (SELECT raw_id FROM exact) AND len(list_filter(string_split(replace(lower(trim(actor)), '.', ' '), ' '), lambda t: t <> '' AND contains(local, t))) > 0) GROUP BY 1 HAVING count(*) = 1),
+who AS (SELECT * FROM exact UNION ALL SELECT * FROM part), c AS (SELECT raw_id, list(x.message_id ORDER BY place) AS cites, bool_or(trim(x.text) <> '') AS said FROM (SELECT raw_id, thread_id, unnest(cites) AS message_id, generate_subscripts(cites, 1) AS place FROM open_) k JOIN m x USING (thread_id, message_id) GROUP BY 1)
 SELECT raw_id, thread_id, person AS actor, type, 'said so' AS summary, CASE WHEN thread_id % 4 > 0 THEN thread_id % 7 END AS project, array_to_string(cites, ',') AS cites, CASE WHEN person = 1 THEN least(coalesce(confidence, 0.6), 0.3) ELSE coalesce(confidence, 0.6) END::DOUBLE AS confidence FROM open_ o JOIN who USING (raw_id) JOIN (SELECT raw_id, cites, said FROM c) c USING (raw_id) WHERE person <> 1 OR said""".replace("SELECT raw_id, thread_id, person AS actor, type, 'said so' AS summary, CASE WHEN thread_id % 4 > 0 THEN thread_id % 7 END AS project, array_to_string(cites, ',')", "SELECT o.raw_id, thread_id, person AS actor, type, 'said so' AS summary, CASE WHEN thread_id % 4 > 0 THEN thread_id % 7 END AS project, array_to_string(c.cites, ',')"))
 def _(spark, d):
     from .mail import joined
