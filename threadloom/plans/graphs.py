@@ -72,14 +72,17 @@ def _(spark, d):
     return neighbours.candidate_pairs(thread_members(spark, d), vectors(spark, d), 25, cells=1)
 
 
-@query("GRF_04_thread_graph", f"""WITH {_THREADS}, p AS (SELECT g AS id, list(m) AS people, sum(idf) AS own FROM m JOIN d USING (m) GROUP BY 1),
+_LINED = _THREADS.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT l_orderkey FROM lineitem))")
+
+
+@query("GRF_04_thread_graph", f"""WITH {_LINED}, p AS (SELECT g AS id, list(m) AS people, sum(idf) AS own FROM m JOIN d USING (m) GROUP BY 1),
 t AS (SELECT l_orderkey AS id, list(DISTINCT l_returnflag || l_linenumber) AS words, list(DISTINCT l_partkey % 50) AS links, epoch(min(l_shipdate)) AS s, epoch(max(l_shipdate)) AS e FROM lineitem WHERE l_orderkey IN (SELECT id FROM v) GROUP BY 1),
 f AS (SELECT * FROM v JOIN t USING (id) JOIN p USING (id)), i AS (SELECT x.g AS a, y.g AS b, sum(idf) AS shared FROM m x JOIN m y ON x.m = y.m AND x.g < y.g JOIN d ON d.m = x.m GROUP BY 1, 2),
 w AS (SELECT c.a, c.b, round(0.35 * coalesce(coalesce(shared, 0) / nullif(x.own + y.own - coalesce(shared, 0), 0), 0) + 0.30 * greatest(list_cosine_similarity(x.v, y.v), 0)
   + 0.20 * len(list_intersect(x.words, y.words)) / least(len(x.words), len(y.words))
   + 0.10 * CASE WHEN least(x.e, y.e) - greatest(x.s, y.s) > 0 THEN (least(x.e, y.e) - greatest(x.s, y.s)) / (greatest(x.e, y.e) - least(x.s, y.s)) ELSE 0.3 * exp(-pow((greatest(x.s, y.s) - least(x.e, y.e)) / (86400.0 * 14), 2)) END
   + 0.05 * len(list_intersect(x.links, y.links)) / len(list_distinct(list_concat(x.links, y.links))), 6) AS w FROM cand c JOIN f x ON c.a = x.id JOIN f y ON c.b = y.id LEFT JOIN i ON i.a = c.a AND i.b = c.b),
-k AS (SELECT * FROM w WHERE w >= 0.45), r AS (SELECT a, b, w, row_number() OVER (PARTITION BY node ORDER BY w DESC, other) AS r FROM (SELECT *, a AS node, b AS other FROM k UNION ALL SELECT *, b, a FROM k)) SELECT DISTINCT a, b, w FROM r WHERE r <= 15""")
+k AS (SELECT * FROM w WHERE w >= 0.25), r AS (SELECT a, b, w, row_number() OVER (PARTITION BY node ORDER BY w DESC, other) AS r FROM (SELECT *, a AS node, b AS other FROM k UNION ALL SELECT *, b, a FROM k)) SELECT DISTINCT a, b, w FROM r WHERE r <= 15""")
 def _(spark, d):
     return thread_graph(spark, d)
 
@@ -93,7 +96,7 @@ def thread_graph(spark: SparkSession, d: str) -> DataFrame:
     )
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     unit = vectors(spark, d).withColumn("size", size).select("id", F.transform("v", lambda x: x / F.col("size")).alias("v"))
-    return neighbours.thread_graph(members, unit.join(told, "id").join(people, "id"), cells=1)
+    return neighbours.thread_graph(members, unit.join(told, "id").join(people, "id"), least=0.25, cells=1)
 
 
 # ---- agreement of overlapping clusterings -------------------------------------------------------------------
@@ -116,7 +119,7 @@ def _(spark, d):
 # an order of ids that makes two new ones want the same old one.
 
 _OVERLAP = """ranges AS (SELECT DISTINCT c_custkey // 20 AS k FROM customer), new_ AS (SELECT 2 * k + j AS c, c_custkey AS item FROM ranges, (VALUES (0, 0), (1, 6)) s(j, shift), customer WHERE c_custkey >= 20 * k + shift AND c_custkey < 20 * k + shift + 40),
-old_ AS (SELECT 10000 + 3 * k + j AS c, c_custkey AS item FROM ranges, (VALUES (0, 2), (1, 9)) s(j, shift), customer WHERE c_custkey >= 20 * k + shift AND c_custkey < 20 * k + shift + 40),
+old_ AS (SELECT 10000 + 3 * k + j AS c, c_custkey AS item FROM ranges, (VALUES (0, 2), (1, 14)) s(j, shift), customer WHERE c_custkey >= 20 * k + shift AND c_custkey < 20 * k + shift + 40),
 nn AS (SELECT c, count(*) AS n FROM new_ GROUP BY 1), nold AS (SELECT c, count(*) AS n FROM old_ GROUP BY 1), jac AS (SELECT n.c AS new, o.c AS old, count(*) / (any_value(nn.n) + any_value(nold.n) - count(*)) AS j FROM new_ n JOIN old_ o USING (item) JOIN nn ON nn.c = n.c JOIN nold ON nold.c = o.c GROUP BY 1, 2 HAVING j >= 0.5)"""
 
 
@@ -130,7 +133,7 @@ def overlapping(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         return spans.join(c, "item")
 
     k, j = F.col("k"), F.col("s.j")
-    return sets(2 * k + j, 0, 6), sets(10000 + 3 * k + j, 2, 9)
+    return sets(2 * k + j, 0, 6), sets(10000 + 3 * k + j, 2, 14)
 
 
 _GREEDY = """WITH RECURSIVE {o}, ord AS (SELECT new, row_number() OVER (ORDER BY new) AS r FROM (SELECT DISTINCT new FROM jac)),
@@ -145,16 +148,16 @@ def _(spark, d):
     return clustering.carried_over(*overlapping(spark, d))
 
 
-@query("GRF_14_override_labels", f"WITH {_OVERLAP} SELECT new, 'named ' || old AS label FROM jac WHERE old % 3 = 0 QUALIFY row_number() OVER (PARTITION BY new ORDER BY j DESC, old) = 1")
+@query("GRF_14_override_labels", f"WITH {_OVERLAP} SELECT new, 'named ' || old AS label FROM jac WHERE old % 3 = 1 QUALIFY row_number() OVER (PARTITION BY new ORDER BY j DESC, old) = 1")
 def _(spark, d):
     new, old = overlapping(spark, d)
-    named = old.where("community % 3 = 0").withColumn("label", F.concat(F.lit("named "), F.col("community").cast("string")))
+    named = old.where("community % 3 = 1").withColumn("label", F.concat(F.lit("named "), F.col("community").cast("string")))
     return clustering.sticky_labels(new, named)
 
 
 # ---- coverage areas: parts as claims of their brand's package, orders as the evidence they cite --------------
 
-_CLAIMS = """claims AS (SELECT p_brand AS package_id, p_partkey AS claim_id, p_name || ' of size ' || CASE WHEN p_partkey % 3 = 0 THEN 'topic' || p_partkey // 40 ELSE '' END || ' batch' || p_partkey % 61 || ' ' || CASE WHEN p_partkey % 7 = 0 THEN 'the status' ELSE 'crate' || p_size END AS text, ['decision', 'open_loop', 'did'][p_partkey % 3 + 1] AS kind FROM part),
+_CLAIMS = """claims AS (SELECT p_brand AS package_id, p_partkey AS claim_id, split_part(p_name, ' ', 2) || ' of batch' || p_partkey % 331 || ' ' || CASE WHEN p_partkey % 7 = 0 THEN 'the status' ELSE 'crate' || p_size % 20 END AS text, ['decision', 'open_loop', 'did'][p_partkey % 3 + 1] AS kind FROM part),
 cites AS (SELECT DISTINCT p_brand AS package_id, p_partkey AS claim_id, l_orderkey AS header FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 7 AND l_quantity > 45),
 evidence AS (SELECT p_brand AS package_id, l_orderkey AS header, min(l_extendedprice) AS place FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 7 AND l_orderkey % 5 <> 0 GROUP BY 1, 2),
 told AS (SELECT e.*, CASE WHEN header % 4 = 0 THEN ' ' ELSE 'Lot' || header % 9 || ' ' || substr(o_orderpriority, 3) END AS subject, CASE WHEN header % 3 = 0 THEN 'D' || header % 4 || '.com' ELSE '' END AS sender_domain, 'Anna' || header % 3 AS sender_display FROM evidence e JOIN orders ON o_orderkey = header),
@@ -169,9 +172,8 @@ areas AS (SELECT package_id, claim_id, min(r) AS area FROM reach GROUP BY 1, 2)"
 
 
 def claims_and_evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p, size, key = table(spark, d, "part"), F.col("p_size").cast("string"), F.col("p_partkey")
-    topic = F.when(key % 3 == 0, F.concat(F.lit("topic"), F.expr("p_partkey div 40"))).otherwise("")
-    text = F.concat("p_name", F.lit(" of size "), topic, F.lit(" batch"), key % 61, F.lit(" "), F.when(key % 7 == 0, "the status").otherwise(F.concat(F.lit("crate"), size)))
+    p, key = table(spark, d, "part"), F.col("p_partkey")
+    text = F.concat(F.substring_index("p_name", " ", -1), F.lit(" of batch"), key % 331, F.lit(" "), F.when(key % 7 == 0, "the status").otherwise(F.concat(F.lit("crate"), F.col("p_size") % 20)))
     kind = F.element_at(F.array(F.lit("decision"), F.lit("open_loop"), F.lit("did")), (key % 3 + 1).cast("int"))
     claims = p.select(F.col("p_brand").alias("package_id"), key.alias("claim_id"), text.alias("text"), kind.alias("kind"))
     lines = table(spark, d, "lineitem").where("l_linenumber = 7").join(p, F.col("l_partkey") == key)
