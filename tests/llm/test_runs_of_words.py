@@ -104,3 +104,14 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a a a a a a a", "r", 2)], "doc_id int, text string, runs string, words int")
     row = df.withColumn("found", periodic.periodic_runs(F.col("text"))).first()
     assert row.runs == "r" and row.words == 2 and row.found.words == 7 and row.found.collapsed == "a"
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    got = queries.op12_periodic_runs(spark, DATA)
+    want = con.execute(periodic.RUNS_SQL)
+    names = [c[0] for c in want.description]
+    assert set(map(tuple, got.select(*names).collect())) == set(want.fetchall())

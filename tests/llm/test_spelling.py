@@ -108,3 +108,12 @@ def test_query(spark):
     got = queries.op13_spelling_variants(spark, DATA)
     assert as_set(got) == brute({w: n for w, n in counts.items() if len(w) >= 6})
     assert got.where(F.col("form").isNotNull()).count() > 10
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = set(con.execute(spelling.VARIANTS_SQL).fetchall())
+    assert as_set(queries.op13_spelling_variants(spark, DATA)) == want

@@ -229,3 +229,17 @@ def periodic_runs(text: str | Column = "text", least: int = LEAST_WORDS, periods
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), lists, pa.array(collapsed, pa.string())], ["words", "runs", "collapsed"])
 
     return runs_of_words.asNondeterministic()(text)  # else each field that is used runs the search again
+
+
+#: The query over ``documents`` in DuckDB: pairs of equal words of each distance, islands of them, the least distance of each
+RUNS_SQL = r"""WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, hex(encode(coalesce(doc_id::VARCHAR, ''))) AS h FROM documents),
+c AS (SELECT doc_id, len(w) AS n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM d, tab),
+g AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM c), p AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM g),
+i AS (SELECT doc_id, n, a, p, unnest(range(n)) AS i FROM p), o AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS j FROM d),
+x AS (SELECT i.doc_id, i.i, i.n, o.word FROM i JOIN o ON o.doc_id = i.doc_id AND o.j = CASE WHEN p IS NOT NULL AND i.i >= a THEN a + (i.i - a) % p ELSE i.i END),
+e AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n), s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)), r AS (SELECT doc_id, start, length, min(q) AS period FROM m GROUP BY 1, 2, 3),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed, first({'start': start, 'length': length, 'period': period} ORDER BY length DESC, start, period) AS best FROM r GROUP BY 1),
+z AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, (1000 * best.length) // best.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN z USING (doc_id)"""

