@@ -66,12 +66,15 @@ def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * longest common subsequence / total length; two empty strings are equal."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full  # a bit that is off: the common subsequence grows at this letter
+    for y in b:
+        met = row & where.get(y, 0)
+        row = ((row + met) | (row - met)) & full
+    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -105,7 +105,17 @@ def people(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type").alias("block"), F.col("p_name").alias("name"))
 
 
-@query("JOIN_14_similar_names")
+# all pairs of different names of a block, the longest common subsequence letter by letter
+_NAMES = """people AS (SELECT p_partkey AS id, concat_ws('|', p_brand, p_type) AS block, lower(p_name) AS name FROM part), nm AS (SELECT block, name, min(id) AS id FROM people WHERE name <> '' GROUP BY 1, 2),
+np AS (SELECT DISTINCT a.name AS x, b.name AS y FROM nm a JOIN nm b ON a.block = b.block AND a.name < b.name),
+lcs AS (SELECT x, y, 0 AS i, list_transform(range(length(y) + 1), lambda j: 0) AS row FROM np UNION ALL SELECT x, y, i + 1, list_transform(range(length(y) + 1), lambda j: list_max(list_concat([row[j + 1]], list_transform(list_filter(range(1, j + 1), lambda k: y[k] = x[i + 1]), lambda k: row[k] + 1)))) FROM lcs WHERE i < length(x)),
+sim AS (SELECT x, y, round(200.0 * list_last(row) / (length(x) + length(y)), 4) AS similarity FROM lcs WHERE i = length(x)),
+sn AS (SELECT a.id AS a, b.id AS b, a.name AS name_a, b.name AS name_b, similarity FROM nm a JOIN nm b ON a.block = b.block AND a.name < b.name JOIN sim ON a.name = x AND b.name = y WHERE similarity >= 92)"""
+_PERSONS = f"""{_NAMES}, lk AS (SELECT p.id AS a, n.id AS b FROM people p JOIN nm n USING (block, name) UNION SELECT a, b FROM sn), both_ AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
+reach AS (SELECT id AS node, id AS r FROM people UNION SELECT both_.b, reach.r FROM reach JOIN both_ ON both_.a = reach.node), person AS (SELECT node AS id, min(r) AS person FROM reach GROUP BY 1)"""
+
+
+@query("JOIN_14_similar_names", f"WITH RECURSIVE {_NAMES} SELECT * FROM sn")
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
     return mailbox.similar_names(people(spark, d))
 
@@ -115,7 +125,7 @@ def name_members(spark: SparkSession, d: str) -> DataFrame:
     return mailbox.name_members(people(spark, d))
 
 
-@query("GRF_03_identities")
+@query("GRF_03_identities", f"WITH RECURSIVE {_PERSONS} SELECT id, person FROM person")
 def identities(spark: SparkSession, d: str) -> DataFrame:
     return mailbox.identities(people(spark, d))
 
@@ -126,7 +136,7 @@ def display_names(spark: SparkSession, d: str) -> DataFrame:
     return mailbox.display_names(mentions).select("email", F.array_join("names", "|").alias("names"))
 
 
-@query("AGG_04_persons")
+@query("AGG_04_persons", f"WITH RECURSIVE {_PERSONS} SELECT person, array_to_string(list_sort(list(DISTINCT p_name)), '|') AS names, array_to_string(list_sort(list(DISTINCT id)), ',') AS identities FROM person JOIN part ON p_partkey = id GROUP BY 1")
 def persons(spark: SparkSession, d: str) -> DataFrame:
     rows = people(spark, d)
     found = mailbox.persons(rows, mailbox.identities(rows))
@@ -219,12 +229,15 @@ def ids(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SCAL_09_uuid5")
+@query("SCAL_09_uuid5", "WITH m AS (SELECT 'c' || conv_id || '-' || turn || '@x' AS message_id FROM conversations), h AS (SELECT message_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('mailbox:' || message_id)) AS h FROM m) SELECT message_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], ['8', '9', 'a', 'b'][('0x' || h[17])::INT % 4 + 1] || h[18:20], h[21:32]) AS id FROM h")
 def uuids(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("message_id", S.uuid5(F.concat(F.lit("mailbox:"), "message_id")).alias("id"))
 
 
-@query("SCAL_10_clean_body")
+_CLEAN = [(r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), (r"(?s)<[^>]*>", " "), (r"(?is)\nOn [^\n]*wrote:.*$", ""), (r"(?s)\n-- ?\n.*$", ""), (r"(?m)^>[^\n]*$", ""), (r"\s+", " ")]
+
+
+@query("SCAL_10_clean_body", "SELECT page_id, substr(trim(" + "regexp_replace(" * len(_CLEAN) + "html" + "".join(f", '{p}', '{put}', 'g')" for p, put in _CLEAN) + "), 1, 50000) AS clean_text FROM pages")
 def bodies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", S.clean_body(F.col("html")).alias("clean_text"))
 
