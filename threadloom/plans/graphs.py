@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import areas, clustering, communities, neighbours, relations, report, views
+from ..operators import areas, clustering, communities, neighbours, relations, relmap, report, views
 from ..session import table
 from .registry import query
 
@@ -298,3 +298,44 @@ def _(spark, d):
     t = project_tables(spark, d)
     found = views.project_threads(t["assigned"], t["threads"])
     return found.select("project", "rank", "thread", "subject", F.array_join(F.array_sort("participants"), ",").alias("participants"), day("last"))
+
+
+# ---- the relationship map: suppliers as people, orders as threads, parts as projects -------------------------
+
+_MAP = """dx AS (SELECT l_suppkey AS person, count(*) AS headers, min(l_shipdate) AS f, max(l_shipdate) AS l FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 20 GROUP BY 1), th AS (SELECT l_orderkey AS g, l_suppkey AS person, min(l_shipdate) AS s, max(l_shipdate) AS e FROM lineitem WHERE l_quantity > 42 GROUP BY 1, 2),
+mb AS (SELECT l_partkey AS g, l_suppkey AS person, max(l_quantity) AS w FROM lineitem WHERE l_quantity > 47 GROUP BY 1, 2), pj AS (SELECT p_partkey AS g, p_name AS label, p_size / 50 AS confidence, (SELECT min(o_orderdate) FROM orders WHERE o_orderkey = p_partkey) AS s FROM part), pp AS (SELECT s_suppkey AS person, 'd' || s_nationkey || '.com' AS domain FROM supplier WHERE s_suppkey % 6 > 0),
+rel AS (SELECT person FROM dx UNION SELECT person FROM th UNION SELECT person FROM mb), tc AS (SELECT 'thread_copresence' AS type, a.person AS x, b.person AS y, count(*) AS n, max(greatest(a.e, b.e)) AS l FROM th a JOIN th b ON a.g = b.g AND a.person < b.person GROUP BY 2, 3),
+pc AS (SELECT 'project_copresence' AS type, a.person AS x, b.person AS y, count(*) AS n, min(pj.s) AS f, max(pj.s) AS l FROM mb a JOIN mb b ON a.g = b.g AND a.person < b.person JOIN pj ON pj.g = a.g GROUP BY 2, 3), br AS (SELECT person, count(*) AS n FROM mb GROUP BY 1 HAVING count(*) >= 2)"""
+_MAP_GRAPH = """SELECT 'direct_exchange' AS type, 'owner' AS a, 'person:' || person AS b, headers::DOUBLE AS weight, headers AS evidence, l AS seen FROM dx UNION ALL SELECT type, 'person:' || x, 'person:' || y, n::DOUBLE, n, l FROM tc UNION ALL SELECT type, 'person:' || x, 'person:' || y, n::DOUBLE, n, l FROM pc
+UNION ALL SELECT 'org_affiliation', 'person:' || person, 'org:' || domain, 1.0, 1, NULL FROM pp WHERE person IN (SELECT person FROM rel) UNION ALL SELECT 'bridge', 'person:' || person, 'project:' || mb.g, n::DOUBLE, n, s FROM br JOIN mb USING (person) JOIN pj ON pj.g = mb.g"""
+
+
+def map_tables(spark: SparkSession, d: str) -> list[DataFrame]:
+    lines, person = table(spark, d, "lineitem"), F.col("l_suppkey").alias("person")
+    direct = lines.where("l_linenumber = 7 and l_quantity > 20").groupBy(person).agg(F.count("*").alias("headers"), F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"))
+    threads = lines.where("l_quantity > 42").groupBy(F.col("l_orderkey").alias("thread"), person).agg(F.min("l_shipdate").alias("start"), F.max("l_shipdate").alias("end"))
+    members = lines.where("l_quantity > 47").groupBy(F.col("l_partkey").alias("project"), person).agg(F.max("l_quantity").alias("involvement"))
+    start = table(spark, d, "orders").groupBy(F.col("o_orderkey").alias("p_partkey")).agg(F.min("o_orderdate").alias("start"))
+    projects = table(spark, d, "part").join(start, "p_partkey", "left").select(F.col("p_partkey").alias("project"), F.col("p_name").alias("label"), (F.col("p_size") / 50).alias("confidence"), "start", F.col("start").alias("end"))
+    people = table(spark, d, "supplier").where("s_suppkey % 6 > 0").select(F.col("s_suppkey").alias("person"), F.concat(F.lit("D"), "s_nationkey", F.lit(".com")).alias("domain"))
+    return [direct, threads, members, projects, people]
+
+
+@query("QRY_06_map_graph", f"WITH {_MAP}, e AS ({_MAP_GRAPH}) SELECT type, a, b, weight, evidence, strftime(seen, '%Y-%m-%d') AS last_seen, weight < 0.2 OR coalesce(seen < TIMESTAMP '2001-08-20' - INTERVAL 180 DAY, false) AS muted FROM e")
+def _(spark, d):
+    from .mail import day
+
+    found, _ = relmap.relationship_map("graph", *map_tables(spark, d), now=datetime(2001, 8, 20, tzinfo=timezone.utc))
+    return found.select("type", "a", "b", "weight", "evidence", day("last_seen"), "muted")
+
+
+@query("GRF_23_map_nodes", f"""WITH {_MAP}, c AS (SELECT g, s FROM pj ORDER BY confidence DESC, label, g LIMIT 1), who AS (SELECT DISTINCT person FROM mb WHERE g = (SELECT g FROM c)), co AS (SELECT person FROM dx),
+ow AS (SELECT 'owner' AS id UNION SELECT 'person:' || person FROM dx), pr AS (SELECT 'project:' || g AS id FROM c UNION SELECT 'person:' || person FROM who UNION SELECT 'org:' || domain FROM pp WHERE person IN (SELECT person FROM who)),
+og AS (SELECT 'org:' || domain AS id FROM pp WHERE person IN (SELECT person FROM rel) UNION SELECT 'person:' || person FROM pp WHERE person IN (SELECT person FROM rel)), n AS (SELECT 'owner' AS mode, id FROM ow UNION ALL SELECT 'project', id FROM pr UNION ALL SELECT 'org', id FROM og)
+SELECT mode, id, CASE split_part(id, ':', 1) WHEN 'org' THEN 'organization' ELSE split_part(id, ':', 1) END AS node_type FROM n""")
+def _(spark, d):
+    out = None
+    for mode in ("owner", "project", "org"):
+        nodes = relmap.relationship_map(mode, *map_tables(spark, d))[1].select(F.lit(mode).alias("mode"), "id", "node_type")
+        out = nodes if out is None else out.unionByName(nodes)
+    return out
