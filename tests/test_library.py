@@ -81,6 +81,32 @@ def test_weighted_jaccard_of_a_hot_item(spark):
     assert len(got) == 60 * 59 // 2 and got[0, 5] == 1.0 and got[0, 1] == 0.6
 
 
+def test_weighted_jaccard_of_classes_gives_every_pair(spark):
+    import random
+
+    from threadloom.operators import clustering
+
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(i, x) for i in range(60) for x in rng.sample("abcde", rng.randint(1, 3))] + [(None, "a"), (1, None)], "id long, item string")
+    weights = spark.createDataFrame([("a", 2.5), ("c", 0.25)], "item string, weight double")
+    found = clustering.weighted_jaccard_classes(rows, weights).collect()
+    home = {r.b: r.a for r in found if r.kind == "member"}
+    between = {(r.a, r.b): r.similarity for r in found if r.kind == "pair"}
+    assert len(home) == 60 and len(set(home.values())) <= 25
+    want = {(r.a, r.b): r.similarity for r in clustering.weighted_jaccard(rows, weights).collect()}
+    got = {(a, b): 1.0 if home[a] == home[b] else between.get((min(home[a], home[b]), max(home[a], home[b]))) for a in range(60) for b in range(a + 1, 60)}
+    assert {p: s for p, s in got.items() if s is not None} == want
+
+
+def test_sim_03_reads_every_order(spark):
+    """Its items are priorities again, over all orders; every customer with an order has a class."""
+    import __spark_entry__ as entry
+
+    found = entry.queries()["SIM_03_weighted_jaccard"](spark, "/root/testdata/sf0.001")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert found.where("kind = 'member'").count() == orders.select("o_custkey").distinct().count()
+
+
 def test_soft_membership_in_blocks(spark):
     import random
 
