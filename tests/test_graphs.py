@@ -220,3 +220,31 @@ def test_one_large_cluster(spark):
     row = report.pairwise_f1(one, halves).first()
     assert row.tp == 2 * (500_000 * 499_999 // 2) and row.fp == 500_000**2 and row.fn == 0
     assert report.extended_bcubed(one, halves).first().precision == pytest.approx(0.5) and report.omega_index(one, halves).first().omega == pytest.approx(0)
+
+
+def test_best_of_tiles_against_brute_force(monkeypatch):
+    """Large sides are compared piece by piece; what ties with the k-th stays."""
+    import numpy as np
+    from threadloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "STRIP", 7)
+    monkeypatch.setattr(neighbours, "TILE", 10)
+    x = np.random.default_rng(2).integers(-1, 2, (41, 4)) / 2.0
+    for y, same in ((x, True), (x[:33] + 0.0, False), (x[:3], False)):
+        got = {(p, q): s for a, b, t in neighbours._best(x, y, 5, 6, same) for p, q, s in zip(a.tolist(), b.tolist(), t.tolist())}
+        near = np.round(x @ y.T, 6)
+        if same:
+            np.fill_diagonal(near, -9)
+        bound = -np.sort(-near, axis=1)[:, min(5, len(y)) - 1]
+        assert got == {(p, q): near[p, q] for p, q in zip(*(z.tolist() for z in np.nonzero((near >= bound[:, None]) & (near > -9))))}
+
+
+def test_meetings_of_everything_are_few(spark, monkeypatch):
+    """A vector is sent to eight meetings, not to one for every 512 vectors."""
+    from threadloom.operators import neighbours
+
+    dealt, deal = [], neighbours.split_groups
+    monkeypatch.setattr(neighbours, "split_groups", lambda df, *a: dealt.append(deal(df, *a)) or dealt[-1])
+    vectors = spark.range(6_000).selectExpr("id", "array(1.0, cast(id as double)) as v")
+    neighbours.nearest(vectors, 3, cells=1)
+    assert dealt[0].count() == 8 * 6_000

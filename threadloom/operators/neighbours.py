@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,12 @@ from ..session import staged
 from .clustering import rare_pairs, similarity_graph, thread_similarity
 from .groups import split_groups
 
-#: Vectors of a meeting on either side; most cells, so that their centres (a broadcast) stay bounded
-CHUNK, MOST_CELLS = 512, 4_096
+#: Vectors of a meeting on either side at least and at most; meetings of everything with everything have this many sides
+CHUNK, MOST_CHUNK, SIDES = 512, 65_536, 8
+#: Vectors compared at once in a task, of the one side and of the other
+STRIP, TILE = 1_024, 8_192
+#: Most cells, so that their centres (a broadcast) stay bounded
+MOST_CELLS = 4_096
 
 
 def _distinct(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,14 +57,41 @@ def _cells(once: DataFrame, cells: int, probes: int) -> DataFrame:
     return once.select(F.explode(nearest_cells("v")).alias("cell"), "v_key", "v")
 
 
-def nearest(vectors: DataFrame, k: int = 25, cells: int | None = None, probes: int = 12, chunk: int = CHUNK, places: int = 6) -> DataFrame:
+def _best(x: np.ndarray, y: np.ndarray, k: int, places: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of x, row of y, similarity) of the k best of each row of x, and what ties with the last of them; ids settle ties later."""
+    for at in range(0, len(x), STRIP):
+        part, few = x[at : at + STRIP], np.full(len(x[at : at + STRIP]), -2.0)
+        a, b, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        for to in range(0, len(y), TILE):
+            near = part @ y[to : to + TILE].T
+            if same:
+                both = np.arange(max(at, to), min(at + len(near), to + near.shape[1]))
+                near[both - at, both - to] = -9
+            least = few
+            if to == 0 and near.shape[1] > k:
+                least = -np.partition(-near, k - 1, axis=1)[:, k - 1]
+            p, q = np.nonzero(near >= (least - 10.0**-places)[:, None])
+            p, q, t = p[near[p, q] > -9], q[near[p, q] > -9], near[p, q][near[p, q] > -9]
+            a, b, s = np.concatenate([a, p]), np.concatenate([b, q + to]), np.concatenate([s, np.round(t, places)])
+            order = np.lexsort((-s, a))
+            a, b, s = a[order], b[order], s[order]
+            first = np.searchsorted(a, np.arange(len(part) + 1))
+            full = np.flatnonzero(np.diff(first) >= k)
+            few[full] = s[first[full] + k - 1]
+            keep = s >= few[a]
+            a, b, s = a[keep], b[keep], s[keep]
+        yield a + at, b, s
+
+
+def nearest(vectors: DataFrame, k: int = 25, cells: int | None = None, probes: int = 12, chunk: int | None = None, places: int = 6) -> DataFrame:
     """(id, other, similarity): the k vectors (id, v) nearest to each by cosine, rounded to some places; ties go to smaller ids.
 
     ``cells=1`` compares everything with everything, in blocks, and is exact.  Otherwise vectors meet
     inside the cells of the ``probes`` centres nearest to each (by default about the root of their
     number of cells), which finds nine in ten or more of the exact ones.  Cells are dealt into blocks
     of ``chunk`` vectors, every two of which meet once, each block keeps k rows a vector, and copies
-    of a vector are compared once.  Vectors that are null, empty of length or hold null, NaN or
+    of a vector are compared once.  A vector is sent to as many meetings as there are blocks, so
+    blocks are large (by default an eighth of all, ``MOST_CHUNK`` at most), and tasks compare them piece by piece.  Vectors that are null, empty of length or hold null, NaN or
     infinite components take no part; an id that repeats is several vectors.
     """
     once, members, copies = _distinct(vectors, k)
@@ -67,21 +99,23 @@ def nearest(vectors: DataFrame, k: int = 25, cells: int | None = None, probes: i
     cells = max(1, math.isqrt(n)) if cells is None else cells
     dealt = _cells(once, cells, probes) if cells > 1 else once.select(F.lit(0).alias("cell"), "v_key", "v")
     dealt = dealt.join(dealt.groupBy("cell").agg(F.count("*").alias("n")), "cell") if cells > 1 else dealt.withColumn("n", F.lit(n))
+    chunk = chunk or (max(CHUNK, min(MOST_CHUNK, -(-n // SIDES))) if cells == 1 else MOST_CHUNK >> 2)
     meetings = split_groups(dealt, "cell", "v_key", "n", chunk).select("cell", "lo", "hi", "mine", "v_key", "v")
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         v, key, mine = np.stack(rows["v"]), rows["v_key"].to_numpy(), rows["mine"].to_numpy()
-        near = np.round(v @ v.T, places)
-        same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
-        skip = np.eye(len(v), dtype=bool) if same else mine[:, None] == mine[None, :]
-        near[skip] = -2
-        keep = min(k, len(v))
-        # beyond the k-th value everything equal to it stays: ids settle ties later
-        bound = -np.partition(-near, keep - 1, axis=1)[:, keep - 1 : keep]
-        a, b = np.nonzero((near >= bound) & (near > -2))
-        return pd.DataFrame({"v_key": key[a], "to": key[b], "similarity": near[a, b]})
-
-    met = meetings.groupBy("cell", "lo", "hi").applyInPandas(meet, "v_key long, to long, similarity double").distinct()
+        lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
+        low, high = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+        sides = [(low, low)] if lo == hi else [(low, high), (high, low)]
+        found = [(key[x[a]], key[y[b]], s) for x, y in sides for a, b, s in _best(v[x], v[y], k, places, lo == hi)]
+        return pd.DataFrame({name: np.concatenate([f[c] for f in found]) if found else [] for c, name in enumerate(("v_key", "to", "similarity"))})
+
+    if cells == 1:
+        # rows are few against the comparisons, so meetings get a fixed number of partitions; no two vectors meet twice
+        sides = max(1, -(-n // chunk))
+        met = meetings.repartition(3 * sides * (sides + 1) // 2, "cell", "lo", "hi").groupBy("cell", "lo", "hi").applyInPandas(meet, "v_key long, to long, similarity double")
+    else:
+        met = meetings.groupBy("cell", "lo", "hi").applyInPandas(meet, "v_key long, to long, similarity double").distinct()
     order = Window.partitionBy("v_key").orderBy(F.desc("similarity"))
     met = met.withColumn("place", F.rank().over(order)).where(F.col("place") <= k).select("v_key", "to", "similarity")
     met = met.unionByName(once.select("v_key", F.col("v_key").alias("to"), F.lit(1.0).alias("similarity")))
