@@ -152,3 +152,18 @@ def test_areas(spark):
         keys = [(-r.decisions - r.open_loops, -r.claims, r.label, r.area) for r in order]
         assert keys == sorted(keys) and [r.rank for r in order] == list(range(1, len(order) + 1))
     assert areas.coverage_areas(c.limit(0), e).count() == 0 and areas.coverage_areas(c, e.limit(0)).count() > 0
+
+
+def test_positions_are_shuffled_once_by_text(spark):
+    """Neither all words of the texts nor the places expanded by query and block go through a shuffle."""
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "a fox and a red hen")], "id long, text string")
+    asked = spark.createDataFrame([(7, "red fox"), (8, "hen -runs")], "query_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.web_search(docs, asked, stems=False)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(word#\d+, \d+\)|hashpartitioning\([^)]*block#", plan)
+        assert [(r.query_id, r.id, r.rank) for r in found.orderBy("query_id", "rank").collect()] == [(7, 1, 1), (7, 2, 2), (8, 2, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -127,16 +127,18 @@ def web_search(docs: DataFrame, queries: DataFrame, k: int = 20, stop: list[str]
     else:
         asked = asked.withColumn("term", F.col("word"))
         forms = asked.select("word", "term").distinct()
-    found = words.join(forms, "word").select("id", "pos", "term")
+    # words of the query set alone are shuffled, once, by text; what follows stays in the text's task
+    found = words.join(F.broadcast(forms), "word").select("id", "pos", "term").repartition("id")
     keys = ["query_id", "alternative", "literal"]
     sizes = asked.groupBy(*keys, "negated").agg(F.count("*").alias("words"))
-    begins = found.join(asked.select(*keys, "at", "term"), "term").withColumn("begin", F.col("pos") - F.col("at"))
-    holds = begins.groupBy(*keys, "id", "begin").agg(F.count("*").alias("n")).join(sizes, keys).where("n = words").select(*keys, "negated", "id").distinct()
+    begins = found.join(F.broadcast(asked.select(*keys, "at", "term")), "term").withColumn("begin", F.col("pos") - F.col("at"))
+    holds = begins.groupBy(*keys, "id", "begin").agg(F.count("*").alias("n")).join(F.broadcast(sizes), keys).where("n = words").select(*keys, "negated", "id").distinct()
     wanted = sizes.groupBy("query_id", "alternative").agg(F.count_if(~F.col("negated")).alias("wanted"))
     met = holds.groupBy("query_id", "alternative", "id").agg(F.count_if(~F.col("negated")).alias("met"), F.count_if("negated").alias("spoilt"))
-    matched = met.join(wanted, ["query_id", "alternative"]).where("met = wanted and spoilt = 0 and wanted > 0").select("query_id", "id")
+    matched = met.join(F.broadcast(wanted), ["query_id", "alternative"]).where("met = wanted and spoilt = 0 and wanted > 0").select("query_id", "id")
     others = plain.select("id").distinct().join(F.broadcast(wanted.where("wanted = 0")), how="cross")  # a stated set of queries that exclude alone
-    others = others.join(met.where("spoilt > 0"), ["query_id", "alternative", "id"], "left_anti").select("query_id", "id")
+    spoilt = met.where("spoilt > 0").groupBy("id").agg(F.collect_set(F.struct("query_id", "alternative")).alias("spoilt"))  # of the query set
+    others = others.join(spoilt, "id", "left").where(~F.coalesce(F.array_contains("spoilt", F.struct("query_id", "alternative")), F.lit(False))).select("query_id", "id")
     matched = matched.unionByName(others).distinct()
     scored = ranked(matched, found, asked)
     later = [F.desc_nulls_last("ts")] if "ts" in docs.columns else []
@@ -156,15 +158,19 @@ def ranked(matched: DataFrame, found: DataFrame, asked: DataFrame) -> DataFrame:
     terms = asked.select("query_id", "term").distinct()
     kind = asked.groupBy("query_id").agg(F.count_distinct("term").alias("terms"), F.count_distinct("alternative").alias("alternatives"))
     kind = kind.select("query_id", "terms", ((F.col("alternatives") == 1) & (F.col("terms") > 1)).alias("close"))
-    places = found.join(terms, "term").join(matched, ["query_id", "id"], "left_semi").join(kind, "query_id")
+    listed = matched.groupBy("id").agg(F.collect_set("query_id").alias("queries"))  # of the query set
+    places = found.join(listed, "id").join(F.broadcast(terms.join(kind, "query_id")), "term").where(F.array_contains("queries", F.col("query_id")))
     often = places.where(~F.col("close")).groupBy("query_id", "id", "terms", "term").agg(F.count("*").alias("n"))
     series = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(POSITIONS)).cast("int")), F.lit(0.0), lambda acc, j: acc + 1.0 / (j * j))
     often = often.groupBy("query_id", "id").agg(F.sum(WEIGHT * series / SERIES / F.col("terms")).alias("score"))
-    near = places.where("close").select("query_id", "id", "term", "pos", F.expr(f"pos div {FARTHEST + 1}").alias("block"))
-    a = near.select("query_id", "id", F.col("term").alias("a"), F.col("pos").alias("x"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    b = near.select("query_id", "id", F.col("term").alias("b"), F.col("pos").alias("y"), "block")
-    apart = F.abs(F.col("x") - F.col("y"))
+    near = places.where("close").groupBy("query_id", "id", F.expr(f"pos div {FARTHEST + 1}").alias("block")).agg(F.collect_list(F.struct("term", "pos")).alias("own"))
+    # the words of a block meet each other and those of the block before; a group holds FARTHEST + 1 places
+    order = Window.partitionBy("query_id", "id").orderBy("block")
+    before = F.when(F.lag("block").over(order) == F.col("block") - 1, F.lag("own").over(order))
+    x, y, others = F.col("x"), F.col("y"), F.concat("own", F.coalesce("before", F.array().cast(near.schema["own"].dataType)))
+    met = near.withColumn("before", before).select("query_id", "id", "block", F.explode("own").alias("x"), others.alias("others")).select("query_id", "id", "block", "x", F.explode("others").alias("y"))
+    apart = F.abs(x["pos"] - y["pos"])
     weight = WEIGHT * F.sqrt(1.0 / (1.005 + 0.05 * F.exp(apart / 1.5 - 2)))
-    pairs = a.join(b, ["query_id", "id", "block"]).where((F.col("a") < F.col("b")) & (apart <= FARTHEST))
-    close = pairs.groupBy("query_id", "id").agg((1 - F.exp(F.sum(F.log1p(-weight)))).alias("score"))
+    once = F.when(F.expr(f"y.pos div {FARTHEST + 1} = block"), x["term"] < y["term"]).otherwise(x["term"] != y["term"])
+    close = met.where(once & (apart <= FARTHEST)).groupBy("query_id", "id").agg((1 - F.exp(F.sum(F.log1p(-weight)))).alias("score"))
     return matched.join(often.unionByName(close), ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
