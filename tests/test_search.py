@@ -167,3 +167,46 @@ def test_positions_are_shuffled_once_by_text(spark):
         assert [(r.query_id, r.id, r.rank) for r in found.orderBy("query_id", "rank").collect()] == [(7, 1, 1), (7, 2, 2), (8, 2, 1)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_vector_search_meets_in_blocks_and_keeps_its_order(spark):
+    from threadloom.operators import retrieval
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(3_000, 6)), 1).tolist()
+    v[7], v[8], v[9], v[10] = None, [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0]
+    for copy in range(100, 1_200):  # more copies than any list holds
+        v[copy] = v[2]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id long, v array<double>")
+    few = docs.where("id % 50 = 2 or id = 7").selectExpr("id as query_id", "v as q")
+
+    def scores(q):
+        out = []
+        for i, x in enumerate(v):
+            usable = all(y is not None and None not in y and any(y) for y in (q, x)) and len(q) == len(x)
+            s = round(float(np.dot(q, x) / (np.linalg.norm(q) * np.linalg.norm(x))), 4) if usable else None
+            out.append((s is None, -(s or 0.0), i, s))
+        return [(i, s) for _, _, i, s in sorted(out)[:5]]
+
+    want = {(i, rank, *hit) for i in range(len(v)) if i % 50 == 2 or i == 7 for rank, hit in enumerate(scores(v[i]), 1)}
+    for at_once, block in ((16_384, 131_072), (7, 250)):
+        found = retrieval.vector_search(docs, few, 5, at_once=at_once, block=block)
+        assert {(r["query_id"], r["rank"], r["id"], r["score"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_text_search_shuffles_words_once(spark):
+    from threadloom.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "red fox red"), (1, "red hen"), (2, None), (3, ""), (4, "blue whale and more words"), (5, "fox")], "id long, text string")
+    found = retrieval.text_search(docs, spark.createDataFrame([(9, "red fox"), (8, "whale")], "query_id long, text string"))
+    n, avg, idf = 5, 11 / 5, lambda df: math.log(1 + (5 - df + 0.5) / (df + 0.5))
+    part = lambda df, tf, size: idf(df) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg))
+    # the two texts of id 1 have postings of their own, as their lengths differ
+    want = {(9, 1, round(part(2, 2, 3) + part(2, 1, 3) + part(2, 1, 2), 4)), (9, 5, round(part(2, 1, 1), 4)), (8, 4, round(part(1, 1, 5), 4))}
+    assert {(r["query_id"], r["id"], r["score"]) for r in found.collect()} == want and n == 5
+    final = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in final and "hashpartitioning(query_id#" in final and "SortMergeJoin" not in final
