@@ -128,3 +128,25 @@ def test_grounding(spark):
     got = {r.raw_id: (r.actor, r.summary, r.project, r.cites, r.confidence) for r in grounding.grounded_events(raws, messages, people, projects, "B").collect()}
     assert got == {1: ("A", "did it", "p", ["m1", "m2"], 0.9), 2: ("A", "s", "p", ["m1"], 0.6), 5: ("B", "s", None, ["m3", "m3"], 0.3)}
     assert grounding.grounded_events(raws.limit(0), messages, people, projects, "B").count() == 0
+
+
+def test_hashed_features_add_up_before_the_shuffle(spark):
+    import hashlib
+    import math
+
+    texts = [(1, "Red red fox-es"), (1, "red"), (2, None), (2, ""), (3, "a b \u00a0cd!"), (4, "été\u00a0mer 123")]
+    cell = lambda t, dim=16: int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dim
+    sums = {}
+    for i, t in texts:
+        for token in ("".join(c for c in w if c.isalnum()) for w in (t or "").lower().split(" ")):
+            if len(token) >= 3:
+                sign = 1 if int(hashlib.sha256(f"{token}#sign".encode()).hexdigest()[:2], 16) % 2 else -1
+                sums.setdefault(i, {}).setdefault(cell(token), []).append(sign)
+    want = []
+    for i, cells in sums.items():
+        size = math.sqrt(sum(sum(x) ** 2 for x in cells.values()))
+        want += [(i, c, round(sum(x) / size, 6)) for c, x in cells.items() if sum(x)]
+    want += [(i, cell(t or ""), 1.0) for i, t in texts if i not in sums]
+    found = textfeatures.hashed_features(spark.createDataFrame(texts, "id long, text string"), 16)
+    assert sorted((r.id, r.bucket, round(r.value, 6)) for r in found.collect()) == sorted(want)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

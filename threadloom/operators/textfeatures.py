@@ -81,17 +81,20 @@ def hashed_features(docs: DataFrame, dim: int) -> DataFrame:
 
     Each token of letters and numbers adds 1 or -1, by a hash of its own, to a bucket by its hash; the
     vectors have length 1.  A text without tokens, or whose tokens cancel out, has a 1 in the bucket
-    of its own hash; a null text counts as empty.
+    of its own hash; a null text counts as empty.  Tokens are added up before anything is shuffled.
     """
     text = F.coalesce("text", F.lit(""))
-    tokens = F.transform(F.split(F.lower(text), r"\s+"), lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
-    each = docs.select("id", F.explode(F.filter(tokens, lambda t: F.length(t) >= LEAST_TOKEN)).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
+    # signs between white space that are neither letters nor numbers go at once, so tokens are what is left between white space
+    tokens = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", ""), r"\s+")
+    # a row without token stands for the text, with the bucket it takes if nothing else is left
+    each = docs.select("id", (_byte(text, 8) % dim).cast("int").alias("own"), F.explode(F.concat(F.filter(tokens, lambda t: F.length(t) >= LEAST_TOKEN), F.array(F.lit(None).cast("string")))).alias("token"))
     sign = F.when(_byte(F.concat("token", F.lit("#sign")), 2) % 2 == 1, 1).otherwise(-1)
-    sums = each.groupBy("id", (_byte(F.col("token"), 8) % dim).cast("int").alias("bucket")).agg(F.sum(F.col("n") * sign).alias("s")).where("s <> 0")
+    each = each.select("id", F.when(F.col("token").isNull(), F.col("own")).alias("own"), (_byte(F.col("token"), 8) % dim).cast("int").alias("bucket"), F.when(F.col("token").isNotNull(), sign).otherwise(0).alias("sign"))
+    sums = each.groupBy("id", "bucket", "own").agg(F.sum("sign").alias("s"), F.count("*").alias("n"))
     size = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("id")))
-    found = sums.select("id", "bucket", (F.col("s") / size).alias("value"))
-    none = docs.join(sums.select("id").distinct(), "id", "left_anti").select("id", (_byte(text, 8) % dim).cast("int").alias("bucket"), F.lit(1.0).alias("value"))
-    return found.unionByName(none)
+    placed = sums.withColumn("size", size).where("s <> 0 or bucket is null and size = 0")
+    times = F.when(F.col("bucket").isNull(), F.col("n")).otherwise(1).cast("int")  # texts of one id that hold nothing have a row each
+    return placed.select("id", F.coalesce("bucket", "own").alias("bucket"), F.when(F.col("bucket").isNull(), 1.0).otherwise(F.try_divide("s", "size")).alias("value"), F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
 
 
 def hashed_vectors(docs: DataFrame, dim: int = 1024) -> DataFrame:
