@@ -56,3 +56,14 @@ def test_a_language_of_rows_kept_aside_is_learned(spark):
     model = langid.fit(docs)
     assert model.langs == ["l00", "l01", "rare"]
     assert spark.createDataFrame([("жзик прст",)], "text string").select(langid.predict(model).alias("x")).first().x.lang == "rare"
+
+
+def test_a_whole_model_leaves_no_gram_out(spark):
+    docs = spark.createDataFrame([*corpus(4), (9_000, None, None), (9_001, None, "12 !"), (9_002, None, "жз abc")], "doc_id long, lang string, text string").cache()
+    scores = {}
+    for values in (langid.TABLE_VALUES, 40):  # the tables in the tasks, and joined
+        model = langid.fit(docs, table_values=values, whole=True)
+        assert (model.rest is None) == (values > 40)
+        scores[values] = {r.doc_id: (r.p.lang, round(r.p.score, 4)) for r in langid.predicted(docs, model).collect()}
+    assert len(scores[40]) == docs.count() and scores[40] == scores[langid.TABLE_VALUES]
+    assert scores[40][9_000] == ("und", 0.0) == scores[40][9_001]

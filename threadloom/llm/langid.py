@@ -22,8 +22,8 @@ from ..session import staged
 from .common import SLICE_BYTES, U64, fold, mix, slices, text_buffer
 
 ORDER = 4
-#: Numbers that a table of gram probabilities may hold (32 MB); all languages count in full, only the
-#: rarest grams of a table that would be larger are left to the back-off
+#: Numbers that a table of gram probabilities may hold to be sent to the tasks (32 MB); a larger one of a whole
+#: model stays in Spark and is joined, that of a small model leaves its rarest grams to the back-off
 TABLE_VALUES = 1 << 23
 #: Calibration rows, and the share of right predictions that rejection may lose
 CALIBRATION_ROWS, REJECT_SHARE = 1_500, 0.005
@@ -155,6 +155,7 @@ class Model:
     floor: np.ndarray
     sharpness: float = 4.0
     limits: np.ndarray | None = None
+    rest: dict[int, tuple[DataFrame, DataFrame | None]] | None = None  # order -> (lang, gram, p), (lang, context, weight) where they stay in Spark
 
 
 @dataclass
@@ -290,23 +291,69 @@ def most_frequent(rows: DataFrame, langs: int, n: str, values: int) -> DataFrame
     return rows.where(step >= least[F.col("lang")]) if cuts else rows
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", table_values: int = TABLE_VALUES) -> Model | None:
+def gram_sums(rows: DataFrame) -> DataFrame:
+    """(id, gram, n): the 4-grams of each text (id, text), with how often they stand there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            for lo, hi in slices(offsets, SLICE_BYTES >> 2):
+                part = offsets[lo : hi + 1]
+                codes, at, has = letters(data[part[0] : part[-1]], part - part[0])
+                g, row = grams(codes), np.repeat(np.arange(hi - lo), np.diff(at))
+                inside = (np.arange(len(g)) < (at[1:] - (ORDER - 1))[row[: len(g)]]) & has[row[: len(g)]]
+                order = np.lexsort((g[inside], row[: len(g)][inside]))
+                row, g = row[: len(g)][inside][order], g[inside][order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (g[1:] != g[:-1])])) if len(g) else np.zeros(0, int)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(lo + row[first])), pa.array(g[first].view(np.int64)), pa.array(np.diff(np.append(first, len(g))).astype(np.int64))], ["id", "gram", "n"])
+
+    return rows.select("id", "text").mapInArrow(count, f"id {rows.schema['id'].dataType.simpleString()}, gram long, n long")
+
+
+def joined_entropies(model: Model, rows: DataFrame) -> DataFrame:
+    """(id, e): what ``entropies`` gives, for the texts (id, text) with letters, by joins with all grams of all orders; ids are distinct."""
+    spark = rows.sparkSession
+    spread = staged(gram_sums(rows), "text-grams")
+    langs = spark.createDataFrame([(x, i) for i, x in enumerate(model.langs)], "lang string, j int")
+    each = spread.select("gram").distinct().join(F.broadcast(langs), how="cross")
+    logs = each.withColumn("p", F.lit(0.0)).withColumn("left", F.lit(1.0))
+    for k in range(ORDER, 0, -1):
+        p, weights = model.rest[k]
+        logs = logs.withColumn("own", F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)) if k < ORDER else F.col("gram"))
+        logs = logs.join(p.select("lang", F.col("gram").alias("own"), F.col("p").alias("p_own")), ["lang", "own"], "left")
+        own = F.coalesce("p_own", F.lit(0.0))
+        logs = logs.withColumn("p", F.col("p") + F.col("left") * (own if k > 1 else 0.98 * own + F.lit(float(np.exp(model.floor[0]) * 50 * 0.02)))).drop("p_own")
+        if k > 1:
+            logs = logs.withColumn("context", F.shiftrightunsigned("own", 16)).join(weights.select("lang", "context", "weight"), ["lang", "context"], "left")
+            logs = logs.withColumn("left", F.col("left") * F.coalesce("weight", F.lit(1.0))).drop("weight", "context")
+        logs = logs.drop("own")
+    vectors = logs.groupBy("gram").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", F.log(F.greatest("p", F.lit(1e-30))).alias("log")))), lambda x: x["log"]).alias("logs"))  # a number a language
+    met = spread.join(vectors, "gram").select("id", "n", F.posexplode("logs").alias("j", "log"))
+    sums = met.groupBy("id", "j").agg((-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("e"))
+    return sums.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "e"))), lambda x: x["e"]).alias("e"))
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", table_values: int = TABLE_VALUES, whole: bool = False) -> Model | None:
     """Count over all training rows (crc32 of the id modulo 4 is not 2, non-null language and text)
     and calibrate on rows kept aside.
 
     None if no row can be learned from.  Every language is learned, and all counts, continuation
-    counts, discounts and back-off weights are those of all rows; only then the rarest grams are
-    left out where a table would hold more than ``table_values`` numbers (grams x languages).
+    counts, discounts and back-off weights are those of all rows.  Where a table would hold more than
+    ``table_values`` numbers (grams x languages), its rarest grams are left to the back-off; with
+    ``whole`` no gram is: such tables stay in Spark, and texts meet them by joins (``predicted``).
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id, 4) != 2)).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     aside = (fold("id", 4) == 3) & (F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(16)) == 0)
     levels: dict[str, dict[int, Level]] = {}
+    tables: dict[int, tuple[DataFrame, DataFrame | None]] = {}
     # languages of which every row would be kept aside are learned from these rows
     lonely = [r["lang"] for r in rows.groupBy("lang").agg(F.min(aside).alias("lonely")).where("lonely").collect()]  # a row a language
     counted = kneser_ney(staged(gram_counts(rows.where(~aside | F.col("lang").isin(lonely))), "grams"))
     langs = [r["lang"] for r in counted[1].select("lang").distinct().collect()]
     if not langs:
         return None
+    room = max(1, table_values // len(langs))
+    large = whole and any(x.select("gram").distinct().count() > room for x in counted.values())
     for k, grams in counted.items():
         ones = grams.groupBy("lang").agg(F.sum((F.col("n") == 1).cast("long")).alias("one"), F.sum((F.col("n") == 2).cast("long")).alias("two"), F.sum("n").alias("all"))
         share = {r["lang"]: r["one"] / (r["one"] + 2 * r["two"]) if r["one"] and r["two"] else 0.5 for r in ones.collect()}
@@ -317,9 +364,13 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         else:
             context = F.shiftrightunsigned("gram", 16)
             own = grams.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-            kept = most_frequent(grams, len(langs), "n", table_values).withColumn("context", context)
-            p = kept.join(own, ["lang", "context"]).select("lang", "gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("all")).alias("p"))
-            weights = most_frequent(own, len(langs), "all", table_values).select("lang", "context", (d * F.col("kinds") / F.col("all")).alias("weight")).toPandas()
+            kept = grams if whole else most_frequent(grams, len(langs), "n", table_values)
+            p = kept.withColumn("context", context).join(own, ["lang", "context"]).select("lang", "gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("all")).alias("p"))
+            weights = (own if whole else most_frequent(own, len(langs), "all", table_values)).select("lang", "context", (d * F.col("kinds") / F.col("all")).alias("weight"))
+        if large:
+            tables[k] = staged(p, "p"), weights and staged(weights, "weights")
+            continue
+        weights = weights and weights.toPandas()  # within the room
         for x, part in p.toPandas().groupby("lang"):
             keys = part["gram"].to_numpy(np.int64).view(U64)
             order = np.argsort(keys)
@@ -328,16 +379,38 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                 w = weights[weights["lang"] == x]
                 own_weights = w["context"].to_numpy(np.int64).view(U64), w["weight"].to_numpy()
             levels.setdefault(x, {})[k] = Level(keys[order], part["p"].to_numpy()[order], *own_weights)
-    model = fit_models(levels)
+    if large:
+        alphabet = tables[1][0].select("gram").distinct().count()
+        model = Model(sorted(langs), {}, {}, (HashArray(np.zeros(0, U64)), np.zeros((0, len(langs)))), np.full(len(langs), np.log(1.0 / (alphabet + 1) / 50)), rest=tables)
+    else:
+        model = fit_models(levels)
     held = rows.where(aside & F.col("lang").isin(model.langs) & ~F.col("lang").isin(lonely)).withColumn("turn", F.xxhash64(F.lit(12), "id", "text"))
     last = held.select("turn").orderBy("turn").limit(CALIBRATION_ROWS).agg(F.max("turn")).first()[0]
     if last is None:
         return calibrate(model, np.zeros((0, len(model.langs))), np.zeros(0, int))
     index = {x: i for i, x in enumerate(model.langs)}
-    scored = held.where(F.col("turn") <= last).select("lang", entropies(model, "text").alias("e")).where("e is not null").limit(2 * CALIBRATION_ROWS).collect()  # numbers alone
+    few = held.where(F.col("turn") <= last).limit(2 * CALIBRATION_ROWS)
+    if model.rest is None:
+        scored = few.select("lang", entropies(model, "text").alias("e")).where("e is not null").collect()  # numbers alone
+    else:
+        few = staged(few.withColumn("id", F.monotonically_increasing_id()), "calibration")
+        scored = joined_entropies(model, few).join(few.select("id", "lang"), "id").select("lang", "e").collect()
     return calibrate(model, np.array([r["e"] for r in scored]).reshape(-1, len(model.langs)), np.array([index[r["lang"]] for r in scored], int))
 
 
+def _choice(model: Model | None, entropy: np.ndarray, has: np.ndarray, reject: bool) -> pa.StructArray:
+    n = len(has)
+    lang, score, accepted = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool)
+    if model is not None and n:
+        best = entropy.argmin(axis=1)
+        limits = model.limits if model.limits is not None else np.full(len(model.langs), np.inf)
+        accepted = has & (entropy[np.arange(n), best] <= limits[best])
+        use = accepted if reject else has
+        lang[use] = np.array(model.langs, object)[best[use]]
+        score[use] = shares(model, entropy)[np.arange(n), best][use]
+    return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], ["lang", "score", "accepted"])
+
+
 def predict(model: Model | None, text: str = "text", reject: bool = False) -> Column:
     """Struct (lang, score, accepted) for a text column.
 
@@ -345,20 +418,32 @@ def predict(model: Model | None, text: str = "text", reject: bool = False) -> Co
     is false where even the best model's cross-entropy is beyond its calibrated limit; with
     ``reject`` such texts become ``und`` too.  Ties go to the first language in code-point order.
     Very long texts count whole, rows that repeat are scored each, an empty table gives no rows.
+    A model whose tables stay in Spark needs ``predicted``.
     """
+    if model is not None and model.rest is not None:
+        raise ValueError("the tables of this model are joined: use predicted()")
 
     @F.arrow_udf("struct<lang: string, score: double, accepted: boolean>")
     def language(column: pa.Array) -> pa.Array:
-        n = len(column)
-        lang, score, accepted = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool)
-        if model is not None and n:
-            entropy, has = cross_entropies(model, *text_buffer(column))
-            best = entropy.argmin(axis=1)
-            limits = model.limits if model.limits is not None else np.full(len(model.langs), np.inf)
-            accepted = has & (entropy[np.arange(n), best] <= limits[best])
-            use = accepted if reject else has
-            lang[use] = np.array(model.langs, object)[best[use]]
-            score[use] = shares(model, entropy)[np.arange(n), best][use]
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], ["lang", "score", "accepted"])
+        if model is None or not len(column):
+            return _choice(None, np.zeros((len(column), 0)), np.zeros(len(column), bool), reject)
+        return _choice(model, *cross_entropies(model, *text_buffer(column)), reject)
 
     return language(text)
+
+
+def predicted(docs: DataFrame, model: Model | None, text: str = "text", reject: bool = False) -> DataFrame:
+    """``docs`` with the struct ``p`` of ``predict``; also for models whose tables stay in Spark."""
+    if model is None or model.rest is None:
+        return docs.withColumn("p", predict(model, text, reject))
+    small = Model(model.langs, {}, {}, model.single, model.floor, model.sharpness, model.limits)  # no tables of Spark go to tasks
+
+    @F.arrow_udf("struct<lang: string, score: double, accepted: boolean>")
+    def chosen(column: pa.Array) -> pa.Array:
+        has = np.array(column.is_valid())
+        entropy = np.array([x if x is not None else [0.0] * len(small.langs) for x in column.to_pylist()]).reshape(-1, len(small.langs))
+        return _choice(small, entropy, has, reject)
+
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    found = joined_entropies(model, rows.where(F.col(text).isNotNull()).select(F.col("_row").alias("id"), F.col(text).alias("text")))
+    return rows.join(found.withColumnRenamed("id", "_row"), "_row", "left").withColumn("p", chosen("e")).drop("_row", "e")
