@@ -248,3 +248,22 @@ def test_meetings_of_everything_are_few(spark, monkeypatch):
     vectors = spark.range(6_000).selectExpr("id", "array(1.0, cast(id as double)) as v")
     neighbours.nearest(vectors, 3, cells=1)
     assert dealt[0].count() == 8 * 6_000
+
+
+def test_candidates_of_both_kinds_come_once_without_a_shuffle_of_the_rare_pairs(spark):
+    from threadloom.operators import groups
+
+    members = spark.createDataFrame([(t, m) for t in range(40) for m in (t % 4, 10 + t % 7, None)] + [(None, 3)], "group_id long, member long")
+    vectors = spark.createDataFrame([(t, [float(t % 5 + 1), float(t % 3), 1.0]) for t in range(45)], "id long, v array<double>")
+    got = [(r.a, r.b) for r in neighbours.candidate_pairs(members, vectors, 3, cells=1).collect()]
+    near = {tuple(sorted((r.id, r.other))) for r in neighbours.nearest(vectors, 3, cells=1).collect()}
+    shared = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 4 == b % 4 or a % 7 == b % 7}
+    assert near & shared and near - shared and len(got) == len(set(got)) and set(got) == near | shared
+    sums = groups.pair_sums
+    try:
+        clustering.copresence.__globals__["pair_sums"] = lambda rows, **_: rows.sparkSession.range(1_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1).alias("total"))
+        plan = neighbours.candidate_pairs(members, vectors, 3, cells=1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        clustering.copresence.__globals__["pair_sums"] = sums
+    # the pairs of rare participants go out as they are made
+    assert "Union" in plan.split("Exchange")[0]

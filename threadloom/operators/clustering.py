@@ -67,13 +67,18 @@ def weighted_jaccard_classes(sets: DataFrame, weights: DataFrame, chunk: int = 2
     return named.unionByName(weighted_jaccard(different, weights, chunk).select(F.lit("pair").alias("kind"), "a", "b", "similarity"))
 
 
-def rare_pairs(members: DataFrame, most_groups: int = 300, least: int = 1) -> DataFrame:
-    """Pairs of groups that share a participant of at most ``most_groups`` groups who is not ubiquitous.
+def rare_members(members: DataFrame, most_groups: int = 300) -> DataFrame:
+    """The rows of ``members`` whose participant is in at most ``most_groups`` groups and not ubiquitous.
 
     The limit on groups is the rule of the search itself: frequent participants tell threads apart badly.
     """
     rare = idf(members).where((F.col("df") <= most_groups) & ~F.col("ubiquitous")).select("member")
-    rows = members.join(rare, "member", "left_semi")
+    return members.join(rare, "member", "left_semi").select("group_id", "member")
+
+
+def rare_pairs(members: DataFrame, most_groups: int = 300, least: int = 1) -> DataFrame:
+    """Pairs of groups that share a participant of ``rare_members``."""
+    rows = rare_members(members, most_groups)
     return copresence(rows.select(F.col("member").alias("group_id"), F.col("group_id").alias("member")), least)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import staged
-from .clustering import rare_pairs, similarity_graph, thread_similarity
+from .clustering import rare_members, rare_pairs, similarity_graph, thread_similarity
 from .groups import split_groups
 
 #: Vectors of a meeting on either side at least and at most; meetings of everything with everything have this many sides
@@ -128,9 +128,17 @@ def nearest(vectors: DataFrame, k: int = 25, cells: int | None = None, probes: i
 
 
 def candidate_pairs(members: DataFrame, vectors: DataFrame, k: int = 25, most_groups: int = 300, cells: int | None = None) -> DataFrame:
-    """(a, b), a < b: threads that share a rare participant (group_id, member) or are near by their vectors (id, v)."""
+    """(a, b), a < b: threads that share a rare participant (group_id, member) or are near by their vectors (id, v).
+
+    The pairs with a rare participant are many and come once each as they are; only the near ones are
+    looked up, so that a pair of both kinds comes once.
+    """
     near = nearest(vectors, k, cells).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    return rare_pairs(members, most_groups).select("a", "b").unionByName(near).distinct()
+    near = staged(near.distinct(), "near")
+    rare = rare_members(members, most_groups)
+    side = lambda c: rare.select(F.col("group_id").alias(c), "member")
+    both = near.join(side("a"), "a").join(side("b"), ["b", "member"], "left_semi").select("a", "b")
+    return rare_pairs(members, most_groups).select("a", "b").unionByName(near.join(both, ["a", "b"], "left_anti"))
 
 
 def scored_pairs(pairs: DataFrame, features: DataFrame, days: float = 14.0) -> DataFrame:
