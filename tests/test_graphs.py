@@ -267,3 +267,17 @@ def test_candidates_of_both_kinds_come_once_without_a_shuffle_of_the_rare_pairs(
         clustering.copresence.__globals__["pair_sums"] = sums
     # the pairs of rare participants go out as they are made
     assert "Union" in plan.split("Exchange")[0]
+
+
+def test_packed_tables_are_not_broadcast_for_the_size_of_their_files(spark, tmp_path):
+    from threadloom.plans import graphs
+    from threadloom.session import BROADCAST_ROWS, staged
+
+    rows = staged(spark.range(BROADCAST_ROWS + 1).select(F.col("id").alias("node"), (F.col("id") % 3).alias("c")), "many")
+    few = staged(spark.range(50).select(F.col("id").alias("node")), "few")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(rows.join(rows.groupBy("c").agg(F.max("node").alias("node")), "node"))
+    assert "BroadcastHashJoin" in plan(few.join(few.withColumn("x", F.lit(1)), "node"))
+    spark.range(400).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = graphs.line_graph(spark, str(tmp_path))[1]
+    assert "BroadcastHashJoin" not in plan(edges) and edges.count() == 100 * 6 + 99

@@ -20,6 +20,7 @@ e AS (SELECT a.node AS a, b.node AS b, 1.0::DOUBLE AS w FROM n a JOIN n b ON a.o
 def line_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(nodes (o, node), edges): cliques of lines, and a light edge from an order's first line to the next order's."""
     n = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node")).distinct()
+    n = n.hint("merge")  # packed files look small enough to be broadcast
     first = n.groupBy("o").agg(F.min("node").alias("first"), F.count("*").alias("c")).where("c > 1")
     light = first.select((F.col("o") + 1).alias("o"), F.col("first").alias("a")).join(first, "o").select("a", F.col("first").alias("b"), F.lit(0.05).alias("w"))
     a, b = n.select("o", F.col("node").alias("a")), n.select("o", F.col("node").alias("b"))
