@@ -281,3 +281,33 @@ def test_packed_tables_are_not_broadcast_for_the_size_of_their_files(spark, tmp_
     spark.range(400).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
     edges = graphs.line_graph(spark, str(tmp_path))[1]
     assert "BroadcastHashJoin" not in plan(edges) and edges.count() == 100 * 6 + 99
+
+
+def test_scored_pairs_meet_in_blocks_and_are_shuffled_as_ids(spark):
+    rng = random.Random(4)
+    people = "array<struct<member: long, weight: double>>"
+    some = lambda values: rng.choice([None, [], rng.sample(values, 2), rng.sample(values, 4)])
+    row = lambda i: (i, some([(m, 0.5 + m) for m in range(9)]), rng.choice([None, [0.6, 0.8], [1.0, 0.0], [-1.0, 0.0], [1.0]]), some(list("abcdef") + [None]), some(list(range(8))), rng.choice([None, i, 3 * i]), 4 * i + 5)
+    rows = [row(i) for i in range(60)] + [row(7)]
+    features = spark.createDataFrame(rows, f"id long, participants {people}, v array<double>, keywords array<string>, links array<long>, start long, end long")
+    pairs = spark.createDataFrame([(a, b) for a in range(62) for b in range(a + 1, 62) if (a * b) % 3], "a int, b int")
+
+    def weight(x, y):
+        p, q = set(x[1] or []), set(y[1] or [])
+        w = lambda s: sum(m[1] for m in s)
+        alike = w(p & q) / w(p | q) if p | q else 0
+        near = max(0.0, sum(i * j for i, j in zip(x[2], y[2]))) if x[2] and y[2] and len(x[2]) == len(y[2]) else 0
+        (k, o), (m, r) = (set(x[3] or []), set(y[3] or [])), (set(x[4] or []), set(y[4] or []))
+        starts, ends = [t for t in (x[5], y[5]) if t is not None], (x[6], y[6])
+        time = 0
+        if starts:
+            both, union = min(ends) - max(starts), max(ends) - min(starts)
+            time = both / union if both > 0 else 0.3 * np.exp(-((-both / (86_400 * 14)) ** 2))
+        return 0.35 * alike + 0.3 * near + 0.2 * (len(k & o) / min(len(k), len(o)) if k and o else 0) + 0.1 * time + 0.05 * (len(m & r) / len(m | r) if m | r else 0)
+
+    want = sorted((x[0], y[0], round(weight(x, y), 9)) for x in rows for y in rows if x[0] < y[0] and (x[0] * y[0]) % 3)
+    scored = neighbours.scored_pairs(pairs, features, chunk=7)
+    got = sorted((r.a, r.b, round(r.w, 9)) for r in scored.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+    assert neighbours.scored_pairs(pairs, features.limit(0)).count() == 0 == neighbours.scored_pairs(pairs.limit(0), features).count()
+    assert "Join" not in scored._jdf.queryExecution().executedPlan().toString()  # no pair carries features through a join

@@ -7,18 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import staged
 from .clustering import rare_members, rare_pairs, similarity_graph, thread_similarity
-from .groups import split_groups
+from .groups import _spans, split_groups
 
 #: Vectors of a meeting on either side at least and at most; meetings of everything with everything have this many sides
 CHUNK, MOST_CHUNK, SIDES = 512, 65_536, 8
 #: Vectors compared at once in a task, of the one side and of the other
 STRIP, TILE = 1_024, 8_192
+#: Threads of a block whose pairs with another block are scored in one task, at most
+MOST_SCORED = 32_768
 #: Most cells, so that their centres (a broadcast) stay bounded
 MOST_CELLS = 4_096
 
@@ -141,28 +145,104 @@ def candidate_pairs(members: DataFrame, vectors: DataFrame, k: int = 25, most_gr
     return rare_pairs(members, most_groups).select("a", "b").unionByName(near.join(both, ["a", "b"], "left_anti"))
 
 
-def scored_pairs(pairs: DataFrame, features: DataFrame, days: float = 14.0) -> DataFrame:
+class _Sets:
+    """The distinct values of each row of a list column, as sorted codes."""
+
+    def __init__(self, code: np.ndarray, row: np.ndarray, n: int) -> None:
+        self.wide = int(code.max(initial=0)) + 1
+        self.keys, self.first = np.unique(row * self.wide + code, return_index=True)
+        self.size = np.bincount(self.keys // self.wide, minlength=n)
+        self.start = np.cumsum(self.size) - self.size
+
+    def shared(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        """The number of values, or their weight, that rows a and b have in common."""
+        at, pair = _spans(self.start[a], self.size[a])
+        asked = b[pair] * self.wide + self.keys[at] % self.wide
+        place = np.minimum(np.searchsorted(self.keys, asked), max(len(self.keys) - 1, 0))
+        hit = self.keys[place] == asked
+        return np.bincount(pair[hit], None if weight is None else weight[self.first[at[hit]]], len(a))
+
+
+def _listed(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the values of a list column, a null one among them, and their rows; a null list is empty."""
+    lists = pa.concat_arrays(column.chunks)
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return lists.flatten().dictionary_encode("encode").indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), size)
+
+
+def _similarities(a: np.ndarray, b: np.ndarray, rows: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+    """Similarities of the participants, vectors, keywords and links of the rows a and b, some pairs at a time."""
+    n = rows.num_rows
+    (member, row), (weight, _) = _listed(rows["member"]), _listed(rows["weight"])
+    w = pa.concat_arrays(rows["weight"].chunks).flatten().to_numpy(zero_copy_only=False)
+    people, own = _Sets(member * (int(weight.max(initial=0)) + 1) + weight, row, n), np.bincount(row, w, n)
+    words, links = (_Sets(*_listed(rows[c]), n) for c in ("keywords", "links"))
+    lists = pa.concat_arrays(rows["v"].chunks)
+    size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy().copy()
+    at, row = _spans(np.zeros(n, int), np.maximum(size, 0))
+    v = np.zeros((n, int(size.max(initial=0).clip(0))))
+    v[row, at] = lists.flatten().to_numpy(zero_copy_only=False)
+    gaps = np.unique(row[lists.flatten().is_null().to_numpy(zero_copy_only=False)])
+    size[gaps] = -1  # a vector with a null is none
+    for lo in range(0, len(a), STRIP * 64):
+        x, y = a[lo : lo + STRIP * 64], b[lo : lo + STRIP * 64]
+        both, every = people.shared(x, y, w), own[x] + own[y]
+        in_words, in_links = words.shared(x, y), links.shared(x, y)
+        least, union = np.minimum(words.size[x], words.size[y]), links.size[x] + links.size[y] - in_links
+        yield {
+            "people": np.nan_to_num(np.divide(both, every - both, out=np.zeros(len(x)), where=every != both)),
+            "near": np.where((size[x] == size[y]) & (size[x] >= 0), np.einsum("ij,ij->i", v[x], v[y]), 0.0),
+            "words": in_words / np.maximum(least, 1),
+            "linked": in_links / np.maximum(union, 1),
+        }
+
+
+def scored_pairs(pairs: DataFrame, features: DataFrame, days: float = 14.0, chunk: int | None = None) -> DataFrame:
     """(a, b, w): similarity of the pairs (a, b) of threads by their features.
 
     ``features`` are id, participants (array of member and weight, each member once), v (of length
     1), keywords, links (arrays of distinct values), start and end (seconds).  Null arrays count as
-    empty; pairs without features are left out.
+    empty; pairs without features are left out.  Pairs are many, so they are shuffled as two ids:
+    threads are dealt into blocks of about ``chunk`` (by default an eighth of all, ``MOST_SCORED`` at
+    most), every two blocks meet in a task, and that task scores the pairs between them.
     """
-    side = lambda c: features.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("participants", "v", "keywords", "links", "start", "end")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    listed = lambda x, c: F.coalesce(f"{x}_{c}", F.array())
-    weight = lambda people: F.aggregate(people, F.lit(0.0), lambda acc, p: acc + p["weight"])
-    people = [F.coalesce(f"participants_{c}", F.array().cast(features.schema["participants"].dataType)) for c in "ab"]
-    shared = weight(F.array_intersect(*people))
-    alike = F.coalesce(F.try_divide(shared, weight(people[0]) + weight(people[1]) - shared), F.lit(0.0))
-    near = F.coalesce(S.dot(F.col("v_a"), F.col("v_b")), F.lit(0.0))
-    linked = S.jaccard(*(listed("links", c).cast(features.schema["links"].dataType) for c in "ab"))
-    words = S.overlap_coefficient(*(listed("keywords", c).cast(features.schema["keywords"].dataType) for c in "ab"))
+    n = features.count()
+    blocks = -(-n // (chunk or max(CHUNK, min(MOST_SCORED, -(-n // SIDES))))) or 1
+    kind, times = features.schema["id"].dataType, [f"{t}_{c}" for c in "ab" for t in ("start", "end")]
+    block = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(blocks)).cast("int")
+    asked = pairs.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    asked = asked.select(F.least(block("a"), block("b")).alias("lo"), F.greatest(block("a"), block("b")).alias("hi"), "a", "b")
+    held = [F.transform("participants", lambda p: p["member"]).alias("member"), F.transform("participants", lambda p: p["weight"].cast("double")).alias("weight")]
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    dealt = features.select(block("id").alias("mine"), other, "id", *held, F.transform("v", lambda x: x.cast("double")).alias("v"), "keywords", "links", "start", "end")
+    dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("mine", "other")
+
+    def meet(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        ids = rows["id"].unique()
+        of = pc.index_in(rows["id"], ids).to_numpy()
+        order, count = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(ids))
+        start = np.cumsum(count) - count
+        a, b = (pc.index_in(asked[c], ids) for c in "ab")
+        known = pc.and_(a.is_valid(), b.is_valid())
+        a, b = a.filter(known).to_numpy(), b.filter(known).to_numpy()
+        at, pair = _spans(start[a], count[a])  # an id that repeats is several threads
+        to, again = _spans(start[b[pair]], count[b[pair]])
+        a, b = order[at[again]], order[to]
+        found = list(_similarities(a, b, rows)) if len(a) else []
+        scores = {c: np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in ("people", "near", "words", "linked")}
+        ends = {f"{t}_{c}": rows[t].take(pa.array(side)) for c, side in (("a", a), ("b", b)) for t in ("start", "end")}
+        return pa.table({"a": rows["id"].take(pa.array(a)), "b": rows["id"].take(pa.array(b))} | scores | ends)
+
+    spread = 3 * blocks * (blocks + 1) // 2  # a fixed number of partitions: the rows of a meeting are few against its pairs
+    schema = f"a {kind.simpleString()}, b {kind.simpleString()}, people double, near double, words double, linked double, " + ", ".join(f"{t} {features.schema[t.split('_')[0]].dataType.simpleString()}" for t in times)
+    sides = [df.repartition(spread, "lo", "hi").groupBy("lo", "hi") for df in (asked, dealt)]
+    met = sides[0].cogroup(sides[1]).applyInArrow(meet, schema)
     time = F.coalesce(S.temporal_affinity(F.col("start_a"), F.col("end_a"), F.col("start_b"), F.col("end_b"), days), F.lit(0.0))
-    return both.select("a", "b", thread_similarity(alike, near, words, time, linked).alias("w"))
+    return met.select("a", "b", thread_similarity(F.col("people"), F.col("near"), F.col("words"), time, F.col("linked")).alias("w"))
 
 
 def thread_graph(members: DataFrame, features: DataFrame, k: int = 25, least: float = 0.45, most_edges: int = 15, cells: int | None = None) -> DataFrame:
     """Edges (a, b, w) between similar threads: candidates, their similarity, the heaviest of either end."""
+    features = staged(features, "features")
     pairs = candidate_pairs(members, features.select("id", "v"), k, cells=cells)
     return similarity_graph(scored_pairs(pairs, features), least, most_edges)
