@@ -150,3 +150,24 @@ def test_hashed_features_add_up_before_the_shuffle(spark):
     found = textfeatures.hashed_features(spark.createDataFrame(texts, "id long, text string"), 16)
     assert sorted((r.id, r.bucket, round(r.value, 6)) for r in found.collect()) == sorted(want)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tfidf_adds_up_terms_in_parts_and_shuffles_no_row_of_a_text_and_a_term(spark):
+    rng = random.Random(5)
+    text = lambda: rng.choice([None, "", "the 12 É", " ".join(rng.choices(["Alpha", "beta", "gamma!", "the", "dé", "x", "delta-eps", "zeta"], k=rng.randrange(40)))])
+    rows = [(rng.choice([None, *range(50)]), text()) for _ in range(120)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    tf = defaultdict(Counter)
+    for i, t in rows:
+        w = [x for x in re.findall(r"\w+", (t or "").lower()) if re.fullmatch("[a-z]{2,}", x) and x != "the"]
+        tf[i].update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    df, n = Counter(t for c in tf.values() for t in c), len({i for i, _ in rows if i is not None})
+    want = {}
+    for i, c in tf.items():
+        raw = {t: k * (math.log((1 + n) / (1 + df[t])) + 1) for t, k in c.items()}
+        want |= {(i, t): (c[t], x / math.sqrt(sum(y * y for y in raw.values()))) for t, x in raw.items()}
+    found = textfeatures.tfidf(docs, ["the"], part_chars=60)
+    got = {(r.id, r.term): (r.tf, r.weight) for r in found.collect()}
+    assert found.count() == len(got) == len(want) and all(got[k] == (v[0], pytest.approx(v[1], abs=1e-6)) for k, v in want.items())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "hashpartitioning(term" in plan

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,12 @@ from .search import STOP
 WORD_SIGNS, TERM = r"[\p{L}\p{N}\p{M}_]+", "^[a-z]{2,}$"
 #: Least letters and numbers of a token that an embedding counts
 LEAST_TOKEN = 3
+#: Characters of the texts whose terms a task weighs
+PART_CHARS = 4_000_000
+
+
+def _words(stop: list[str]) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SIGNS), F.lit(0)), lambda w: w.rlike(TERM) & ~w.isin(stop))
 
 
 def terms(docs: DataFrame, stop: list[str] = STOP, pairs: bool = True) -> DataFrame:
@@ -18,24 +27,74 @@ def terms(docs: DataFrame, stop: list[str] = STOP, pairs: bool = True) -> DataFr
 
     Stop words are dropped before words become neighbours.  Null texts hold no terms.
     """
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SIGNS), F.lit(0)), lambda w: w.rlike(TERM) & ~w.isin(stop))
-    rows = docs.where("text is not null").select("id", words.alias("w"))
+    rows = docs.where("text is not null").select("id", _words(stop).alias("w"))
     two = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
     listed = F.concat("w", F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<string>"))) if pairs else F.col("w")
     return rows.select("id", F.explode(listed).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(docs: DataFrame, stop: list[str] = STOP, pairs: bool = True) -> DataFrame:
+def _numbered(texts: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sorted words, and the terms of the ids: place of the id, number of the term, tf.
+
+    ``texts`` are (id, words, pairs); with V words, the term of word i has number i, that of words i
+    and j side by side (i + 1) * V + j, so that a part gives its terms the same numbers every time.
+    """
+    ids = texts["id"].unique()
+    of = pc.index_in(texts["id"], ids).to_numpy()
+    lists = pc.split_pattern(pa.concat_arrays(texts["words"].chunks), " ")
+    size, flat = pc.list_value_length(lists).to_numpy(), lists.flatten()
+    words = flat.unique()
+    words = words.take(pc.sort_indices(words))
+    code, text = pc.index_in(flat, words).to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), size)
+    own = of[text].astype(np.int64)
+    if texts["pairs"][0].as_py():
+        beside = np.flatnonzero(text[1:] == text[:-1])
+        own, code = np.concatenate([own, own[beside]]), np.concatenate([code, (code[beside] + 1) * len(words) + code[beside + 1]])
+    terms, back = np.unique(code, return_inverse=True)
+    cell, tf = np.unique(own * len(terms) + back, return_counts=True)
+    return ids, words, cell // len(terms), terms[cell % len(terms)], tf
+
+
+def _spelled(words: pa.Array, number: np.ndarray) -> pa.Array:
+    """The terms of some numbers."""
+    first = words.take(pa.array(number % len(words)))
+    two = number >= len(words)
+    before = words.take(pa.array(np.maximum(number // len(words) - 1, 0)))
+    return pc.if_else(pa.array(two), pc.binary_join_element_wise(before, first, " "), first)
+
+
+def tfidf(docs: DataFrame, stop: list[str] = STOP, pairs: bool = True, part_chars: int = PART_CHARS) -> DataFrame:
     """(id, term, tf, weight): sparse vectors of length 1 of the texts (id, text), tf * (ln((1 + n) / (1 + df)) + 1).
 
     ``n`` counts the ids, those without terms too, which have no rows.  Repeated ids are one text.
+    Texts are dealt by id into parts of about ``part_chars`` characters, as their words alone.  Each
+    part adds up its terms, these sums alone are shuffled by term, and the part gets the total of each
+    of its terms back under a number; no row of a text and a term is shuffled.
     """
-    tf = terms(docs, stop, pairs)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count_distinct("id").alias("n"))
-    raw = tf.join(df, "term").join(F.broadcast(n), how="cross").withColumn("raw", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", "tf", F.round(F.col("raw") / norm, 6).alias("weight"))
+    n, chars = docs.agg(F.count_distinct("id"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(8, -(-chars // part_chars))
+    held = docs.where("text is not null").select(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(parts)).cast("int").alias("part"), "id", F.concat_ws(" ", _words(stop)).alias("words"), F.lit(pairs).alias("pairs"))
+    # a fixed number of partitions: with those that AQE would join, a task had the texts of many parts
+    texts = held.where("words <> ''").repartition(parts, "part")
+
+    def summed(texts: pa.Table) -> pa.Table:
+        _, words, _, number, _ = _numbered(texts)
+        number, held_by = np.unique(number, return_counts=True)
+        return pa.table({"part": pa.array(np.full(len(number), texts["part"][0].as_py(), np.int32)), "number": number, "term": _spelled(words, number).cast(pa.string()), "n": held_by})
+
+    def weighted(texts: pa.Table, totals: pa.Table) -> pa.Table:
+        ids, words, own, number, tf = _numbered(texts)
+        known, df = totals["number"].to_numpy(), totals["df"].to_numpy()
+        order = np.argsort(known)
+        raw = tf * (np.log((1 + n) / (1 + df[order][np.searchsorted(known, number, sorter=order)])) + 1)
+        size = np.sqrt(np.bincount(own, raw * raw, len(ids)))
+        return pa.table({"id": ids.take(pa.array(own)), "term": _spelled(words, number).cast(pa.string()), "tf": tf, "weight": raw / size[own]})
+
+    sums = texts.groupBy("part").applyInArrow(summed, "part int, number long, term string, n long")
+    totals = sums.select("part", "number", F.sum("n").over(Window.partitionBy("term")).alias("df"))
+    kind = docs.schema["id"].dataType.simpleString()
+    found = texts.groupBy("part").cogroup(totals.repartition(parts, "part").groupBy("part")).applyInArrow(weighted, f"id {kind}, term string, tf long, weight double")
+    return found.select("id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 def top_weights(vectors: DataFrame, k: int = 12) -> DataFrame:
