@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of members, and least number of blocks, so that many tasks share the meetings
 BLOCK_ROWS, LEAST_BLOCKS = 2_000_000, 8
+#: Pairs of a partition where pairs are joined and added up: the number of partitions grows with the pairs, not the tasks
+PART_PAIRS = 1_000_000
 #: Members whose pairs are added up at once in a task; terms added at once; rows of a batch of pairs
 STRIP, TERMS, OUT_ROWS = 2_048, 1 << 22, 1 << 18
 
@@ -47,21 +49,32 @@ def pair_sums(rows: DataFrame, weighted: bool = False, chunk: int = 256, block_r
     have to fit the memory of a task.
     """
     sizes = rows.groupBy("group_id").agg(F.count("*").alias("n"))
-    n, pairs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first() if dense is None else (rows.count(), 0.0)
+    if dense:
+        n = rows.count()
+    else:
+        n, pairs, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(0))).first()
     blocks = max(LEAST_BLOCKS, -(-n // block_rows))
     if dense is None:
         dense = pairs > 2.0 * n * blocks
     if dense:
         return _sums_of_blocks(rows, weighted, blocks, strip)
-    # a group of at most one chunk needs no row in ``large``, which stays small
-    large = sizes.where(F.col("n") > chunk)
-    sized = rows.join(large, "group_id", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    dealt = split_groups(sized, "group_id", "member", "n", chunk)
+    # fixed numbers of partitions: those that AQE joins by the size of the rows make many times their size of pairs
+    parts = max(LEAST_BLOCKS, -(-int(pairs) // PART_PAIRS))
+    meeting = ["group_id"]
+    if most > chunk:
+        # a group of at most one chunk needs no row in ``large``, which stays small
+        large = sizes.where(F.col("n") > chunk)
+        sized = rows.join(large, "group_id", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        rows, meeting = split_groups(sized, "group_id", "member", "n", chunk), ["group_id", "lo", "hi"]
+    dealt = rows.repartition(parts, *meeting)
     a, b = dealt.alias("a"), dealt.alias("b")
-    same = reduce(and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("group_id", "lo", "hi")])
-    once = (F.col("a.lo") == F.col("a.hi")) | (F.col("a.mine") != F.col("b.mine"))
-    met = a.join(b, same & once & (F.col("a.member") < F.col("b.member")))
-    return met.groupBy(F.col("a.member").alias("a"), F.col("b.member").alias("b")).agg((F.sum("a.w") if weighted else F.count("*")).alias("total"))
+    met = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in meeting] + [F.col("a.member") < F.col("b.member")]
+    if most > chunk:
+        met.append((F.col("a.lo") == F.col("a.hi")) | (F.col("a.mine") != F.col("b.mine")))
+    met = a.join(b, reduce(and_, met))
+    # pairs of a task hardly repeat, so they are added up where they meet and not before
+    met = met.select(F.col("a.member").alias("a"), F.col("b.member").alias("b"), *([F.col("a.w").alias("w")] if weighted else [])).repartition(parts, "a", "b")
+    return met.groupBy("a", "b").agg((F.sum("w") if weighted else F.count("*")).alias("total"))
 
 
 def _sums_of_blocks(rows: DataFrame, weighted: bool, blocks: int, strip: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import staged
 from .groups import pair_sums
 
 
@@ -14,7 +15,8 @@ def copresence(members: DataFrame, least: int = 1, chunk: int = 256) -> DataFram
 
     Groups of any size: see ``pair_sums``.
     """
-    rows = members.select("group_id", "member").where("group_id is not null and member is not null").distinct()
+    # staged: the sizes of the groups and the pairs need them
+    rows = staged(members.select("group_id", "member").where("group_id is not null and member is not null").distinct(), "members")
     return pair_sums(rows, chunk=chunk).withColumnRenamed("total", "shared").where(F.col("shared") >= least)
 
 
