@@ -107,14 +107,17 @@ def titled(c: Column) -> Column:
     return F.initcap(F.lower(c))
 
 
-def project_labels(bags: DataFrame, projects: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def project_labels(bags: DataFrame, projects: DataFrame, overrides: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(project, label, label_source) of ``projects`` (project, top, start) by their terms ``bags`` (project, term, tf).
 
     A label of ``overrides`` (project, label) stands.  Else terms rank by tf * ln((1 + C) / (1 + cdf)),
     then by name, and the first of several words or in title case is the label, else the first two
-    together; without terms it is the top person and the month of the start.
+    together; without terms it is the top person and the month of the start.  Rows of ``bags`` that
+    repeat a term add up, in ``parts`` partitions by project if given: a number that grows with the
+    rows bounds the terms that a task holds.
     """
     clusters = projects.agg(F.greatest(F.count_distinct("project"), F.lit(1)).alias("c"))
+    bags = bags.repartition(parts, "project") if parts else bags
     bags = bags.groupBy("project", "term").agg(F.sum("tf").alias("tf"))
     cdf = bags.groupBy("term").agg(F.count("*").alias("cdf"))
     scored = bags.join(cdf, "term").join(F.broadcast(clusters), how="cross").withColumn("less", -F.round(F.col("tf") * F.ln((1 + F.col("c")) / (1 + F.col("cdf"))), 9))

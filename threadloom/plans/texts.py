@@ -78,11 +78,12 @@ SELECT project, CASE WHEN project % 10 = 0 THEN 'own ' || project WHEN raw IS NO
 def _(spark, d):
     size, lines = F.col("p_size") % 5, table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     term = F.when(size == 0, F.col("p_name")).when(size == 1, F.concat(F.upper(F.substring("p_name", 1, 1)), F.lower(F.expr("substr(p_type, 2)")))).otherwise(F.concat(F.lower("p_type"), F.col("p_size").cast("string")))
-    bags = lines.where((F.col("o_custkey") % 4 != 1) | (size > 1)).groupBy(F.col("o_custkey").alias("project"), term.alias("term")).agg(F.count("*").alias("tf"))
+    bags = lines.where((F.col("o_custkey") % 4 != 1) | (size > 1)).select(F.col("o_custkey").alias("project"), term.alias("term"), F.lit(1).cast("long").alias("tf"))
+    parts = max(8, table(spark, d, "lineitem").count() // 500_000)
     start = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("start"))
     projects = table(spark, d, "customer").join(start, "c_custkey", "left").select(F.col("c_custkey").alias("project"), F.col("c_name").alias("top"), "start")
     own = projects.where("project % 10 = 0").select("project", F.concat(F.lit("own "), F.col("project").cast("string")).alias("label"))
-    return textfeatures.project_labels(bags, projects, own)
+    return textfeatures.project_labels(bags, projects, own, parts)
 
 
 @query("SCAL_25_hashed_features", r"""WITH t AS (SELECT doc_id AS id, regexp_replace(unnest(regexp_split_to_array(lower(coalesce(text, '')), '\s+')), '[^\p{L}\p{N}]', '', 'g') AS token FROM documents), n AS (SELECT id, token, count(*) AS n FROM t WHERE length(token) >= 3 GROUP BY 1, 2),
