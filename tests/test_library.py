@@ -107,6 +107,31 @@ def test_sim_03_reads_every_order(spark):
     assert found.where("kind = 'member'").count() == orders.select("o_custkey").distinct().count()
 
 
+def test_sim_03_gives_every_pair_of_customers(spark):
+    """No pair is left to a class: every two customers that share a priority have a row with their similarity."""
+    import __spark_entry__ as entry
+
+    found = entry.queries()["SIM_03_weighted_jaccard"](spark, "/root/testdata/sf0.001")
+    sets = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey", "o_orderpriority").collect():
+        sets.setdefault(r.o_custkey, set()).add(r.o_orderpriority)
+    weigh = lambda s: sum({"1-URGENT": 2.5, "5-LOW": 0.25}.get(x, 1.0) for x in s)
+    want = sorted((a, b, round(weigh(sets[a] & sets[b]) / weigh(sets[a] | sets[b]), 6)) for a in sets for b in sets if a < b and sets[a] & sets[b])
+    assert sorted((r.a, r.b, r.similarity) for r in found.where("kind = 'pair'").collect()) == want
+
+
+def test_weighted_jaccard_of_all_in_small_lists(spark):
+    import random
+
+    from threadloom.operators import clustering
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(i, x) for i in range(60) for x in rng.sample("abc", rng.randint(1, 2))] + [(None, "a"), (1, None)], "id long, item string")
+    weights = spark.createDataFrame([("a", 2.5), ("c", 0.0)], "item string, weight double")
+    pairs = clustering.weighted_jaccard_all(rows, weights, chunk=4).where("kind = 'pair'").drop("kind")
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, clustering.weighted_jaccard(rows, weights).collect()))
+
+
 def test_soft_membership_in_blocks(spark):
     import random
 
