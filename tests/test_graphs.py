@@ -117,6 +117,22 @@ def test_leiden_edge_cases(spark):
     assert found_by(spark, [(1, 2, 1.0), (3, 4, 1.0), (2, 3, 0.01)], gamma=0.0) == {1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def test_small_groups_are_settled_in_tasks(spark, monkeypatch):
+    """Cliques in a chain take two looks at the whole graph, one of them at the contracted one, and no round."""
+    edges = [(9 * c + i, 9 * c + j, 1.0) for c in range(30) for i, j in itertools.combinations(range(6), 2)] + [(9 * c, 9 * c + 9, 0.05) for c in range(29)]
+    looks, plain = [], communities.staged
+    monkeypatch.setattr(communities, "staged", lambda df, name: looks.append(name) or plain(df, name))
+    assert found_by(spark, edges, gamma=10.0) == {9 * c + i: 9 * c for c in range(30) for i in range(6)}
+    assert looks.count("wanted") <= 2
+
+
+def test_settled_groups_with_many_edges_are_left_to_the_rounds(spark, monkeypatch):
+    of, edges = planted(5, 3, 8)
+    monkeypatch.setattr(communities, "TASK_EDGES", 10)
+    got = found_by(spark, edges)
+    assert connected(edges, got) and len(set(got.values())) == 3
+
+
 @pytest.fixture(scope="module")
 def cloud(spark):
     rng = np.random.default_rng(4)
