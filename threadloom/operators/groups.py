@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, LEAST_BLOCKS = 2_000_000, 8
 #: Pairs of a partition where pairs are joined and added up: the number of partitions grows with the pairs, not the tasks
 PART_PAIRS = 1_000_000
+#: Groups of a member, on average over the rows and at most, up to which its rows carry the list of them
+MEAN_LIST, MOST_LIST = 16, 1_024
 #: Members whose pairs are added up at once in a task; terms added at once; rows of a batch of pairs
 STRIP, TERMS, OUT_ROWS = 2_048, 1 << 22, 1 << 18
 
@@ -42,7 +44,9 @@ def pair_sums(rows: DataFrame, weighted: bool = False, chunk: int = 256, block_r
     """(a, b, total), a < b: the members that share a group, with the number of groups they share or the sum of their weights.
 
     ``rows`` are distinct (group_id, member) without nulls, and w if ``weighted``: the weight of the
-    group.  Where groups are small, their pairs are joined and added up.  Where the pairs would be
+    group.  Where groups are small, their pairs are joined and added up.  Where members are in few groups
+    besides (without weights), each row carries the groups of its member: a pair is counted in the first
+    group it shares and is not shuffled.  Where the pairs would be
     many times the rows (``dense``; decided from the sizes of the groups if not given), no pair is
     shuffled: members are dealt into blocks of about ``block_rows`` rows, every two blocks meet in
     one task, and that task adds up the pairs of its members over all groups.  The rows of one member
@@ -61,6 +65,10 @@ def pair_sums(rows: DataFrame, weighted: bool = False, chunk: int = 256, block_r
     # fixed numbers of partitions: those that AQE joins by the size of the rows make many times their size of pairs
     parts = max(LEAST_BLOCKS, -(-int(pairs) // PART_PAIRS))
     meeting = ["group_id"]
+    listed = not weighted and _few_groups(rows, pairs)
+    if listed:
+        own = rows.groupBy("member").agg(F.sort_array(F.collect_list("group_id")).alias("own"))
+        rows = own.select("member", "own", F.explode("own").alias("group_id"))
     if most > chunk:
         # a group of at most one chunk needs no row in ``large``, which stays small
         large = sizes.where(F.col("n") > chunk)
@@ -72,11 +80,22 @@ def pair_sums(rows: DataFrame, weighted: bool = False, chunk: int = 256, block_r
     if most > chunk:
         met.append((F.col("a.lo") == F.col("a.hi")) | (F.col("a.mine") != F.col("b.mine")))
     met = a.join(b, reduce(and_, met))
+    if listed:
+        # a generator keeps the lists from being compared twice, by the filter and for the number
+        met = met.select(F.col("a.group_id").alias("g"), F.col("a.member").alias("a"), F.col("b.member").alias("b"), F.explode(F.array(F.array_intersect("a.own", "b.own"))).alias("both"))
+        return met.where(F.col("both")[0] == F.col("g")).select("a", "b", F.size("both").cast("long").alias("total"))
     # pairs of a task hardly repeat, so they are added up where they meet and not before
     met = met.select(F.col("a.member").alias("a"), F.col("b.member").alias("b"), *([F.col("a.w").alias("w")] if weighted else [])).repartition(parts, "a", "b")
     return met.groupBy("a", "b").agg((F.sum("w") if weighted else F.count("*")).alias("total"))
 
 
+def _few_groups(rows: DataFrame, pairs: float) -> bool:
+    """Whether rows with the lists of their members' groups take less room than the pairs, and the lists are short."""
+    n = rows.groupBy("member").agg(F.count("*").alias("n"))
+    entries, rows_, most = n.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return most <= MOST_LIST and entries <= min(pairs, MEAN_LIST * rows_)
+
+
 def _sums_of_blocks(rows: DataFrame, weighted: bool, blocks: int, strip: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = rows.select("group_id", "member", *(["w"] if weighted else []), F.pmod(F.xxhash64(F.lit(5), "member"), F.lit(blocks)).cast("int").alias("mine")).withColumn("other", other)
