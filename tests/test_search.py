@@ -169,6 +169,32 @@ def test_positions_are_shuffled_once_by_text(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_texts_are_matched_in_their_task(spark):
+    """One shuffle by text; no row of a text and a query is shuffled or joined again before the ranks."""
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "a fox and a red hen"), (None, "red fox")], "id long, text string")
+    asked = spark.createDataFrame([(7, "red fox"), (8, "hen -runs"), (9, "-fox")], "query_id long, text string")
+    found = search.web_search(docs, asked, stems=False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id#") == 1 and "collect_set" not in plan and "SortMergeJoin" not in plan
+    assert {(r.query_id, r.id) for r in found.collect()} == {(7, 1), (7, 2), (7, None), (8, 2)}
+
+
+def test_matching_does_not_depend_on_the_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    queries = spark.createDataFrame([(1, "w1 w2"), (2, '"w1 w2 w3"'), (3, "w1 or w4 -w5"), (4, "-w2"), (5, 'w6 "w2 w2"')], "query_id long, text string")
+    matcher = search.Matcher(search.literals(queries).withColumnRenamed("word", "term").toArrow())
+    rows = sorted((i, rng.choice([-1, *range(len(matcher.terms))]), rng.randrange(300)) for i in range(300) for _ in range(rng.choice([1, 3, 40])))
+    table = pa.table({"id": [r[0] for r in rows], "code": pa.array([r[1] for r in rows], pa.int32()), "pos": pa.array([r[2] for r in rows], pa.int32())})
+    answer = lambda n: sorted((r["query_id"], r["id"], round(r["score"], 9)) for b in matcher.run(iter(table.to_batches(max_chunksize=n))) for r in b.to_pylist())
+    want = answer(10_000)
+    monkeypatch.setattr(search, "PLACES", 50)
+    assert len(want) > 100 and answer(7) == want
+    alone = [r for i in range(300) for b in matcher.run(iter(table.filter(pa.array([x[0] == i for x in rows])).to_batches())) for r in b.to_pylist()]
+    assert sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in alone) == want
+
+
 def test_vector_search_meets_in_blocks_and_keeps_its_order(spark):
     from threadloom.operators import retrieval
 

@@ -3,15 +3,22 @@
 A query is read as a web search: words are all wanted, ``"several words"`` stand next to each other,
 ``or`` separates alternatives, ``-`` excludes.  It becomes a table of literals; the words of the
 literals meet the positions of the same words in the texts, and a literal holds where all its words
-put its beginning at one place.
+put its beginning at one place.  Those positions are shuffled once, by text; tasks match and rank
+many texts at once, as arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .groups import _spans
 
 #: English stop words of the usual full-text configuration
 STOP = (
@@ -26,6 +33,8 @@ WORD = r"[\p{L}\p{N}]+"
 #: Fixed values of the rank: weight of a word of the text, limit of the sum of 1 / j^2, positions of a word that count,
 #: farthest distance of two words that counts
 WEIGHT, SERIES, POSITIONS, FARTHEST = 0.1, 1.64493406685, 255, 100
+#: Positions of words of the query set that a task takes at once, and places of matched texts that it compares at once
+HITS, PLACES = 200_000, 2_000_000
 
 # The suffix rules of the English (Porter 2) stemmer, the longest suffix of a step first.
 # R1 begins behind the first consonant after a vowel, R2 is the same within R1.
@@ -127,20 +136,15 @@ def web_search(docs: DataFrame, queries: DataFrame, k: int = 20, stop: list[str]
     else:
         asked = asked.withColumn("term", F.col("word"))
         forms = asked.select("word", "term").distinct()
+    matcher = Matcher(asked.select("query_id", "alternative", "literal", "negated", "at", "term").toArrow())  # a stated set of queries
+    codes = docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(matcher.terms)], "term string, code int")
     # words of the query set alone are shuffled, once, by text; what follows stays in the text's task
-    found = words.join(F.broadcast(forms), "word").select("id", "pos", "term").repartition("id")
-    keys = ["query_id", "alternative", "literal"]
-    sizes = asked.groupBy(*keys, "negated").agg(F.count("*").alias("words"))
-    begins = found.join(F.broadcast(asked.select(*keys, "at", "term")), "term").withColumn("begin", F.col("pos") - F.col("at"))
-    holds = begins.groupBy(*keys, "id", "begin").agg(F.count("*").alias("n")).join(F.broadcast(sizes), keys).where("n = words").select(*keys, "negated", "id").distinct()
-    wanted = sizes.groupBy("query_id", "alternative").agg(F.count_if(~F.col("negated")).alias("wanted"))
-    met = holds.groupBy("query_id", "alternative", "id").agg(F.count_if(~F.col("negated")).alias("met"), F.count_if("negated").alias("spoilt"))
-    matched = met.join(F.broadcast(wanted), ["query_id", "alternative"]).where("met = wanted and spoilt = 0 and wanted > 0").select("query_id", "id")
-    others = plain.select("id").distinct().join(F.broadcast(wanted.where("wanted = 0")), how="cross")  # a stated set of queries that exclude alone
-    spoilt = met.where("spoilt > 0").groupBy("id").agg(F.collect_set(F.struct("query_id", "alternative")).alias("spoilt"))  # of the query set
-    others = others.join(spoilt, "id", "left").where(~F.coalesce(F.array_contains("spoilt", F.struct("query_id", "alternative")), F.lit(False))).select("query_id", "id")
-    matched = matched.unionByName(others).distinct()
-    scored = ranked(matched, found, asked)
+    found = words.join(F.broadcast(forms.join(F.broadcast(codes), "term").select("word", "code")), "word").select("id", "code", "pos")
+    if len(matcher.others):  # texts without any of the words count as well
+        found = found.unionByName(plain.select("id", F.lit(-1).alias("code"), F.lit(0).alias("pos")))
+    kind = {c: t.dataType.simpleString() for c, t in (("id", plain.schema["id"]), ("query_id", queries.schema["query_id"]))}
+    scored = found.repartition("id").sortWithinPartitions("id").mapInArrow(matcher.run, f"query_id {kind['query_id']}, id {kind['id']}, score double")
+    scored = scored.withColumn("score", F.round("score", 6))
     later = [F.desc_nulls_last("ts")] if "ts" in docs.columns else []
     if later:
         scored = scored.join(docs.groupBy("id").agg(F.max("ts").alias("ts")), "id")
@@ -148,29 +152,132 @@ def web_search(docs: DataFrame, queries: DataFrame, k: int = 20, stop: list[str]
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def ranked(matched: DataFrame, found: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, id, score) of the ``matched`` texts, by how often and how close together the query's words stand.
+class Matcher:
+    """The literals (query_id, alternative, literal, negated, at, term) of a set of queries, as arrays.
 
     A query of one word or of alternatives adds up over its words the sums of 1 / j^2 over the first
     occurrences; one whose words are all wanted multiplies, over the pairs of places of different
     words, one minus a weight that falls with their distance.
     """
-    terms = asked.select("query_id", "term").distinct()
-    kind = asked.groupBy("query_id").agg(F.count_distinct("term").alias("terms"), F.count_distinct("alternative").alias("alternatives"))
-    kind = kind.select("query_id", "terms", ((F.col("alternatives") == 1) & (F.col("terms") > 1)).alias("close"))
-    listed = matched.groupBy("id").agg(F.collect_set("query_id").alias("queries"))  # of the query set
-    places = found.join(listed, "id").join(F.broadcast(terms.join(kind, "query_id")), "term").where(F.array_contains("queries", F.col("query_id")))
-    often = places.where(~F.col("close")).groupBy("query_id", "id", "terms", "term").agg(F.count("*").alias("n"))
-    series = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(POSITIONS)).cast("int")), F.lit(0.0), lambda acc, j: acc + 1.0 / (j * j))
-    often = often.groupBy("query_id", "id").agg(F.sum(WEIGHT * series / SERIES / F.col("terms")).alias("score"))
-    near = places.where("close").groupBy("query_id", "id", F.expr(f"pos div {FARTHEST + 1}").alias("block")).agg(F.collect_list(F.struct("term", "pos")).alias("own"))
-    # the words of a block meet each other and those of the block before; a group holds FARTHEST + 1 places
-    order = Window.partitionBy("query_id", "id").orderBy("block")
-    before = F.when(F.lag("block").over(order) == F.col("block") - 1, F.lag("own").over(order))
-    x, y, others = F.col("x"), F.col("y"), F.concat("own", F.coalesce("before", F.array().cast(near.schema["own"].dataType)))
-    met = near.withColumn("before", before).select("query_id", "id", "block", F.explode("own").alias("x"), others.alias("others")).select("query_id", "id", "block", "x", F.explode("others").alias("y"))
-    apart = F.abs(x["pos"] - y["pos"])
-    weight = WEIGHT * F.sqrt(1.0 / (1.005 + 0.05 * F.exp(apart / 1.5 - 2)))
-    once = F.when(F.expr(f"y.pos div {FARTHEST + 1} = block"), x["term"] < y["term"]).otherwise(x["term"] != y["term"])
-    close = met.where(once & (apart <= FARTHEST)).groupBy("query_id", "id").agg((1 - F.exp(F.sum(F.log1p(-weight)))).alias("score"))
-    return matched.join(often.unionByName(close), ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+
+    def __init__(self, rows: pa.Table):
+        term, query = rows["term"].combine_chunks(), rows["query_id"].combine_chunks()
+        terms, self.query_ids = term.unique(), query.unique()
+        self.terms = terms.to_pylist()
+        t, q = pc.index_in(term, terms).to_numpy(zero_copy_only=False).astype(np.int64), pc.index_in(query, self.query_ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        alternative, literal, at = (rows[c].to_numpy().astype(np.int64) for c in ("alternative", "literal", "at"))
+        negated = np.array(rows["negated"].to_pylist(), dtype=bool)
+        n = len(self.terms)
+        ways, alt = np.unique(np.stack([q, alternative]), axis=1, return_inverse=True)
+        held, first, lit = np.unique(np.stack([alt.ravel(), literal]), axis=1, return_index=True, return_inverse=True)
+        lit = lit.ravel()
+        self.alt_query, self.lit_alt, self.lit_negated, self.lit_words = ways[0], held[0], negated[first], np.bincount(lit, minlength=len(first))
+        self.wanted = np.bincount(self.lit_alt[~self.lit_negated], minlength=len(self.alt_query))
+        self.others = np.flatnonzero(self.wanted == 0)
+        single = self.lit_words[lit] == 1
+        self.single, self.phrase = _Lists(t[single], n, lit[single]), _Lists(t[~single], n, lit[~single], at[~single])
+        self.last = int(at.max(initial=0))
+        own = np.unique(q * max(n, 1) + t)
+        self.words = _Lists(own // max(n, 1), len(self.query_ids), own % max(n, 1))
+        self.n_terms = self.words.size
+        self.close = (np.bincount(self.alt_query, minlength=len(self.query_ids)) == 1) & (self.n_terms > 1)
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(query_id, id, score) of the texts that match, from rows (id, code, pos) in the order of their ids."""
+        most, held, n = max(1_000, HITS // (1 + len(self.others))), [], 0
+        for batch in batches:
+            while batch.num_rows:
+                if n < most:
+                    take = min(batch.num_rows, most - n)
+                else:  # the rest of the last text
+                    same = pc.is_valid(pc.index_in(batch["id"], value_set=held[-1]["id"].slice(held[-1].num_rows - 1))).to_numpy(zero_copy_only=False)
+                    take = int(np.argmin(same)) if not same.all() else batch.num_rows
+                if take:
+                    held.append(batch.slice(0, take))
+                    n, batch = n + take, batch.slice(take)
+                else:
+                    yield from self.matches(pa.Table.from_batches(held))
+                    held, n = [], 0
+        if held:
+            yield from self.matches(pa.Table.from_batches(held))
+
+    def matches(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = rows["id"].combine_chunks().unique()
+        d, t, p = pc.index_in(rows["id"], ids).to_numpy().astype(np.int64), rows["code"].to_numpy().astype(np.int64), rows["pos"].to_numpy().astype(np.int64)
+        real, n_terms = t >= 0, max(1, len(self.terms))
+        d, t, p = d[real], t[real], p[real]
+        order = np.lexsort((p, t, d))
+        d, t, p = d[order], t[order], p[order]
+        far = int(p.max(initial=0)) + self.last + 1
+        word, start, count = np.unique(d * n_terms + t, return_index=True, return_counts=True)
+        # literals of one word, then of several, then the alternatives they hold in
+        place, times = np.unique((d * n_terms + t) * far + p, return_counts=True)
+        once = np.unique(place[times == 1] // far)
+        lit, of = self.single.of(once % n_terms)
+        n_lit, n_alt, n_query = len(self.lit_words), len(self.alt_query), len(self.query_ids)
+        alone = (once // n_terms)[of] * n_lit + lit
+        lit, at, of = self.phrase.of(t, True)
+        begin, times = np.unique((d[of] * n_lit + lit) * far + p[of] - at + self.last, return_counts=True)
+        begin = begin // far
+        holds = np.unique(np.concatenate([alone, begin[times == self.lit_words[begin % n_lit]]]))
+        lit = holds % n_lit
+        met, of = np.unique(holds // n_lit * n_alt + self.lit_alt[lit], return_inverse=True)
+        spoilt = np.bincount(of, self.lit_negated[lit], len(met)) > 0
+        alt = met % n_alt
+        fits = ~spoilt & (np.bincount(of, ~self.lit_negated[lit], len(met)) == self.wanted[alt]) & (self.wanted[alt] > 0)
+        found = met[fits]
+        if len(self.others):
+            every = (np.arange(len(ids))[:, None] * n_alt + self.others[None, :]).ravel()
+            found = np.concatenate([found, every[~np.isin(every, met[spoilt])]])
+        pair = np.unique(found // n_alt * n_query + self.alt_query[found % n_alt])
+        text, query = np.divmod(pair, n_query)
+        score = self.scores(text, query, p, word, start, count, n_terms)
+        if ids.null_count:
+            score[text == pc.index_in(pa.nulls(1, ids.type), ids)[0].as_py()] = 0
+        yield pa.RecordBatch.from_arrays([self.query_ids.take(pa.array(query)), ids.take(pa.array(text)), pa.array(score)], ["query_id", "id", "score"])
+
+    def scores(self, text: np.ndarray, query: np.ndarray, p: np.ndarray, word: np.ndarray, start: np.ndarray, count: np.ndarray, n_terms: int) -> np.ndarray:
+        """Ranks of texts for queries, from the places of the words of each text, which lie at ``start`` to ``start + count``."""
+        term, of = self.words.of(query)
+        slot = np.searchsorted(word, text[of] * n_terms + term)
+        slot[slot == len(word)] = 0
+        there = word[slot] == text[of] * n_terms + term if len(word) else np.zeros(len(slot), bool)
+        term, of, slot = term[there], of[there], slot[there]
+        series = np.append(0.0, np.cumsum(1.0 / np.arange(1, POSITIONS + 1) ** 2))
+        often = ~self.close[query[of]]
+        score = np.bincount(of[often], WEIGHT * series[np.minimum(count[slot[often]], POSITIONS)] / SERIES / self.n_terms[query[of[often]]], len(text)).astype(float)
+        several = self.close[query[of]] & (np.bincount(of, minlength=len(text))[of] > 1)
+        term, of, slot = term[several], of[several], slot[several]
+        apart = np.arange(FARTHEST + 1)
+        part = np.log1p(-WEIGHT * np.sqrt(1.0 / (1.005 + 0.05 * np.exp(apart / 1.5 - 2))))
+        total, lo, ends = np.zeros(len(text)), 0, np.cumsum(count[slot])
+        while lo < len(of):  # pieces of whole pairs of a text and a query
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PLACES)))
+            hi = int(np.searchsorted(of, of[hi - 1], "right"))
+            at, row = _spans(start[slot[lo:hi]], count[slot[lo:hi]])
+            m, w, x = of[lo:hi][row], term[lo:hi][row], p[at]
+            order = np.lexsort((x, m))
+            m, w, x = m[order], w[order], x[order]
+            left, step = np.arange(len(m)), 1
+            while len(left):
+                left = left[left + step < len(m)]
+                left = left[(m[left] == m[left + step]) & (x[left + step] - x[left] <= FARTHEST)]
+                unlike = left[w[left] != w[left + step]]
+                np.add.at(total, m[unlike], part[x[unlike + step] - x[unlike]])
+                step += 1
+            lo = hi
+        return score + 1 - np.exp(total)
+
+
+class _Lists:
+    """Values listed by key, keys from 0."""
+
+    def __init__(self, key: np.ndarray, n: int, *values: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        self.values, self.size = [v[order] for v in values], np.bincount(key, minlength=n)
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, key: np.ndarray, both: bool = False) -> tuple[np.ndarray, ...]:
+        """The values of the keys in turn, and the place of the key of each."""
+        at, row = _spans(self.start[key], self.size[key])
+        return *(v[at] for v in self.values[: 2 if both else 1]), row
